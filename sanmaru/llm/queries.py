@@ -12,6 +12,8 @@ from sanmaru.llm.common import table
 from sanmaru.llm.exact_dedup import exact_dedup
 from sanmaru.llm.mixing import mix_documents
 from sanmaru.llm.packing import pack_documents
+from sanmaru.llm.quality import fit_sample, score_quality
+from sanmaru.llm.topk_search import top_k
 from sanmaru.llm.url_filter import judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +33,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_sample(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     return judge_urls(table(spark, sf_dir, "pages"), outcomes).drop("bad_mean")
@@ -41,7 +52,7 @@ def op7_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op6_url_filter, op7_pack_documents)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op4_quality_classifier, op5_top_k_search, op6_url_filter, op7_pack_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
