@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sanmaru.llm import sql
 from sanmaru.llm.common import table
 from sanmaru.llm.exact_dedup import exact_dedup
+from sanmaru.llm.jaccard_join import jaccard_components
 from sanmaru.llm.mixing import mix_documents
 from sanmaru.llm.packing import pack_documents
 from sanmaru.llm.quality import fit_sample, score_quality
@@ -51,8 +52,12 @@ def op7_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op4_quality_classifier, op5_top_k_search, op6_url_filter, op7_pack_documents)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op4_quality_classifier, op5_top_k_search, op6_url_filter, op7_pack_documents, op8_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
