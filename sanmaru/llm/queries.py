@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from sanmaru.llm import sql
 from sanmaru.llm.common import table
 from sanmaru.llm.exact_dedup import exact_dedup
+from sanmaru.llm.html_extract import extract_pages
 from sanmaru.llm.jaccard_join import jaccard_components
 from sanmaru.llm.mixing import mix_documents
 from sanmaru.llm.packing import pack_documents
 from sanmaru.llm.quality import fit_sample, score_quality
+from sanmaru.llm.quotes import link_quotations
+from sanmaru.llm.secrets import scan_secrets
 from sanmaru.llm.topk_search import top_k
 from sanmaru.llm.url_filter import judge_urls
 
@@ -26,6 +29,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
@@ -56,8 +63,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_link_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op4_quality_classifier, op5_top_k_search, op6_url_filter, op7_pack_documents, op8_jaccard_join)}
+    listed = (
+        op1_html_extract, op2_mix_sources, op3_exact_dedup, op4_quality_classifier, op5_top_k_search, op6_url_filter,
+        op7_pack_documents, op8_jaccard_join, op9_link_quotations, op10_secret_scan, pipeline,
+    )
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
