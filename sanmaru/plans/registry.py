@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sanmaru.plans import cube_queries  # noqa: F401
+    from sanmaru.plans import cube_queries, tool_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
