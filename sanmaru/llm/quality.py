@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sanmaru.llm.common import cut
+
 #: Rows of the embedding table, as a power of two, and their size.
 TABLE_BITS, DIM = 17, 16
 #: Labelled documents to learn from, at most, and the longest of them in characters.
@@ -99,8 +101,10 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, char
     Rows whose ``crc32(doc_id)`` is divisible by 5 are held out.
     """
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    texts = docs.filter((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & (F.length("text") <= chars)).select("doc_id", "text")
-    picked = texts.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    usable = docs.filter((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & (F.length("text") <= chars))
+    order = F.xxhash64("doc_id")
+    ids = usable.select("doc_id").join(known, "doc_id").distinct().orderBy(order, "doc_id").limit(rows)  # narrow rows until the sample is known
+    picked = usable.select("doc_id", "text").join(F.broadcast(cut(ids)), "doc_id").orderBy(order, "doc_id", "text").limit(rows).collect()
     return fit([r.text.encode() for r in picked], [int(r.quality) for r in picked])
 
 
