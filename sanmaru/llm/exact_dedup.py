@@ -40,7 +40,7 @@ class DigestIndex:
     def flush(self, rows: DataFrame) -> DataFrame:
         """Write ``rows(digest, id)`` as a level-0 run, one sorted file for each memtable, and return the run."""
         self.schema = rows.select("digest", "id").schema
-        self.runs.append(self._write(rows.select("digest", "id"), f"l0-{len(self.runs):05d}"))
+        self.runs.append(self._write(rows.select("digest", "id"), f"l0-{uuid.uuid4().hex[:8]}"))
         return self.spark.read.schema(self.schema).parquet(self.runs[-1])
 
     def compact(self) -> DataFrame:
