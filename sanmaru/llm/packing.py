@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -15,14 +19,30 @@ from pyspark.sql import functions as F
 from sanmaru.llm.common import cut
 
 #: Words whose ids a Python worker remembers; the memory this takes is bounded, whatever the input.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
 #: Pieces of one length that one task ranks, on average.
 RANK_ROWS = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Between an ASCII letter and ASCII punctuation, where the tokenizer always splits.
+BOUNDARY = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Parts of a text whose ids, one after the other, are the ids of the text.
+
+    White space and the step from a letter to punctuation always split. ASCII letters are lower-cased first, as the
+    tokenizer does, unless the text holds combining marks (composition comes before case) or may hold special tokens.
+    """
+    b = (text or "").encode()
+    if b"<|" in b or b"\xcc" in b or b"\xcd" in b:
+        return b.split()
+    return BOUNDARY.sub(b" ", b.lower()).split()
+
+
 class WordIds:
-    """Token ids of texts, word by word: ASCII white space always ends a token, so words can be encoded apart."""
+    """Token ids of texts, word by word, with a cache of words that is emptied when it is full."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -30,18 +50,31 @@ class WordIds:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.start, self.length, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.used = 0
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        model = self.tokenizer.model.tokenize  # all that is left to do for a run of small ASCII letters
+        return [[t.id for t in model(w)] if p else next(rest).ids for w, p in zip(words, plain, strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
         new = list(words.difference(self.index))
         if not new:
             return
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        got = self._ids([w.decode() for w in new])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))])
+        total, first = int(sizes.sum()), len(self.index)
+        while first + len(new) > len(self.start):
+            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.length[first : first + len(new)] = sizes
+        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.used += total
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -50,22 +83,27 @@ class WordIds:
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def known_words(tokenizer_path: str) -> WordIds:
+    """The cache of this Python worker, which later tasks of the worker find filled."""
+    held = sys.modules.setdefault("sanmaru_worker_words", types.ModuleType("sanmaru_worker_words")).__dict__
+    if tokenizer_path not in held:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        held[tokenizer_path] = WordIds(Tokenizer.from_file(tokenizer_path))
+    return held[tokenizer_path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of each document, each of ``width`` ids but the last: ``doc_id, start, length, ids_crc32, doc_tokens``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        known = WordIds(Tokenizer.from_file(tokenizer_path))
+        known = known_words(tokenizer_path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                words = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                for doc in words:
-                    known.learn(set(doc))
+                words = [words_of(t) for t in batch.column(1).to_pylist()]
+                known.learn(set().union(*words))
                 rows: list[tuple] = []
                 for doc_id, doc in zip(batch.column(0).to_pylist(), words, strict=True):
                     ids = np.append(known.encode(doc), np.uint32(end_id)).astype("<u4")
