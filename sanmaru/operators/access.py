@@ -37,7 +37,7 @@ def nearest(origins: DataFrame, facilities: DataFrame, start_km: float = 8.0) ->
     """
     open_, done, km = origins.select("code", "lat", "lng"), None, start_km
     places = facilities.select(F.col("lat").alias("f_lat"), F.col("lng").alias("f_lng")).distinct()
-    while km < 20_100:
+    while km < 80_400:  # the last ring spans the globe
         near = places.withColumn("band", F.floor(F.col("f_lat") / (km * DEGREE_PER_KM)).cast("long"))
         pairs = _with_bands(open_, km, 1).join(near, "band").groupBy("code").agg(F.min(haversine_km(F.col("lat"), F.col("lng"), F.col("f_lat"), F.col("f_lng"))).alias("nearest_km"))
         found = pairs.filter(F.col("nearest_km") <= km)
