@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from sanmaru.functions.text import bm25_term, cosine, tokens
 
+#: Query vectors that are scored at a time.
+MAX_QUERIES = 1000
+
 
 def document_tokens(chunks: DataFrame) -> DataFrame:
     """``id, length, token``: one row for each distinct token of a chunk."""
@@ -52,8 +55,10 @@ def hybrid(lexical: DataFrame, vectors: DataFrame, lexical_weight: float = 0.55,
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of a bounded set of queries (broadcast) with all vectors."""
-    asked = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q_")).limit(1000))
+    """Cosine of at most ``MAX_QUERIES`` queries, which are broadcast, with all vectors."""
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries at a time")
+    asked = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q_")))
     return vectors.crossJoin(asked).select("query_id", "id", cosine(F.col("q_"), F.col("vector")).alias("score"))
 
 

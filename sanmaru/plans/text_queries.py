@@ -70,7 +70,7 @@ def fn_cosine(spark, d):
 @query("fn_dot", f"SELECT q.vec_id AS query_id, v.vec_id AS id, {sql6('list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])', 'score')} FROM embeddings q JOIN embeddings v ON q.vec_id < 5")
 def fn_dot(spark, d):
     v = _vectors(spark, d)
-    q = F.broadcast(v.filter("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("q")).limit(5))
+    q = F.broadcast(v.filter("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("q")))  # five vectors
     return v.crossJoin(q).select("query_id", "id", r6(X.dot(F.col("q"), F.col("vector")), "score"))
 
 
