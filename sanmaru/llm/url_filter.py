@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import LOWER, UPPER, broadcast_upto
+from sanmaru.llm.common import LOWER, UPPER, broadcast_upto, cut
 
 #: (verdict, rule): a rule is a host, then the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -33,8 +33,8 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return name, verdict
 
 
-def _strength(stats: DataFrame) -> DataFrame:
-    """One row ``m``: prior strength of a level by moments, from ``stats(n, x, parent_mean)`` of its members."""
+def _strength(stats: DataFrame) -> float:
+    """Prior strength of a level by moments, from ``stats(n, x, parent_mean)`` of its members."""
     sums = stats.agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("parent_mean")).alias("np"),
         F.sum(F.col("n") * F.pow(F.col("x") / F.col("n") - F.col("parent_mean"), F.lit(2))).alias("s"),
@@ -43,15 +43,14 @@ def _strength(stats: DataFrame) -> DataFrame:
     v = p * (1 - p)
     gamma = F.try_divide(F.col("s") - v * (F.col("k") - 1), v * (F.col("n") - F.try_divide(F.col("nn"), F.col("n")) - (F.col("k") - 1)))
     bounded = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.coalesce(gamma, F.lit(0.1))))
-    return sums.select(((1 - bounded) / bounded).alias("m"))
+    return sums.select(((1 - bounded) / bounded).alias("m")).first().m
 
 
 def _level(counts: DataFrame, keys: list[str], parents: DataFrame, parent_keys: list[str], total_mean: float) -> DataFrame:
     """Posterior means of one level: its outcomes shrunk to the posterior mean of its parent."""
     own = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     own = own.join(parents, parent_keys, "left") if parent_keys else own.withColumn("parent_mean", F.lit(total_mean))
-    strength = F.broadcast(_strength(own))  # one row
-    return own.crossJoin(strength).withColumn("mean", (F.col("x") + F.col("m") * F.col("parent_mean")) / (F.col("n") + F.col("m")))
+    return own.withColumn("m", F.lit(_strength(own))).withColumn("mean", (F.col("x") + F.col("m") * F.col("parent_mean")) / (F.col("n") + F.col("m")))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
@@ -63,6 +62,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     """
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("x")).filter("n > 0")
     counts = counts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    counts = cut(counts)
     total = counts.agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
     overall = (total.x / total.n) if total.n else 0.0
     suffixes = _level(counts, ["suffix"], counts, [], overall)
