@@ -50,9 +50,12 @@ def roll_up_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy(parent_code(F.col("code")).alias("code")).agg(F.min_by(parent_name(F.col("name")), "ordinal").alias("name"), F.sum("area_km2").alias("area_km2"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count(F.lit(1)).alias("members"))
 
 
-def z_scores(df: DataFrame, value: str, out: str = "z") -> DataFrame:
-    """Population z-scores; a spread of 0 counts as 1."""
-    return with_stats(df, mean_=F.avg(value), sd_=F.stddev_pop(value)).withColumn(out, (F.col(value) - F.col("mean_")) / F.coalesce(F.nullif(F.col("sd_"), F.lit(0.0)), F.lit(1.0))).drop("mean_", "sd_")
+def z_scores(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Population z-scores of each ``(value, out)`` in one pass; a spread of 0 counts as 1."""
+    stats = {k: v for value, out in pairs for k, v in ((f"mean_{out}", F.avg(value)), (f"sd_{out}", F.stddev_pop(value)))}
+    rows = with_stats(df, **stats)
+    scores = {out: (F.col(value) - F.col(f"mean_{out}")) / F.coalesce(F.nullif(F.col(f"sd_{out}"), F.lit(0.0)), F.lit(1.0)) for value, out in pairs}
+    return rows.withColumns(scores).drop(*stats)
 
 
 def min_max_scores(df: DataFrame, value: str, out: str = "score", least_span: float = 1e-9, single: float | None = 50.0) -> DataFrame:
@@ -62,13 +65,18 @@ def min_max_scores(df: DataFrame, value: str, out: str = "score", least_span: fl
     return rows.withColumn(out, F.when(F.col("n_") == 1, F.lit(single)).otherwise(score) if single is not None else score).drop("lo_", "hi_", "n_")
 
 
-def winsor_scores(df: DataFrame, value: str, out: str, inverted: bool = False, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Clamp to two interpolated percentiles, then 0-100; a span of 0 scores 0 in either direction; null stays null."""
-    rows = with_stats(df, p_=F.percentile(value, F.array(F.lit(low), F.lit(high))))
-    lo, hi = F.col("p_")[0], F.col("p_")[1]
-    held = F.greatest(lo, F.least(hi, F.col(value)))
-    share = (held - lo) / F.nullif(hi - lo, F.lit(0.0)) * 100
-    return rows.withColumn(out, F.when(F.col(value).isNull(), None).when(hi == lo, 0.0).otherwise((100 - share) if inverted else share)).drop("p_")
+def winsor_scores(df: DataFrame, *columns: tuple[str, str, bool], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """For each ``(value, out, inverted)``, in one pass: clamp to two interpolated percentiles, then 0-100.
+
+    A span of 0 scores 0 in either direction; null stays null.
+    """
+    stats = {f"p_{out}": F.percentile(value, F.array(F.lit(low), F.lit(high))) for value, out, _ in columns}
+    rows, scores = with_stats(df, **stats), {}
+    for value, out, inverted in columns:
+        lo, hi = F.col(f"p_{out}")[0], F.col(f"p_{out}")[1]
+        share = (F.greatest(lo, F.least(hi, F.col(value))) - lo) / F.nullif(hi - lo, F.lit(0.0)) * 100
+        scores[out] = F.when(F.col(value).isNull(), None).when(hi == lo, 0.0).otherwise((100 - share) if inverted else share)
+    return rows.withColumns(scores).drop(*stats)
 
 
 def color_bins(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
@@ -95,15 +103,14 @@ def cross(a: DataFrame, b: DataFrame, sign: int) -> DataFrame:
     Only codes with both values count, and the z-scores are theirs.
     """
     both = a.join(b, "code").filter("a is not null and b is not null")
-    scored = z_scores(z_scores(both, "a", "za"), "b", "zb").withColumn("combined", F.col("za") + sign * F.col("zb"))
+    scored = z_scores(both, ("a", "za"), ("b", "zb")).withColumn("combined", F.col("za") + sign * F.col("zb"))
     return min_max_scores(scored, "combined")
 
 
 def multi(operands: list[tuple[DataFrame, int]]) -> DataFrame:
     """Signed z-scores of three or more ``(code, value)`` tables, summed over the codes that all have."""
     joined = reduce(lambda x, y: x.join(y, "code"), [d.filter("value is not null").withColumnRenamed("value", f"v{i}") for i, (d, _) in enumerate(operands)])
-    for i in range(len(operands)):
-        joined = z_scores(joined, f"v{i}", f"z{i}")
+    joined = z_scores(joined, *[(f"v{i}", f"z{i}") for i in range(len(operands))])
     combined = reduce(lambda x, y: x + y, [s * F.col(f"z{i}") for i, (_, s) in enumerate(operands)])
     return min_max_scores(joined.withColumn("combined", combined), "combined")
 
@@ -146,7 +153,7 @@ def small_base(ranked: DataFrame, top: int = 10, least: int = 8) -> DataFrame:
 def trend_cross(a: DataFrame, b: DataFrame, sign_a: int, sign_b: int) -> DataFrame:
     """``a(code, a)`` and ``b(code, b)`` are change rates: signed z-scores summed; ``matches`` if both have their sign."""
     both = a.join(b, "code").filter("a is not null and b is not null")
-    scored = z_scores(z_scores(both, "a", "za"), "b", "zb").withColumn("combined", sign_a * F.col("za") + sign_b * F.col("zb"))
+    scored = z_scores(both, ("a", "za"), ("b", "zb")).withColumn("combined", sign_a * F.col("za") + sign_b * F.col("zb"))
     return min_max_scores(scored, "combined").withColumn("matches", (sign_a * F.col("a") > 0) & (sign_b * F.col("b") > 0))
 
 

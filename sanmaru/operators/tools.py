@@ -33,8 +33,7 @@ def scarcity(series: DataFrame, cells: DataFrame, facilities: DataFrame, month_n
     """Vulnerability index of density, elderly ratio, distance and count (few facilities score high)."""
     now = series.filter(F.col("month_no") == month_no).join(cells, "code").join(access(cells, facilities, INDEX_KM), "code")
     rows = now.withColumn("density", F.col("population") / F.col("area_km2")).withColumn("ratio", percentage(F.col("elderly"), F.col("population"))).withColumn("count", F.col("within").cast("double"))
-    for value, inverted in (("density", False), ("ratio", False), ("nearest_km", False), ("count", True)):
-        rows = winsor_scores(rows, value, f"s_{value}", inverted)
+    rows = winsor_scores(rows, *[(v, f"s_{v}", v == "count") for v in ("density", "ratio", "nearest_km", "count")])
     index = vulnerability(F.col("s_density"), F.col("s_ratio"), F.col("s_nearest_km"), F.col("s_count"))
     return _ranked(rows, index, True, True, half_up(F.col("nearest_km"), 2).alias("nearest_km"), "within")
 

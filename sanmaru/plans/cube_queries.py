@@ -67,7 +67,7 @@ def join_sgg_broadcast(spark, d):
 
 @query("win_zscore", with_ctes("cube", NOW + f" SELECT code, {sql6('(rev - avg(rev) OVER ()) / coalesce(nullif(stddev_pop(rev) OVER (), 0), 1)', 'z')} FROM now"))
 def win_zscore(spark, d):
-    return C.z_scores(now(spark, d), "rev").select("code", r6("z"))
+    return C.z_scores(now(spark, d), ("rev", "z")).select("code", r6("z"))
 
 
 @query("win_zscore_multi", with_ctes("cube", f"SELECT code, month_no, {sql6('(qty - avg(qty) OVER w) / coalesce(nullif(stddev_pop(qty) OVER w, 0), 1)', 'z')} FROM cube WINDOW w AS (PARTITION BY month_no)"))
@@ -92,7 +92,7 @@ _WINSOR = "WITH p AS (SELECT quantile_cont(rev, 0.05) AS lo, quantile_cont(rev,
 
 @query("win_winsor", with_ctes("cube", _WINSOR.format(sql6("CASE WHEN hi = lo THEN 0 ELSE (greatest(lo, least(hi, rev)) - lo) / (hi - lo) * 100 END", "score") + ", " + sql6("CASE WHEN hi = lo THEN 0 ELSE 100 - (greatest(lo, least(hi, rev)) - lo) / (hi - lo) * 100 END", "inverted"))))
 def win_winsor(spark, d):
-    rows = C.winsor_scores(C.winsor_scores(now(spark, d), "rev", "score"), "rev", "inverted", inverted=True)
+    rows = C.winsor_scores(now(spark, d), ("rev", "score", False), ("rev", "inverted", True))
     return rows.select("code", r6("score"), r6("inverted"))
 
 
@@ -332,4 +332,4 @@ def fn_unit_label(spark, d):
 def fn_standing(spark, d):
     from sanmaru.functions.numeric import standing
 
-    return C.z_scores(now(spark, d), "rev").select("code", standing(F.col("z")).alias("standing"))
+    return C.z_scores(now(spark, d), ("rev", "z")).select("code", standing(F.col("z")).alias("standing"))

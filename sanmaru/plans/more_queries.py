@@ -194,7 +194,7 @@ def win_rank(spark, d):
 
 @query("win_zscore_trend", with_ctes("cube", _TREND_CUBE.format(m="rev") + f" SELECT code, {sql6(_Z.format(v='change'), 'z')} FROM c WHERE change IS NOT NULL"))
 def win_zscore_trend(spark, d):
-    return C.z_scores(C.trends(_last_year(spark, d), "rev", 12).filter("change is not null"), "change").select("code", r6("z"))
+    return C.z_scores(C.trends(_last_year(spark, d), "rev", 12).filter("change is not null"), ("change", "z")).select("code", r6("z"))
 
 
 @query("win_trend_rank", with_ctes("cube", _TREND_CUBE.format(m="qty") + f" SELECT code, {sql6('change', 'change')}, row_number() OVER (ORDER BY change ASC, code)::INT AS rank FROM c WHERE change IS NOT NULL"))

@@ -71,10 +71,10 @@ def test_percentile_rank_takes_the_upper_rank_of_ties(spark):
 
 def test_winsor(spark):
     rows = spark.createDataFrame([("a", 0.0), ("b", None), ("c", 10.0)], "code string, v double")
-    assert [r.s for r in C.winsor_scores(rows, "v", "s").orderBy("code").collect()] == [0.0, None, 100.0]
-    assert [r.s for r in C.winsor_scores(rows, "v", "s", inverted=True).orderBy("code").collect()] == [100.0, None, 0.0]
+    assert [r.s for r in C.winsor_scores(rows, ("v", "s", False)).orderBy("code").collect()] == [0.0, None, 100.0]
+    assert [r.s for r in C.winsor_scores(rows, ("v", "s", True)).orderBy("code").collect()] == [100.0, None, 0.0]
     flat = spark.createDataFrame([("a", 3.0), ("b", 3.0)], "code string, v double")
-    assert {r.s for r in C.winsor_scores(flat, "v", "s", inverted=True).collect()} == {0.0}
+    assert {r.s for r in C.winsor_scores(flat, ("v", "s", True)).collect()} == {0.0}
 
 
 def test_breaks_and_bins(spark):
