@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import broadcast_upto, shared_dir
+from sanmaru.llm.common import broadcast_upto, cut, shared_dir
 
 #: Digests of hits that may be broadcast: 32 bytes each, so about 50 MB with overhead.
 HITS_BROADCAST = 500_000
@@ -78,6 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(index.keep("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min("body").alias("lo"), F.max("body").alias("hi"))
         .select("digest", "keep_id", F.when(F.col("lo") == F.col("hi"), F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest"))).alias("group_size"))
     )
+    proven = broadcast_upto(cut(proven), HITS_BROADCAST)  # written, so that beyond the bound the join may split hot digests
     out = run.join(proven, "digest", "left").select(
         F.col("id").alias("doc_id"),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),

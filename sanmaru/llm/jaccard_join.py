@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import broadcast_upto, cut
+from sanmaru.llm.common import broadcast_upto, cut, tidy
 from sanmaru.llm.components import components
 
 #: Words of a shingle; links at similarity of NUM/DEN or more.
@@ -110,7 +110,7 @@ def _whole_sets(docs: DataFrame, picked: DataFrame, extra: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _lists([shingle_set(t) for t in batch.column(1).to_pylist()])], names=["id", extra, "keys"])
 
     found = docs.join(broadcast_upto(picked, IDS_BROADCAST), "id").select("id", "text", F.col(extra).cast("long").alias(extra))
-    return found.mapInArrow(run, f"id long, {extra} long, keys array<long>")
+    return found.mapInArrow(tidy(run), f"id long, {extra} long, keys array<long>")
 
 
 def _pairs_in_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,14 +276,14 @@ def _large_groups(sets: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int64()), _lists(list(cols[5]))], names=["label", "id", "home", "near", "size", "keys"])
 
-    placed = cut(sets.select("label", "id", "keys").join(pivots, "label").select("label", "id", "keys", "size", "pivots").mapInArrow(cells, "label long, id long, home long, near array<long>, size long, keys array<long>"))
+    placed = cut(sets.select("label", "id", "keys").join(pivots, "label").select("label", "id", "keys", "size", "pivots").mapInArrow(tidy(cells), "label long, id long, home long, near array<long>, size long, keys array<long>"))
     counts = placed.groupBy("label", "home").agg(F.count(F.lit(1)).alias("n"))
     blocks = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("home", F.ceil(F.col("n") / BLOCK)))).alias("blocks"))  # at most PIVOTS entries
     own = placed.join(cut(blocks), "label").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.element_at("blocks", F.col("home"))))
     to = own.withColumn("cell", F.explode(F.filter("near", lambda c: F.map_contains_key("blocks", c)))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at("blocks", F.col("cell")) - 1)))
     mine, other = F.struct(F.col("home").alias("c"), F.col("block").alias("b")), F.struct(F.col("cell").alias("c"), F.col("other").alias("b"))
     sided = to.select(F.xxhash64("label", F.least(mine, other), F.greatest(mine, other)).alias("pair"), F.when(mine <= other, 0).otherwise(1).cast("long").alias("side"), "id", "keys")
-    return sided.repartition("pair").sortWithinPartitions("pair").mapInArrow(_join_blocks, "a long, b long")
+    return sided.repartition("pair").sortWithinPartitions("pair").mapInArrow(tidy(_join_blocks), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = cut(docs.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, keys array<long>"))
+    sketches = cut(docs.mapInArrow(tidy(_sketches), "id long, n long, d1 long, d2 long, keys array<long>"))
     narrow = sketches.select("id", "n", "d1", "d2")
 
     same = narrow.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
@@ -329,11 +329,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             first = [np.concatenate([x[~f], x[f]])[: _window(len(x))] for x, f in ((x, is_frequent(x)) for x in keys)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in keys], pa.int64()), _lists(first)], names=["id", "n", "keys"])
 
-    windows = sets.mapInArrow(rare_first, "id long, n long, keys array<long>")
+    windows = sets.mapInArrow(tidy(rare_first), "id long, n long, keys array<long>")
     short = cut(windows.filter("size(keys) = 0").select("id", F.lit(0).cast("long").alias("x")).distinct())
-    windows = windows.filter("size(keys) > 0").unionByName(_whole_sets(docs, short, "x").mapInArrow(reordered, "id long, n long, keys array<long>"))
+    windows = windows.filter("size(keys) > 0").unionByName(_whole_sets(docs, short, "x").mapInArrow(tidy(reordered), "id long, n long, keys array<long>"))
     rows = windows.select(F.explode("keys").alias("key"), "id", "n", F.size("keys").cast("long").alias("kept"))
-    regions = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_in_regions, "a long, b long, need long")
+    regions = rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_pairs_in_regions), "a long, b long, need long")
     pairs = cut(regions.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("common")))
 
     unseen = pairs.filter("need = -1").groupBy("b").agg(F.sum("common").alias("unseen"))  # keys whose regions are large
@@ -345,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > BLOCK)
     large = broadcast_upto(cut(sizes.select("label")), IDS_BROADCAST)
     picked = cut(_whole_sets(docs, groups.select("id", "label"), "label").select("label", "id", "keys"))
-    small = picked.join(large, "label", "left_anti").repartition("label").sortWithinPartitions("label").mapInArrow(_join_groups, "id long, component long")
+    small = picked.join(large, "label", "left_anti").repartition("label").sortWithinPartitions("label").mapInArrow(tidy(_join_groups), "id long, component long")
     if large.limit(1).count():
         links = components(cut(_large_groups(cut(picked.join(large, "label", "left_semi")))))
         small = small.unionByName(links.select("id", F.col("label").alias("component")))

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import cut
+from sanmaru.llm.common import cut, tidy
 
 #: Words whose ids a Python worker remembers; the memory this takes is bounded, whatever the input.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 250_000
 #: Pieces of one length that one task ranks, on average.
-RANK_ROWS = 1024
+RANK_ROWS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int,
                 if len(known.index) > CACHE_WORDS:
                     known.clear()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), PIECES)
 
 
 def plan_packs(histogram: dict[int, int], width: int) -> list[tuple[int, list[tuple[int, int]]]]:

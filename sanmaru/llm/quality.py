@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import cut
+from sanmaru.llm.common import cut, tidy
 
 #: Rows of the embedding table, as a power of two, and their size.
 TABLE_BITS, DIM = 17, 16
@@ -122,6 +122,6 @@ def score_quality(docs: DataFrame, model: QualityModel, accept: float = 0.3, id_
             scores = [m.score((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(tidy(run), "doc_id long, score double")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))

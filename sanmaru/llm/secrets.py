@@ -11,10 +11,9 @@ import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import WORD
+from sanmaru.llm.common import WORD, cut
 
 #: Characters of a candidate at least, and of what is read of it at most when features are computed.
 LEAST = 12
@@ -154,8 +153,10 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     words = dictionary(docs)
     found = candidates(docs)
     known = findings if findings is not None else labelled_findings(found)
-    shares = known.groupBy("candidate", "before").agg(F.max("label").alias("label"))
-    taken = shares.withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("candidate", "before"), "candidate", "before"))).filter(F.col("nth") <= MAX_FINDINGS // 2)
+    shares = cut(known.groupBy("candidate", "before").agg(F.max("label").alias("label")))
+    order = [F.xxhash64("candidate", "before"), "candidate", "before"]
+    halves = [shares.filter(F.col("label") == label).orderBy(*order).limit(MAX_FINDINGS // 2) for label in (0, 1)]
+    taken = cut(halves[0].unionByName(halves[1]))
     sample = with_features(taken, words).orderBy("candidate", "before").select(*FEATURES, "label").collect()
     forest = fit_forest([[float(r[f]) for f in FEATURES] for r in sample], [int(r.label) for r in sample])
     score = F.expr("(" + " + ".join(f"({t.sql()})" for t in forest) + f") / {len(forest)}")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import cut
+from sanmaru.llm.common import cut, tidy
 
 #: Queries of a block, on average: their vectors, ranges and histograms are what a task holds besides its batch.
 BLOCK_QUERIES = 1024
@@ -55,7 +55,7 @@ def _histogram(vectors: DataFrame, held, k: int) -> DataFrame:
         q, b = np.nonzero((counts > 0) & (above < k))
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(counts[q, b])], names=["q", "bin", "n"])
 
-    return vectors.mapInArrow(run, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    return vectors.mapInArrow(tidy(run), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
 def _best(vectors: DataFrame, held, k: int) -> DataFrame:
@@ -72,7 +72,7 @@ def _best(vectors: DataFrame, held, k: int) -> DataFrame:
         rows = _smallest(np.concatenate(kept), k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[rows[:, 0]], pa.int64()), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
 
 
 def _smallest(rows: np.ndarray, k: int) -> np.ndarray:
