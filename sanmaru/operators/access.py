@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sanmaru.functions.geo import haversine_km, in_polygon
+from sanmaru.session import written
 
 #: Degrees of latitude in a km, rounded up so that a band never misses a neighbour.
 DEGREE_PER_KM = 1 / 110.5
@@ -33,20 +34,24 @@ def within_radius(origins: DataFrame, facilities: DataFrame, km: float) -> DataF
 def nearest(origins: DataFrame, facilities: DataFrame, start_km: float = 8.0) -> DataFrame:
     """``code, nearest_km``: distance to the nearest facility, null if there is none.
 
-    Rings of latitude bands grow fourfold until every origin has a facility no farther than its ring reaches.
+    Rings of latitude bands grow fourfold until every origin has a facility no farther than its ring reaches. Each ring
+    is written before the next one reads what it left open, so that plans don't nest. A code with several origins takes
+    the smallest distance of them.
     """
-    open_, done, km = origins.select("code", "lat", "lng"), None, start_km
-    places = facilities.select(F.col("lat").alias("f_lat"), F.col("lng").alias("f_lng")).distinct()
-    while km < 80_400:  # the last ring spans the globe
+    open_, done, km = origins.select("code", "lat", "lng").distinct(), None, start_km
+    places = written(facilities.select(F.col("lat").alias("f_lat"), F.col("lng").alias("f_lng")).filter("f_lat is not null and f_lng is not null").distinct())
+    while km < 80_400 and not places.isEmpty():  # the last ring spans the globe
         near = places.withColumn("band", F.floor(F.col("f_lat") / (km * DEGREE_PER_KM)).cast("long"))
-        pairs = _with_bands(open_, km, 1).join(near, "band").groupBy("code").agg(F.min(haversine_km(F.col("lat"), F.col("lng"), F.col("f_lat"), F.col("f_lng"))).alias("nearest_km"))
-        found = pairs.filter(F.col("nearest_km") <= km)
+        best = F.min(haversine_km(F.col("lat"), F.col("lng"), F.col("f_lat"), F.col("f_lng")))
+        ring = written(_with_bands(open_, km, 1).join(near, "band", "left").groupBy("code", "lat", "lng").agg(best.alias("km")))
+        found = ring.filter(F.col("km") <= km).groupBy("code").agg(F.min("km").alias("nearest_km"))
         done = found if done is None else done.unionByName(found)
-        rest = open_.join(found.select("code"), "code", "left_anti")
-        if rest.isEmpty():
+        open_, km = ring.filter((F.col("km").isNull() | (F.col("km") > km)) & F.col("lat").isNotNull() & F.col("lng").isNotNull()).drop("km"), km * 4
+        if open_.isEmpty():
             break
-        open_, km = rest, km * 4
-    return origins.select("code").join(done, "code", "left")
+    if done is None:
+        return origins.select("code", F.lit(None).cast("double").alias("nearest_km"))
+    return origins.select("code").join(done.groupBy("code").agg(F.min("nearest_km").alias("nearest_km")), "code", "left")
 
 
 def access(origins: DataFrame, facilities: DataFrame, km: float) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sanmaru", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -25,3 +26,12 @@ def build_session(app: str = "sanmaru", master: str | None = None, partitions: i
 
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the folder that driver and executors share and read again, which cuts its lineage."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/sanmaru-shared/{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
