@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sanmaru.llm.common import cut, tidy
 
 #: Words whose ids a Python worker remembers; the memory this takes is bounded, whatever the input.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 #: Pieces of one length that one task ranks, on average.
 RANK_ROWS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
