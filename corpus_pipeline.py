@@ -1,7 +1,8 @@
 """Corpus pipeline: quality filter, exact dedup, near-duplicate removal, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows that its predecessor kept and returns the columns of
-``documents``; the last returns the packing of what is left. SQL can't express the classifier, the draws of the mix and
+``documents``; the last returns the packing of what is left. Stages decide about rows, not identifiers: null and shared
+identifiers and repeated rows are rows like all others. SQL can't express the classifier, the draws of the mix and
 the tokenizer, so there is no oracle; the tests compare the stages with brute force.
 """
 
@@ -9,43 +10,77 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import WORD, shared_dir, table
+from sanmaru.llm.common import WORD, cut, shared_dir, table
 from sanmaru.llm.exact_dedup import exact_dedup
 from sanmaru.llm.jaccard_join import jaccard_components
 from sanmaru.llm.mixing import mix_draws
 from sanmaru.llm.packing import pack_documents
-from sanmaru.llm.quality import fit_sample, score_quality
+from sanmaru.llm.quality import fit_sample, keep_accepted
 from sanmaru.llm.queries import tokenizer_path
 
+#: Column that tells the different rows of a stage apart.
+KEY = "row_key_"
+
+
+def _key(text_sha256: Column, *others: str) -> Column:
+    """What tells rows apart: identifier (null is a value like others), text and the ``others``."""
+    return F.to_json(F.struct("doc_id", *others, text_sha256.alias("sha"))).alias(KEY)
+
+
+def _sha() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
+def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` with one row for each ``KEY`` of ``repeated``. Each task sends at most one row of a key."""
+    if not repeated.limit(1).count():
+        return rows
+    first = F.row_number().over(W.partitionBy(KEY).orderBy(*[c for c in rows.columns if c != KEY]))
+    one = rows.join(repeated, KEY, "left_semi").withColumn("first_", first).filter("first_ = 1").select(rows.columns)
+    return rows.join(repeated, KEY, "left_anti").select(rows.columns).union(one)
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects."""
-    model = fit_sample(docs, table(spark, sf_dir, "labels"))
-    rejected = score_quality(docs, model).filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Drop the rows whose text the classifier rejects."""
+    return keep_accepted(docs, fit_sample(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    dropped = exact_dedup(docs, keep="max").filter("doc_id <> keep_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of equal texts: that with the largest identifier; null and empty texts are equal."""
+    found = exact_dedup(docs, keep="max").filter("group_size > 1").select(_key(F.col("text_sha256")), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"), "kept")
+    found = cut(found)
+    out, repeated = found.filter("not stays").select(KEY), found.filter("stays and not kept").select(KEY).distinct()
+    return _once(docs.withColumn(KEY, _key(_sha())).join(out, KEY, "left_anti"), repeated).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest identifier of each group of near copies."""
-    dropped = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keep the row with the smallest identifier of each group of near copies, one without only if no other has any.
+
+    Texts are the nodes of the link graph, by a 64-bit hash as the shingles are; texts without shingles all stay.
+    """
+    named = docs.withColumn("node", F.xxhash64("text"))
+    nodes = cut(jaccard_components(named, id_col="node").filter("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")).distinct())
+    rows = named.select(_key(_sha()), "node", "doc_id").groupBy(KEY, "node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(rows.join(nodes, "node").select(KEY, "group", "doc_id", "n"))
+    stay = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("s")).select(f"s.{KEY}")
+    out, repeated = placed.join(stay, KEY, "left_anti").select(KEY), placed.filter("n > 1").select(KEY)
+    return _once(docs.withColumn(KEY, _key(_sha())).join(out, KEY, "left_anti"), repeated).select(docs.columns)
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each draw of the mix; a document that is only taken in part keeps its first words."""
-    draws = mix_draws(docs).filter("words > 0").select("doc_id", "size", "words")
+    """A row for each draw of the mix; a document that is only taken in part keeps its first words.
+
+    Rows equal in all columns are exchangeable: one of them takes the draws of all.
+    """
+    rows = docs.withColumn(KEY, _key(_sha(), *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    draws = cut(mix_draws(rows, id_col=KEY).filter("words > 0").select(F.col("doc_id").alias(KEY), "copy", "size", "words"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("words").cast("int")), " ")
     text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
-    mixed = docs.join(draws, "doc_id").withColumn("text", text)
+    mixed = _once(rows, draws.filter("copy > 1").select(KEY).distinct()).join(draws.drop("copy"), KEY).withColumn("text", text)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -125,3 +125,17 @@ def score_quality(docs: DataFrame, model: QualityModel, accept: float = 0.3, id_
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(tidy(run), "doc_id long, score double")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def keep_accepted(docs: DataFrame, model: QualityModel, accept: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose own text the model accepts; identifiers play no part in it."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # 2^TABLE_BITS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                yield batch.filter(pa.array([m.score((t or "").encode()) >= accept for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

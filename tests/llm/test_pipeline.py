@@ -71,3 +71,29 @@ def test_run_gives_the_packing(spark, folder):
 
 def test_stage_list():
     assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "jaccard_join", "mixing", "packing"] and P.ORACLE_SQL is None
+
+
+def test_rows_with_repeated_shared_and_null_identifiers(spark, folder):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("bcdfglmnst") + rng.choice("aeiou") + rng.choice("lmnrst") + rng.choice(["a", "en", "o"]) for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    junk = b.upper() + "!!"
+    rows = [(9001, a), (9001, a), (9001, b), (None, c), (None, c), (None, d), (9002, e), (9003, e + " end"), (9003, f), (9004, g), (9001, junk), (None, junk)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "odd", len(t)) for i, t in rows]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").union(spark.createDataFrame(rows, schema))
+    odd = lambda df: Counter((r.doc_id, r.text) for r in df.filter("source = 'odd'").collect())
+    clean = P.quality_filter(spark, docs, folder)
+    assert odd(clean) == Counter((r[0], r[1]) for r in rows if r[1] != junk)
+    once = P.drop_exact_copies(spark, clean, folder)
+    assert odd(once) == Counter([(9001, a), (9001, b), (None, c), (None, d), (9002, e), (9003, e + " end"), (9003, f), (9004, g)])
+    apart = [(9001, a), (9001, b), (None, c), (None, d), (9002, e), (9003, f), (9004, g)]
+    assert odd(P.drop_near_copies(spark, once, folder)) == Counter(apart)
+    assert odd(P.drop_near_copies(spark, clean, folder)) == Counter(apart)
+    plain = spark.createDataFrame([(i, t, "en", "odd", 0) for i, t in apart + [(9001, a), (9001, a)]], schema)
+    mixed = P.mix_by_source(spark, plain, folder).collect()
+    size = Counter()
+    for r in mixed:
+        size[r.doc_id, r.text] += 1
+    assert sum(len(r.text.split()) for r in mixed) == 9 * 60 * 3 // 2
+    assert all(size[k] >= 1 for k in apart) and size[9001, a] in range(3, 7) and size[None, c] <= 2
