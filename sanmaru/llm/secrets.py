@@ -1,6 +1,6 @@
 """Secret scans with a random forest that removes false positives. DataFrame functions only on the main path.
 
-Candidates are long words. The forest reads their length, character transitions, dictionary coverage, path marks and the
+Candidates are long words and all words that a cue assigns. The forest reads their length, character transitions, dictionary coverage, path marks and the
 word before. It learns from labelled findings, at most ``MAX_FINDINGS``; its trees become one SQL expression.
 """
 
@@ -24,6 +24,9 @@ DICTIONARY, DICTIONARY_LETTERS = 2000, 2
 # Words that name a secret, and prefixes of keys with a public format.
 CUES = "password passwd pwd secret token key apikey api_key auth bearer credential credentials access private".split()
 KNOWN = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,})"
+#: A word, of any length and characters, that follows a cue with = or : or holds one, at the end of a text of up to three words.
+ASSIGNS = r"(?i)(?:" + "|".join(CUES) + r")[^\s=:]{0,64}\s*[=:]"
+ASSIGNED = ASSIGNS + r"+\s*[^\s=:]\S*$"
 KEYLIKE = "[0-9]|[A-Z]{16}|[a-z][A-Z].*[a-z][A-Z]"
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "changes", "hex", "covered", "path", "cue", "assigned", "quoted", "at_sign", "period")
 
@@ -37,11 +40,16 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[str]:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, finding_no, before, candidate`` of all words that hold a run of ``LEAST`` key characters and also a digit,
-    mixed case or a run of 16 capitals."""
+    mixed case or a run of 16 capitals, and of all words that follow or hold a cue with = or :, whatever they look like."""
     run = r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST
-    listed = docs.filter(F.col("text").rlike(run)).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
+    listed = docs.filter(F.col("text").rlike(run) | F.col("text").rlike(ASSIGNS)).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
+
+    def wanted(w: Column, last: Column, second: Column) -> Column:
+        marked = F.exists(F.array(w, F.coalesce(last, F.lit(""))), lambda x: x.contains("=") | x.contains(":"))  # spares most words the next test
+        return ((F.length(w) >= LEAST) & w.rlike(KEYLIKE) & w.rlike(run)) | (marked & F.concat_ws(" ", second, last, w).rlike(ASSIGNED))
+
     found = F.filter(
-        F.transform("words", lambda w, i: F.when((F.length(w) >= LEAST) & w.rlike(KEYLIKE) & w.rlike(run), F.struct(F.array(F.get("words", i - 2), F.get("words", i - 1)).alias("near"), w.alias("candidate")))),
+        F.transform("words", lambda w, i: F.when(wanted(w, F.get("words", i - 1), F.get("words", i - 2)), F.struct(F.array(F.get("words", i - 2), F.get("words", i - 1)).alias("near"), w.alias("candidate")))),
         lambda s: s.isNotNull(),
     )
     return listed.select("doc_id", F.posexplode(found).alias("finding_no", "f")).select("doc_id", "finding_no", F.array_join("f.near", " ").alias("before"), F.col("f.candidate").alias("candidate"))
@@ -134,12 +142,13 @@ def fit_forest(rows: list[list[float]], labels: list[int], trees: int = TREES, d
 
 def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings that formats and context label for certain: keys of a public format and assigned hexadecimal secrets are 1;
-    addresses, numbers and words of letters with a stray digit or none are 0; what is left has no label."""
+    addresses, numbers and words of letters with a stray digit or none are 0, unless a cue assigns them; what is left has
+    no label."""
     core, before = F.col("candidate"), F.col("before")
     named = F.concat_ws(" ", before, core)
     positive = core.rlike(KNOWN) | (named.rlike(r"(?i)(?:" + "|".join(CUES) + r")[\"']?\s*[=:]\s*[\"']?[0-9A-Za-z+/_-]{12,}[\"']?[.,;]?$") & core.rlike("[0-9].*[0-9]"))
     negative = core.rlike("@|://|^www[.]") | core.rlike(r"^[\"'(]?[0-9][0-9.,:+()/-]*[\"').,;]*$") | core.rlike(r"^\p{L}*[0-9]{0,2}\p{L}*[.,;:!?]*$")
-    return found.withColumn("label", F.when(positive, 1).when(negative, 0)).filter("label is not null")
+    return found.withColumn("label", F.when(positive, 1).when(negative & ~named.rlike(ASSIGNED), 0)).filter("label is not null")
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

@@ -53,3 +53,13 @@ def test_odd_rows(spark):
     assert scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
     known = spark.createDataFrame([("", "a1b2c3d4e5f6g7h8", 1), ("", "key4key4key4key4", 0)], "before string, candidate string, label int")
     assert scan_secrets(df, known).count() == 4
+
+
+def test_assigned_words_of_any_look_are_candidates(spark):
+    planted = ["password=correcthorsebatterystaple", "api_key=abcdefghijklmnopqrstuvwxyz", "pwd=P@ssw0rd!2024#", "password: hunter2", "secret = x", "Token =abc", '{"passwd":"pw"}']
+    plain = ["the river: blue", "ratio=3", "password", "a key", "token: ", "P@ssw0rd!2024#"]
+    df = spark.createDataFrame([(i, f"some house {t}", "", 0) for i, t in enumerate(planted + plain)], SCHEMA)
+    assert {r.doc_id: r.candidate for r in candidates(df).collect()} == {i: t.split()[-1] for i, t in enumerate(planted)}
+    more = spark.createDataFrame([(1000 + i, f"some house {t}", "", 0) for i, t in enumerate(planted)], SCHEMA)
+    got = {r.doc_id - 1000: r for r in scan_secrets(spark.createDataFrame(docs(300)[0], SCHEMA).union(more)).collect() if r.doc_id >= 1000}
+    assert set(got) == set(range(len(planted))) and got[0].secret and got[1].secret and got[3].secret
