@@ -38,6 +38,13 @@ def broadcast_upto(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def broadcast_bytes(df: DataFrame, *large: str, limit: int = 64 << 20) -> DataFrame | None:
+    """``df`` with a broadcast hint if its rows, with the strings and arrays in ``large``, take at most ``limit`` bytes, else None."""
+    sizes = [F.coalesce(F.length(c) if dict(df.dtypes)[c] in ("string", "binary") else 8 * F.size(c), F.lit(0)) for c in large]
+    total = df.agg(F.sum(sum(sizes, F.lit(100))).alias("bytes")).first().bytes or 0
+    return F.broadcast(df) if total <= limit else None
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``; at the end of a task the Python worker, which Spark keeps, gives freed memory back."""
 
