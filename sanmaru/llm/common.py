@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -21,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/sanmaru-shared/{spark.sparkContext.applicationId}"
+    """The folder that driver and executors share. Only a local session may go without one: it gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file:///tmp/sanmaru-shared/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,6 +51,19 @@ def broadcast_bytes(df: DataFrame, *large: str, limit: int = 64 << 20) -> DataFr
     return F.broadcast(df) if total <= limit else None
 
 
+def running_starts(sizes: DataFrame, keys: list[str], bucket: str, value: str, span: int = 4096) -> DataFrame:
+    """``keys, bucket, before``: what ``value`` adds up to in the lower buckets of the same keys.
+
+    Runs of ``span`` buckets are summed first, so that no task ranks all buckets of a key with very many rows.
+    """
+    before = lambda by, order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    runs = sizes.withColumn("run_", F.floor(F.col(bucket) / span))
+    firsts = runs.groupBy(*keys, "run_").agg(F.sum(value).alias("all_"))
+    firsts = firsts.select(*keys, "run_", F.coalesce(F.sum("all_").over(before(keys, "run_")), F.lit(0)).alias("first_"))
+    inside = runs.withColumn("before", F.coalesce(F.sum(value).over(before([*keys, "run_"], bucket)), F.lit(0)))
+    return inside.join(firsts, [*keys, "run_"]).select(*keys, bucket, (F.col("before") + F.col("first_")).alias("before"))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``; at the end of a task the Python worker, which Spark keeps, gives freed memory back."""
 

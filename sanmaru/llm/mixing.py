@@ -1,20 +1,20 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree. DataFrame functions only.
 
-The mix of a source is its permuted documents, taken in whole passes and one part pass until the target is met.
-It is cut into blocks of equal numbers of words. A binary tree over the output shards splits the exact block quotas
-of all sources: each node draws, without replacement, how many blocks of each source go left. Each leaf then owns
-disjoint runs of every source's permuted blocks, and a random key orders its draws.
+The permuted documents of a source, pass after pass, are cut into blocks of equal numbers of words; a document lies in
+the block of its first word. A binary tree over the output shards splits the exact block quotas of all sources: each
+node draws, without replacement, how many blocks of each source go left. Each leaf then owns disjoint runs of every
+source's blocks. What a document gives to the mix is what lies in blocks that a leaf owns, and a random key orders the
+draws of each shard.
 """
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import WORD, broadcast_upto, cut
+from sanmaru.llm.common import WORD, cut, running_starts
 
 #: Documents of a permutation bucket, on average; bounds what one task ranks, however large the source.
 BUCKET_ROWS = 1024
@@ -22,6 +22,8 @@ BUCKET_ROWS = 1024
 MAX_BLOCKS = 1 << 16
 #: Sources at most; their sizes and quotas are metadata that the driver holds.
 MAX_SOURCES = 100_000
+#: Words of a part of a shard that one task shuffles, on average.
+PART_WORDS = 20_000_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -42,58 +44,40 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     return ranked.withColumn("target", F.least(F.col("most"), F.coalesce(level_here, F.lit(0.0)) * F.col("weight"))).drop("most", "total", "level")
 
 
-def _draw(rng: random.Random, quota: list[int], n: int) -> list[int]:
-    """How many of ``n`` blocks, drawn without replacement, come from each source."""
-    rest, out = sum(quota), []
-    for q in quota:
-        if rest == q or n == 0:
-            got = min(q, n)
-        elif q * n > 100_000:  # normal approximation, kept within the support
-            mean = n * q / rest
-            sd = (mean * (1 - q / rest) * (rest - n) / max(1, rest - 1)) ** 0.5
-            got = min(q, n, max(0, n - (rest - q), round(rng.gauss(mean, sd))))
-        else:
-            got, left, total = 0, q, rest
-            for _ in range(n):
-                if rng.random() * total < left:
-                    got, left = got + 1, left - 1
-                total -= 1
-        out.append(got)
-        rest, n = rest - q, n - got
-    return out
-
-
 def split_quotas(quota: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Quotas of each shard: the tree halves the shards and draws what goes left."""
-    rng = random.Random(seed)
-
-    def node(q: list[int], k: int) -> list[list[int]]:
+    """Quotas of each shard: the tree halves the shards, and each node draws exactly what goes left."""
+    rng, out = np.random.default_rng(seed), []
+    stack = [(np.array(quota, np.int64), shards)]
+    while stack:
+        q, k = stack.pop()
         if k == 1:
-            return [q]
-        left = _draw(rng, q, sum(q) * (k // 2) // k)
-        return node(left, k // 2) + node([a - b for a, b in zip(q, left, strict=True)], k - k // 2)
-
-    return node(quota, shards)
+            out.append(q.tolist())
+            continue
+        left = rng.multivariate_hypergeometric(q, int(q.sum()) * (k // 2) // k, method="marginals")
+        stack += [(q - left, k - k // 2), (left, k // 2)]
+    return out
 
 
-def mix_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, shards: int | None = None) -> DataFrame:
-    """The draws of the mix: ``doc_id, source, copy, size, source_size, target, pass, words, shard, order_key``.
+def mix_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, shards: int | None = None, max_sources: int = MAX_SOURCES) -> DataFrame:
+    """The draws of the mix: ``doc_id, source, mark, copy, size, source_size, target, pass, words, shard, part, order_key``.
 
-    Each document has a row for each pass it is in, or one with 0 words; ``words`` under ``size`` means that only its
-    first words are taken (at most one document of each source). A source's words add up to its target, rounded.
-    ``copy`` numbers repeated rows of one identifier. Null texts have size 0; sources null, empty or of size 0 get what
+    Each document has a row for each pass it is in, or one with 0 words and no shard; ``words`` under ``size`` means that
+    only its first words are taken (at most one document of each source). A source's words add up to its target, rounded.
+    ``mark`` is a hash of the text; ``copy`` numbers rows that agree in identifier, source and text. ``part`` splits large
+    shards for the shuffle. More than ``max_sources`` sources, whose quotas the driver holds, are refused. Null texts have size 0; sources null, empty or of size 0 get what
     the rule gives them (target 0 at size 0). Reruns agree for the same rows and seed. An empty table gives no rows.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    rows = cut(rows.withColumn("copy", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "size"))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("mark"))
+    rows = rows.groupBy("doc_id", "source", "size", "mark").agg(F.count(F.lit(1)).alias("rows"))  # equal rows meet as counts
+    rows = cut(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     sources = cut(source_targets(sizes, weights, share, cap))
 
-    listed = sources.select("source_id", "target").orderBy("source_id").limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    listed = sources.select("source_id", "target").orderBy("source_id").limit(max_sources + 1).collect()
+    if len(listed) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
     total = sum(r.target for r in listed)
     block_words = max(1 << 10, -(-int(total) // MAX_BLOCKS))
     quota = [-(-round(r.target) // block_words) for r in listed]
@@ -103,13 +87,13 @@ def mix_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         for s, n in enumerate(part):
             owners += [(s, b, k) for b in range(at[s], at[s] + n)]
             at[s] += n
-    shard_of = F.broadcast(spark.createDataFrame(owners, "source_id int, block long, shard int"))  # at most MAX_BLOCKS + MAX_SOURCES rows
+    shard_of = F.broadcast(spark.createDataFrame(owners, "source_id int, block long, shard int"))  # at most MAX_BLOCKS + max_sources rows
 
-    rows = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])  # at most MAX_SOURCES rows
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "copy", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.ceil(F.col("source_docs") / BUCKET_ROWS)))
+    rows = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])  # at most max_sources rows
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "mark", "copy", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.ceil(F.col("source_docs") / BUCKET_ROWS)))
     buckets = rows.groupBy("source_id", "bucket").agg(F.sum("size").alias("bucket_size"))
-    starts = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(W.partitionBy("source_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("bucket_size")
-    within = W.partitionBy("source_id", "bucket").orderBy("key", "doc_id", "copy").rowsBetween(W.unboundedPreceding, -1)
+    starts = running_starts(buckets, ["source_id"], "bucket", "bucket_size").withColumnRenamed("before", "start")
+    within = W.partitionBy("source_id", "bucket").orderBy("key", "doc_id", "mark", "copy").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_id", "bucket"]).withColumn("before", F.col("before") + F.col("start"))
 
     goal = F.floor(F.col("target") + 0.5)
@@ -120,15 +104,23 @@ def mix_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.withColumn("words", F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(F.col("part")))
     rows = rows.withColumn("block", F.floor((F.col("pass") * F.col("source_size") + F.col("before")) / block_words))
-    rows = rows.join(shard_of, ["source_id", "block"], "left")
-    return rows.select("doc_id", "source", "copy", "size", "source_size", "target", "pass", "words", F.when(F.col("words") > 0, F.col("shard")).alias("shard"), F.xxhash64("key", "pass", F.lit("order")).alias("order_key"))
+    owned = rows.join(shard_of, ["source_id", "block"], "left").withColumn("shard", F.when(F.col("words") > 0, F.col("shard")))
+    order, parts = F.xxhash64("key", "pass", F.lit("order")), max(1, -(-int(total) // shards // PART_WORDS))
+    words = F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(F.lit(0))
+    return owned.select("doc_id", "source", "mark", "copy", "size", "source_size", "target", "pass", words.alias("words"), "shard", F.pmod(order, F.lit(parts)).alias("part"), order.alias("order_key"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """One row for each document: ``doc_id, size, source_size, target, taken, shards``; options as in ``mix_draws``."""
-    return mix_draws(docs, **options).groupBy("doc_id", "copy", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards")).drop("copy")
+    draws = mix_draws(docs, **options).groupBy("doc_id", "source", "mark", "copy", "size", "source_size", "target")
+    return draws.agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards")).drop("source", "mark", "copy")
+
+
+def shuffled(draws: DataFrame) -> DataFrame:
+    """Draws, with whatever columns were joined to them, in the order of the mix: by shard, in each by its random keys."""
+    return draws.repartition("shard", "part").sortWithinPartitions("shard", "part", "order_key")
 
 
 def write_mix(draws: DataFrame, path: str) -> None:
-    """Write the draws by shard, each shard in its own random order."""
-    draws.filter("words > 0").repartition("shard").sortWithinPartitions("shard", "order_key").write.partitionBy("shard").parquet(path)
+    """Write the draws that take words by shard, each shard in its own random order."""
+    shuffled(draws.filter("words > 0")).write.partitionBy("shard").parquet(path)

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from sanmaru.llm.exact_dedup import DigestIndex, exact_dedup
+from sanmaru.llm.exact_dedup import DigestIndex, Run, build_filter, exact_dedup, may_hold
 
 SCHEMA = "doc_id long, text string, digest string, keep_id int"
 
@@ -34,10 +34,22 @@ def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_index_merges_runs(spark):
-    index = DigestIndex(spark, keep="min")
-    for ids in ((5, 6), (3, 9)):
-        index.flush(spark.createDataFrame([(i, bytearray([i % 3])) for i in ids], "id long, digest binary"))
-    index.compact()
-    index.flush(spark.createDataFrame([(1, bytearray([0]))], "id long, digest binary"))
-    assert sorted((bytes(r.digest), r.keep_id, r.group_size) for r in index.compact().collect()) == [(b"\0", 1, 4), (b"\2", 5, 1)]
+def test_index_against_brute_force(spark):
+    """Memtables one after the other, over two compactions: hits and entries after each are those of a dictionary."""
+    index, seen = DigestIndex(spark, keep="min", fanout=2), defaultdict(list)
+    for ids in ((5, 6, 16), (3, 9, 12), (1,), (20, 21, 4, 4)):
+        rows = [(i, bytearray([i % 11])) for i in ids]
+        hits = {bytes(r.digest) for r in index.add(spark.createDataFrame(rows, "id long, digest binary")).collect()}
+        for i, d in rows:
+            seen[bytes(d)].append(i)
+        assert hits == {bytes(d) for _, d in rows if len(seen[bytes(d)]) > 1}
+        assert {bytes(r.digest): (r.keep_id, r.n) for r in index.entries().collect()} == {d: (min(v), len(v)) for d, v in seen.items()}
+    assert [len(level) for level in index.levels] == [0, 0, 1]
+
+
+def test_filter_passes_all_that_a_run_holds_and_little_else(spark):
+    digests = spark.range(40_000).selectExpr("id", "unhex(sha2(cast(id as string), 256)) as digest")
+    held, other = digests.filter("id < 20000").select("digest"), digests.filter("id >= 20000").select("digest")
+    run = Run(held, build_filter(held, 8), 8)
+    assert may_hold(held, run).count() == 20_000
+    assert may_hold(other, run).count() < 1000

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sanmaru.llm.mixing import mix_documents, mix_draws, split_quotas
+from sanmaru.llm.mixing import mix_documents, mix_draws, split_quotas, write_mix
 
 SCHEMA = "doc_id long, text string, source string, size string, target int"
 
@@ -70,5 +70,29 @@ def test_tree_gives_exact_quotas(quota, shards):
     assert max(map(sum, parts)) - min(map(sum, parts)) <= shards.bit_length() + 1
 
 
+def test_tree_draws_as_a_hypergeometric_distribution_at_any_size():
+    """Mean and variance of what goes left, for few and for very many blocks."""
+    for scale in (1, 10_000):
+        quota = [30 * scale, 10 * scale, 60 * scale]
+        drawn = [split_quotas(quota, 2, seed)[0] for seed in range(600)]
+        n, rest = 50 * scale, sum(quota)
+        for i, q in enumerate(quota):
+            mean = sum(d[i] for d in drawn) / len(drawn)
+            spread = sum((d[i] - mean) ** 2 for d in drawn) / len(drawn)
+            want = n * (q / rest) * (1 - q / rest) * (rest - n) / (rest - 1)
+            assert abs(mean - n * q / rest) < 5 * (want / len(drawn)) ** 0.5 and 0.75 * want < spread < 1.3 * want
+
+
+def test_written_mix_is_shuffled_by_shard(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "w " * 50, f"s{i % 3}", "", 0) for i in range(400)], SCHEMA)
+    draws = mix_draws(docs, shards=3)
+    write_mix(draws, str(tmp_path / "mix"))
+    got = spark.read.parquet(str(tmp_path / "mix")).collect()
+    assert sorted((r.doc_id, r["pass"], r.words, r.shard) for r in got) == sorted((r.doc_id, r["pass"], r.words, r.shard) for r in draws.filter("words > 0").collect())
+    for shard in range(3):
+        keys = [r.order_key for r in spark.read.parquet(str(tmp_path / "mix" / f"shard={shard}")).collect()]
+        assert keys == sorted(keys) and len(keys) > 100
+
+
 def test_empty_table(spark):
     assert mix_documents(spark.createDataFrame([], SCHEMA)).count() == 0
