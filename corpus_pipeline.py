@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sanmaru.llm.common import WORD, cut, shared_dir, table
 from sanmaru.llm.exact_dedup import exact_dedup
 from sanmaru.llm.jaccard_join import jaccard_components
-from sanmaru.llm.mixing import mix_draws
+from sanmaru.llm.mixing import mix_draws, shuffled
 from sanmaru.llm.packing import pack_documents
 from sanmaru.llm.quality import fit_sample, keep_accepted
 from sanmaru.llm.queries import tokenizer_path
@@ -72,16 +72,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each draw of the mix; a document that is only taken in part keeps its first words.
+    """A row for each draw of the mix, in its shuffled order; a document that is only taken in part keeps its first words.
 
     Rows equal in all columns are exchangeable: one of them takes the draws of all.
     """
     rows = docs.withColumn(KEY, _key(_sha(), *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    draws = cut(mix_draws(rows, id_col=KEY).filter("words > 0").select(F.col("doc_id").alias(KEY), "copy", "size", "words"))
+    draws = cut(mix_draws(rows, id_col=KEY).filter("words > 0").select(F.col("doc_id").alias(KEY), "copy", "size", "words", "shard", "part", "order_key"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("words").cast("int")), " ")
     text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
     mixed = _once(rows, draws.filter("copy > 1").select(KEY).distinct()).join(draws.drop("copy"), KEY).withColumn("text", text)
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return shuffled(mixed.withColumn("n_chars", F.length("text").cast("long"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
