@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-A document is the average of the vectors of its words, of pairs of equal words, and of its runs of three to five bytes,
-all hashed to one table, and a softmax layer reads that average. The table and the layer are learned together. Since all steps after the lookup
-are linear, scoring needs one number for each table row.
+A document is the average of the vectors of its words, its pairs of neighbouring words and its runs of three to five
+characters, all hashed to one table, and a softmax layer reads that average. A pair is hashed by the difference of its
+words' hashes, so that all pairs of equal words share a row. The table and the layer are learned together. Since all steps after the lookup are linear, scoring needs one number for each table row.
 """
 
 from __future__ import annotations
@@ -16,40 +16,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sanmaru.llm.common import cut, tidy
+from sanmaru.llm.hashing import mixed, run_hashes, slices
 
 #: Rows of the embedding table, as a power of two, and their size.
 TABLE_BITS, DIM = 17, 16
 #: Labelled documents to learn from, at most, and the longest of them in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 EPOCHS, RATE, SEED = 5, 0.5, 11
-_MIX = np.random.default_rng(5).integers(1, 2**32, (32, 256), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+#: Lengths of character runs, and characters that are read at once (a longer word counts as several).
+RUNS, CHUNK = (3, 4, 5), 1 << 16
 _BASE, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
-def features(text: bytes) -> np.ndarray:
-    """Table rows of all words and byte runs, with repeats."""
-    b = np.frombuffer(text, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.int64)
-    shift, found = np.uint32(32 - TABLE_BITS), []
-    run = b.astype(np.uint32) + np.uint32(1)
-    for n in range(2, 6):
-        if len(b) < n:
-            break
-        run = run[: len(b) - n + 1] * _BASE + b[n - 1 :]
-        if n > 2:
-            found.append((run * _SPREAD + np.uint32(n << 20)) >> shift)
-    inside = (b != 32) & ((b < 9) | (b > 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)) == 1)
-    if len(edge):
-        at = np.flatnonzero(inside)
-        word = np.cumsum(np.isin(at, edge, assume_unique=True)) - 1
-        mixed = _MIX[np.minimum(at - edge[word], 31), b[at]]
-        words = np.add.reduceat(mixed, np.searchsorted(at, edge)).astype(np.uint32)
-        found.append((words * _SPREAD) >> shift)
-        # word pairs: all pairs of equal words share one row, which counts as much as the bytes of a word
-        found.append(np.full(8 * int((words[1:] == words[:-1]).sum()), 0, np.uint32))
-    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+def _blank(c: np.ndarray) -> np.ndarray:
+    return (c == 32) | ((c >= 9) & (c <= 13))
+
+
+def features(text: str) -> Iterator[np.ndarray]:
+    """Table rows of all words, word pairs and character runs, with repeats, in parts of about ``CHUNK`` characters."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    shift, lo, last = np.uint32(32 - TABLE_BITS), 0, None
+    while lo < len(codes):
+        hi = min(len(codes), lo + CHUNK)
+        if hi < len(codes):
+            gaps = np.flatnonzero(_blank(codes[lo:hi]))
+            hi = lo + int(gaps[-1]) + 1 if len(gaps) else hi
+        found, first = [], max(0, lo - max(RUNS) + 1)
+        part = codes[first:hi]
+        run = part + np.uint32(1)
+        for n in range(2, max(RUNS) + 1):
+            if len(part) < n:
+                break
+            run = run[: len(part) - n + 1] * _BASE + part[n - 1 :]
+            if n in RUNS:  # runs that end in this part
+                found.append((run[max(0, lo - first - n + 1) :] * _SPREAD + np.uint32(n << 20)) >> shift)
+        part = codes[lo:hi]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ~_blank(part), [False]]).astype(np.int8)))
+        if len(edges):
+            words = run_hashes(part.astype(np.uint64) + np.uint64(1), edges[::2], edges[1::2])
+            found.append((words >> np.uint64(64 - TABLE_BITS)).astype(np.uint32))
+            words = words if last is None else np.concatenate([[last], words])
+            found.append((mixed(words[1:] - words[:-1]) >> np.uint64(64 - TABLE_BITS)).astype(np.uint32))
+            last = words[-1]
+        if found:
+            yield np.concatenate(found).astype(np.int64)
+        lo = hi
 
 
 @dataclass
@@ -59,39 +70,49 @@ class QualityModel:
     weight: np.ndarray
     bias: float
 
-    def score(self, text: bytes) -> float:
-        rows = features(text)
-        logit = self.bias + (float(self.weight[rows].mean()) if len(rows) else 0.0)
+    def score(self, text: str | None) -> float:
+        total, count = 0.0, 0
+        for rows in features(text or ""):
+            total, count = total + float(self.weight[rows].sum(dtype=np.float64)), count + len(rows)
+        logit = self.bias + total / max(1, count)
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> QualityModel:
-    """Learn from labelled texts; with no text or one label only, the score is that label's share."""
+def step(table: np.ndarray, layer: np.ndarray, bias: np.ndarray, rows: np.ndarray, shares: np.ndarray, label: int, pace: float) -> None:
+    """One step of stochastic gradient descent, in place, on a document of the table ``rows`` with their ``shares``.
+
+    Rows of a document share one average, so their steps are longer by the root of their number.
+    """
+    hidden = shares @ table[rows]
+    logits = layer @ hidden + bias
+    error = np.exp(logits - logits.max())
+    error /= error.sum()
+    error[label] -= 1
+    back = layer.T @ error
+    layer -= pace * np.outer(error, hidden)
+    bias -= 0.1 * pace * error
+    table[rows] -= (pace * len(rows) ** 0.5) * shares[:, None] * back[None, :]
+
+
+def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> QualityModel:
+    """Learn from labelled texts, other labels than 0 and 1 left out; with one label only, the score is that label's share."""
+    known = [(t or "", label) for t, label in zip(texts, labels, strict=True) if label in (0, 1)]
+    labels = [label for _, label in known]
     share = (sum(labels) + 1) / (len(labels) + 2)
     if len(set(labels)) < 2:
         return QualityModel(np.zeros(1 << TABLE_BITS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     docs = []
-    for t in texts:
-        rows, counts = np.unique(features(t), return_counts=True)
+    for t, _ in known:
+        rows, counts = np.unique(np.concatenate([*features(t), np.zeros(0, np.int64)]), return_counts=True)
         docs.append((rows, (counts / max(1, counts.sum())).astype(np.float32)))
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << TABLE_BITS, DIM)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (2, DIM)).astype(np.float32), np.log(np.array([1 - share, share], np.float32))
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            rows, counts = docs[i]
-            pace = rate * (1 - done / steps)
+            step(table, layer, bias, *docs[i], labels[i], rate * (1 - done / steps))
             done += 1
-            hidden = counts @ table[rows]
-            logits = layer @ hidden + bias
-            error = np.exp(logits - logits.max())
-            error /= error.sum()
-            error[labels[i]] -= 1
-            back = layer.T @ error
-            layer -= pace * np.outer(error, hidden)
-            bias -= 0.1 * pace * error
-            table[rows] -= (pace * len(rows) ** 0.5) * counts[:, None] * back[None, :]
     return QualityModel((table @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -100,12 +121,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, char
 
     Rows whose ``crc32(doc_id)`` is divisible by 5 are held out.
     """
-    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     usable = docs.filter((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & (F.length("text") <= chars))
     order = F.xxhash64("doc_id")
     ids = usable.select("doc_id").join(known, "doc_id").distinct().orderBy(order, "doc_id").limit(rows)  # narrow rows until the sample is known
     picked = usable.select("doc_id", "text").join(F.broadcast(cut(ids)), "doc_id").orderBy(order, "doc_id", "text").limit(rows).collect()
-    return fit([r.text.encode() for r in picked], [int(r.quality) for r in picked])
+    return fit([r.text for r in picked], [int(r.quality) for r in picked])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, accept: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,8 +139,8 @@ def score_quality(docs: DataFrame, model: QualityModel, accept: float = 0.3, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
-            scores = [m.score((t or "").encode()) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, column=1):
+            scores = [m.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(tidy(run), "doc_id long, score double")
@@ -133,9 +154,7 @@ def keep_accepted(docs: DataFrame, model: QualityModel, accept: float = 0.3, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                yield batch.filter(pa.array([m.score((t or "").encode()) >= accept for t in batch.column(at).to_pylist()], pa.bool_()))
+        for batch in slices(batches, column=at):
+            yield batch.filter(pa.array([m.score(t) >= accept for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

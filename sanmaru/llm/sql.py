@@ -28,7 +28,7 @@ seen AS (
 bad AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY 1 HAVING bad IS NOT NULL),
 c AS (
   SELECT host, count(*) AS n, sum(bad)::DOUBLE AS x, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
-  FROM seen JOIN bad USING (page_id) GROUP BY host),
+  FROM seen JOIN bad USING (page_id) WHERE host <> '' GROUP BY host),
 s0 AS (SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT sum(x) / sum(n) FROM c) AS pm FROM c GROUP BY 1),
 sm AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(n * pm) / sum(n) AS p, sum(n * (x / n - pm) ** 2) AS s FROM s0),
 s1 AS (SELECT greatest(0.001, least(0.999, coalesce((s - p * (1 - p) * (k - 1)) / nullif(p * (1 - p) * (n - nn / n - (k - 1)), 0), 0.1))) AS g FROM sm),
@@ -37,8 +37,11 @@ d0 AS (SELECT suffix, domain, sum(n) AS n, sum(x) AS x, any_value(pm) AS pm FROM
 dm AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(n * pm) / sum(n) AS p, sum(n * (x / n - pm) ** 2) AS s FROM d0),
 d1 AS (SELECT greatest(0.001, least(0.999, coalesce((s - p * (1 - p) * (k - 1)) / nullif(p * (1 - p) * (n - nn / n - (k - 1)), 0), 0.1))) AS g FROM dm),
 d2 AS (SELECT domain, (x + (1 - g) / g * pm) / (n + (1 - g) / g) AS pm FROM d0, d1),
-h0 AS (SELECT host, n, x, pm FROM c JOIN d2 USING (domain)),
-hm AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(n * pm) / sum(n) AS p, sum(n * (x / n - pm) ** 2) AS s FROM h0),
+named AS (SELECT DISTINCT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM seen WHERE host <> ''),
+h0 AS (
+  SELECT host, coalesce(c.n, 0) AS n, coalesce(c.x, 0) AS x, coalesce(d2.pm, s2.pm, (SELECT sum(x) / sum(n) FROM c), 0) AS pm
+  FROM named LEFT JOIN c USING (host) LEFT JOIN d2 ON d2.domain = named.domain LEFT JOIN s2 ON s2.suffix = named.suffix),
+hm AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(n * pm) / sum(n) AS p, sum(n * (x / n - pm) ** 2) AS s FROM h0 WHERE n > 0),
 h1 AS (SELECT greatest(0.001, least(0.999, coalesce((s - p * (1 - p) * (k - 1)) / nullif(p * (1 - p) * (n - nn / n - (k - 1)), 0), 0.1))) AS g FROM hm),
 h2 AS (SELECT host, n + (1 - g) / g AS size, (x + (1 - g) / g * pm) / (n + (1 - g) / g) AS mean FROM h0, h1),
 h3 AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) AS low FROM h2),

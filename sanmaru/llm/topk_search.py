@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import cut, tidy
+from sanmaru.llm.common import cut, shared_dir, tidy
 
-#: Queries of a block, on average: their vectors, ranges and histograms are what a task holds besides its batch.
-BLOCK_QUERIES = 1024
-BINS = 1024
+#: Queries of a block, on average: their vectors, ranges and histograms (about 16 MB) are what a task holds besides its batch.
+BLOCK_QUERIES = 4096
+BINS = 512
 #: Vectors scored at once.
-CHUNK = 512
+CHUNK = 256
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -36,7 +37,8 @@ def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndar
         for lo in range(0, batch.num_rows, CHUNK):
             part = batch.slice(lo, CHUNK)
             own = part.column(0).to_numpy(zero_copy_only=False)
-            scores = np.rint(_matrix(part.column(1), dim) @ vectors.T).astype(np.int64)
+            scores = _matrix(part.column(1), dim)
+            scores = np.rint(scores @ vectors.T).astype(np.int64) if vectors.dtype == np.float64 else scores.astype(np.int64) @ vectors.T
             rows, cols = np.nonzero(own[:, None] == ids[None, :]) if np.isin(own, ids).any() else ((), ())
             scores[rows, cols] = np.iinfo(np.int64).min
             yield own, scores
@@ -86,31 +88,37 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     """``query_id, rank, vec_id, score``: the ``k`` highest scores of each query, ties to the smaller identifier.
 
     Queries are the rows whose identifier is divisible by ``every``, candidates all rows but those with the query's
-    identifier. Components become ``floor(scale * x)``; scores are exact while they stay under 2^53. Vectors that are
-    null, empty or hold a null or non-finite component take no part, as do null identifiers; shorter vectors count as
-    ending in zeros. Of repeated query rows one asks, while repeated candidates are found as often as they occur.
-    An empty table gives no rows.
+    identifier. Components become ``floor(scale * x)``. Scores are exact: by 64-bit floats while none can reach 2^53, else by
+    64-bit integers; vectors whose scores may not fit those are refused. Vectors that are null or hold a null or
+    non-finite component take no part, nor do null identifiers; shorter vectors, empty ones too, count as ending in zeros.
+    Of repeated query rows that with the smallest vector asks, while repeated candidates are found as often as they occur.
+    An empty table gives no rows. Blocks of queries run one after the other over all vectors; their results go to one folder.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col)
-    fine = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    fine = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
     ready = vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("double")).alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e))
     bound = ready.agg(F.max(norm).alias("norm"), F.max(F.size("x")).alias("dim"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    schema = "query_id long, rank int, vec_id long, score long"
     if not bound.queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], schema)
+    if bound.norm**2 >= 2.0**62:
+        raise ValueError("scores may not fit 64-bit integers")
+    number = np.float64 if bound.norm**2 < 2.0**53 else np.int64
     blocks = -(-bound.queries // BLOCK_QUERIES)
-    asked = ready.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = ready.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = cut(asked) if blocks > 1 else asked
-    found = None
+    out = f"{shared_dir(spark).rstrip('/')}/top-k-{uuid.uuid4().hex}"
+    part = spark.createDataFrame([], schema)
     for block in range(blocks):
         rows = asked.filter(F.col("block") == block).orderBy("vec_id").collect()  # about BLOCK_QUERIES vectors
         if not rows:
             continue
-        ids, queries = np.array([r.vec_id for r in rows], np.int64), np.zeros((len(rows), bound.dim))
+        ids, queries = np.array([r.vec_id for r in rows], np.int64), np.zeros((len(rows), bound.dim), number)
         for i, r in enumerate(rows):
             queries[i, : len(r.x)] = r.x
-        most = np.ceil(np.linalg.norm(queries, axis=1) * bound.norm).astype(np.int64) + 1
+        most = np.ceil(np.linalg.norm(queries.astype(np.float64), axis=1) * bound.norm * (1 + 1e-9)).astype(np.int64) + 1
         low, high, width, need, done = -most, most + 1, -(-(2 * most + 1) // BINS), np.full(len(ids), k), np.zeros(len(ids), bool)
         while not done.all():
             held = spark.sparkContext.broadcast((ids, queries, low, high, width))
@@ -131,6 +139,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
         best = _best(ready, spark.sparkContext.broadcast((ids, queries, low)), k)
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         part = best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        part = cut(part) if blocks > 1 else part
-        found = part if found is None else found.unionByName(part)
-    return found
+        if blocks > 1:
+            part.write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out) if blocks > 1 else part

@@ -53,38 +53,44 @@ def _level(counts: DataFrame, keys: list[str], parents: DataFrame, parent_keys:
     return own.withColumn("m", F.lit(_strength(own))).withColumn("mean", (F.col("x") + F.col("m") * F.col("parent_mean")) / (F.col("n") + F.col("m")))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``host, domain, suffix, n, bad_mean, bad_low`` from labelled pages ``outcomes(host, bad)``; ``bad`` is 0 or 1.
+def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``host, n, bad_mean, bad_low`` of all ``hosts(host)`` from labelled pages ``outcomes(host, bad)``; ``bad`` is 0 or 1.
 
     The registered domain is a host's last two labels and the suffix its last one. Rates shrink from host to domain
-    to suffix to the overall rate by beta-binomial priors, whose strengths come from the spread at each level.
+    to suffix to the overall rate by beta-binomial priors, whose strengths come from the spread at each level. A host
+    without labelled pages has its prior: the posterior of its domain, else of its suffix, else the overall rate.
     ``bad_low`` is the posterior mean less 1.645 posterior standard deviations.
     """
-    counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("x")).filter("n > 0")
-    counts = counts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    counts = cut(counts)
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.filter("host <> ''").withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+
+    counts = cut(named(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("x")).filter("n > 0")))
     total = counts.agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
     overall = (total.x / total.n) if total.n else 0.0
-    suffixes = _level(counts, ["suffix"], counts, [], overall)
-    domains = _level(counts, ["suffix", "domain"], suffixes.select("suffix", F.col("mean").alias("parent_mean")), ["suffix"], overall)
-    hosts = _level(counts, ["domain", "host"], domains.select("domain", F.col("mean").alias("parent_mean")), ["domain"], overall)
-    size = F.col("n") + F.col("m")
-    low = F.col("mean") - 1.645 * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))
-    return hosts.select("host", "n", F.col("mean").alias("bad_mean"), low.alias("bad_low"))
+    suffixes = cut(_level(counts, ["suffix"], counts, [], overall).select("suffix", F.col("mean").alias("suffix_mean")))
+    domains = cut(_level(counts, ["suffix", "domain"], suffixes.withColumnRenamed("suffix_mean", "parent_mean"), ["suffix"], overall).select("domain", F.col("mean").alias("domain_mean")))
+    small_suffixes, small_domains = broadcast_upto(suffixes, HOSTS_BROADCAST), broadcast_upto(domains, HOSTS_BROADCAST)
+    own = named(hosts.distinct()).join(small_domains, "domain", "left").join(small_suffixes, "suffix", "left").join(counts.select("host", "n", "x"), "host", "left")
+    own = own.select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("domain_mean", "suffix_mean", F.lit(overall)).alias("parent_mean"))
+    strength = F.lit(_strength(own.filter("n > 0")))
+    posterior = own.withColumn("size", F.col("n") + strength).withColumn("bad_mean", (F.col("x") + strength * F.col("parent_mean")) / F.col("size"))
+    low = F.col("bad_mean") - 1.645 * F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("size") + 1))
+    return posterior.select("host", "n", "bad_mean", low.alias("bad_low"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, block_from: float = 0.5) -> DataFrame:
     """One row for each page: ``page_id, host, path, rule, verdict, bad_mean``.
 
     ``outcomes(page_id, bad)`` are labelled pages; null labels don't count. A rule that fits decides; else a host is
-    blocked when the lower posterior bound of its bad rate is ``block_from`` or more. Hosts without labelled pages and
-    null or odd urls (host and path empty) are allowed unless a rule fits. Repeated pages give repeated rows; an empty
-    table gives none; other columns are ignored.
+    blocked when the lower posterior bound of its bad rate is ``block_from`` or more, also one that has no labelled page of
+    its own. Null and odd urls (host and path empty) are allowed unless a rule fits; their labels count for no host.
+    Repeated pages give repeated rows; an empty table gives none; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     labelled = seen.select("page_id", "host").join(outcomes.filter("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id")
-    reputation = broadcast_upto(host_reputation(labelled), HOSTS_BROADCAST)
+    reputation = broadcast_upto(cut(host_reputation(labelled, seen.select("host"))), HOSTS_BROADCAST)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_low") >= block_from, "block").otherwise("allow")
     return seen.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_mean")

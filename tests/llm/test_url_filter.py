@@ -36,10 +36,20 @@ def test_reputation_blocks_bad_hosts(spark):
     pages, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(outcomes, "page_id long, bad int")
     got = {r.page_id: r.verdict for r in judge_urls(pages, known).collect()}
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(200))
-    assert got[1000] == "allow"  # no labelled page
-    means = {r.host: r.bad_mean for r in host_reputation(spark.createDataFrame([("bad.x.org", 1)] * 9 + [("good.x.org", 0)] * 9 + [("one.y.org", 1)], "host string, bad int")).collect()}
+    assert got[1000] == "allow"  # no labelled page, and its domain is half bad
+    outcomes = spark.createDataFrame([("bad.x.org", 1)] * 9 + [("good.x.org", 0)] * 9 + [("one.y.org", 1)], "host string, bad int")
+    means = {r.host: r.bad_mean for r in host_reputation(outcomes, outcomes.select("host")).collect()}
     assert 0 < means["good.x.org"] < means["one.y.org"] < 1 and means["good.x.org"] < 0.5 < means["bad.x.org"]
 
 
+def test_hosts_without_labelled_pages_have_the_prior_of_their_domain(spark):
+    rows = [(i, f"http://h{i % 40}.{'bad' if i % 80 < 40 else 'good'}.com/{i}", "", 0) for i in range(4000)]
+    rows += [(9000, "http://new.bad.com/", "", 0), (9001, "http://new.good.com/", "", 0), (9002, "http://a.other.com/", "", 0), (9003, "http://a.b.xyz/", "", 0), (9004, "x", "", 0), (9005, "http://bad.com/", "", 0)]
+    outcomes = spark.createDataFrame([(r[0], int("bad" in r[1])) for r in rows[:4000]] + [(9004, 1)], "page_id long, bad int")
+    got = {r.page_id: (r.verdict, r.bad_mean) for r in judge_urls(spark.createDataFrame(rows, SCHEMA), outcomes).collect()}
+    assert got[9000][0] == got[9005][0] == "block" and got[9001][0] == got[9002][0] == got[9003][0] == got[9004][0] == "allow"
+    assert got[9001][1] < got[9002][1] < got[9000][1] and abs(got[9003][1] - 0.5) < 1e-9  # suffix, then the overall rate
+
+
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "page_id long, bad int")).count() == 0
