@@ -9,7 +9,6 @@ hits are compared byte by byte before they are dropped.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +18,26 @@ from sanmaru.llm.common import broadcast_bytes, broadcast_upto, cut, shared_dir
 #: Digests of hits that may be broadcast: 32 bytes each, so about 50 MB with overhead.
 HITS_BROADCAST = 500_000
 #: Runs of a level before it is compacted, and memtables that a table is read in.
-FANOUT, MEMTABLES = 4, 4
+FANOUT, MEMTABLES = 2, 2
 #: Filters: bits of a block (its size in bytes is that of Spark's bitmaps), bits set for a digest, bits of a filter for each.
 BLOCK_BITS, HASHES, BITS_PER_DIGEST = 32_768, 4, 12
 
 
-@dataclass
 class Run:
-    """Sorted entries ``(digest, keep_id, n)`` and the filter ``(block, bits)`` of their digests."""
+    """Sorted entries ``(digest, keep_id, n)`` and, from the first lookup on, the filter ``(block, bits)`` of their digests."""
 
-    entries: DataFrame
-    filter: DataFrame
-    blocks: int
+    def __init__(self, entries: DataFrame):
+        self.entries = entries
+        self._filter: tuple[DataFrame, int] | None = None
+
+    def filter(self) -> tuple[DataFrame, int]:
+        """The filter and its number of blocks."""
+        if self._filter is None:
+            blocks = max(1, self.entries.count() * BITS_PER_DIGEST // BLOCK_BITS)
+            built = cut(build_filter(self.entries.select("digest"), blocks))
+            held = broadcast_bytes(built, "bits")
+            self._filter = (built if held is None else held, blocks)
+        return self._filter
 
 
 def _block(digest: str, blocks: int) -> Column:
@@ -49,8 +56,8 @@ def build_filter(digests: DataFrame, blocks: int) -> DataFrame:
 
 def may_hold(digests: DataFrame, run: Run) -> DataFrame:
     """The rows of ``digests(digest, ...)`` that ``run`` may hold by its filter: all that it holds, and few others."""
-    bits = broadcast_bytes(run.filter, "bits")
-    near = digests.withColumn("block", _block("digest", run.blocks)).join(run.filter if bits is None else bits, "block")
+    bits, blocks = run.filter()
+    near = digests.withColumn("block", _block("digest", blocks)).join(bits, "block")
     found = F.lit(True)
     for at in _positions("digest"):
         byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -75,9 +82,7 @@ class DigestIndex:
         return self.spark.read.schema(df.schema).parquet(out)
 
     def _run(self, entries: DataFrame, level: int) -> Run:
-        held = self._write(entries.sortWithinPartitions("digest"), f"l{level}")
-        blocks = max(1, held.count() * BITS_PER_DIGEST // BLOCK_BITS)
-        return Run(held, self._write(build_filter(held.select("digest"), blocks), f"l{level}-filter"), blocks)
+        return Run(self._write(entries.sortWithinPartitions("digest"), f"l{level}"))
 
     def _merged(self, runs: list[Run]) -> DataFrame:
         """Entries of all runs, each digest once; partial aggregation comes before the shuffle."""

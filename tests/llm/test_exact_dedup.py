@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from sanmaru.llm.exact_dedup import DigestIndex, Run, build_filter, exact_dedup, may_hold
+from sanmaru.llm.exact_dedup import DigestIndex, Run, exact_dedup, may_hold
 
 SCHEMA = "doc_id long, text string, digest string, keep_id int"
 
@@ -50,6 +50,6 @@ def test_index_against_brute_force(spark):
 def test_filter_passes_all_that_a_run_holds_and_little_else(spark):
     digests = spark.range(40_000).selectExpr("id", "unhex(sha2(cast(id as string), 256)) as digest")
     held, other = digests.filter("id < 20000").select("digest"), digests.filter("id >= 20000").select("digest")
-    run = Run(held, build_filter(held, 8), 8)
+    run = Run(held)
     assert may_hold(held, run).count() == 20_000
     assert may_hold(other, run).count() < 1000
