@@ -2,40 +2,56 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from sanmaru.llm.quotes import link_quotations
+from sanmaru.llm.quotes import link_quotations, write_conversations
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth string, parent_turn string"
 
 
-def norm(line):
-    return re.sub(r"\s+", " ", line.lower()).strip()
+def hashes(words):
+    return [" ".join(words[i : i + 8]) for i in range(len(words) - 7)] if len(words) >= 8 else [" ".join(words)]
 
 
 def brute(rows):
     """Parents and paths of messages with distinct (conv_id, turn)."""
-    own, quoted = defaultdict(dict), defaultdict(list)
+    said, quoted = defaultdict(dict), defaultdict(list)  # hash: {conversation: first turn}; message: (level, hash, long)
     for c, t, _, text, *_ in sorted(rows, key=lambda r: (r[0], r[1])):
-        for line in (text or "").split("\n"):
+        own, level, words = [], 0, []
+        for line in (text or "").split("\n") + ["end"]:
             marks = re.match(r"(?:[ \t]*>)+[ \t]?", line)
-            body = line[marks.end() :] if marks else line
-            if not body.strip():
-                continue
-            if marks:
-                quoted[c, t].append((marks[0].count(">"), norm(body)))
-            else:
-                own[c].setdefault(norm(body), t)
-    parent = {}
-    for (c, t), lines in quoted.items():
-        votes = Counter((-level, own[c][line]) for level, line in lines if own[c].get(line, t) < t)
-        if votes:
-            top = max(v[0] for v in votes)
-            parent[c, t] = max((n, p) for (level, p), n in votes.items() if level == top)[1]
+            body = (line[marks.end() :] if marks else line).lower().split()
+            now = marks[0].count(">") if marks and body else 0
+            if now != level and words:
+                quoted[c, t] += [(level, h, len(words) >= 8) for h in dict.fromkeys(hashes(words))]
+                words = []
+            level = now
+            words += body if now else []
+            if not marks:
+                own.append(body)
+        own.pop()
+        flat = [w for line in own for w in line]
+        for h in (hashes(flat) if len(flat) >= 8 else []) + [" ".join(line) for line in own if 0 < len(line) < 8]:
+            said[h].setdefault(c, t)
+    best, extra = {}, defaultdict(Counter)
+    for (c, t), found in quoted.items():
+        votes = defaultdict(Counter)
+        for level, h, long in found:
+            if said[h].get(c, t) < t:
+                votes[level][True, c, said[h][c]] += 1
+            first = min(said[h].items(), default=None)
+            if long and first and first[0] < c:
+                votes[level][False, *first] += 1
+        best[c, t] = [max((same, n, turn, conv) for (same, conv, turn), n in votes[level].items()) for level in sorted(votes)]
+        for low, high in zip(best[c, t], best[c, t][1:]):
+            if (high[3], high[2]) < (low[3], low[2]):
+                extra[low[3], low[2]][high[3], high[2]] += high[1]
+    parent = {m: (b[0][3], b[0][2]) for m, b in best.items() if b}
+    for m, above in extra.items():
+        parent.setdefault(m, max((n, turn, conv) for (conv, turn), n in above.items())[:0:-1])
     path = {}
     for c, t, *_ in rows:
-        at, p = t, [t]
-        while (c, at) in parent:
-            at = parent[c, at]
-            p.append(at)
+        p = [(c, t)]
+        while p[-1] in parent:
+            p.append(parent[p[-1]])
         path[c, t] = p[::-1]
     return parent, path
 
@@ -45,11 +61,13 @@ def thread(seed):
     for conv in range(6):
         lines: list[list[str]] = []
         for turn in range(rng.randrange(2, 14)):
-            own = [f"line {rng.randrange(40)} of {conv}" for _ in range(rng.randrange(1, 4))]
+            own = [f"line {rng.randrange(40)} of {conv if rng.random() < 0.8 else 0}" for _ in range(rng.randrange(1, 4))]
             text = list(own)
             if turn and rng.random() < 0.7:
                 source = rng.randrange(turn)
-                text = [">" + rng.choice(["", " "]) + x.upper() for x in lines[source]] + (["> > deep nothing"] if rng.random() < 0.3 else []) + own
+                text = [">" + rng.choice(["", " "]) + x.upper() for x in lines[source]] + own
+                if rng.random() < 0.5:
+                    text = [">> " + x for x in rng.choice(lines)] + text
             lines.append(own)
             rows.append((conv, turn, "user", "\n".join(text), "clash", "c"))
     return rows
@@ -62,7 +80,8 @@ def test_matches_brute_force(spark):
         got = link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()
         assert len(got) == len(rows)
         for r in got:
-            assert r.parent_turn == parent.get((r.conv_id, r.turn)) and r.reply_path == path[r.conv_id, r.turn] and r.depth == len(r.reply_path) - 1
+            assert (r.parent_conv, r.parent_turn) == parent.get((r.conv_id, r.turn), (None, None)) and r.depth == len(r.reply_path) - 1
+            assert [tuple(m) for m in r.reply_path] == path[r.conv_id, r.turn]
             assert not any(line.lstrip().startswith(">") for line in r.text.split("\n"))
 
 
@@ -72,7 +91,29 @@ def test_odd_rows_and_long_chain(spark):
     got = link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == len(rows)
     last = max((r for r in got if r.conv_id == 1), key=lambda r: r.turn)
-    assert last.depth == 39 and last.text == "word 39" and last.reply_path == list(range(40))
+    assert last.depth == 39 and last.text == "word 39" and [m.turn for m in last.reply_path] == list(range(40))
     texts = {(r.conv_id, r.turn): r.text for r in got}
     assert texts[2, 0] == "" and texts[2, 1] == "reply"
     assert link_quotations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rewrapped_shortened_nested_and_foreign_quotes(spark):
+    first = "The quick brown fox jumps over the lazy dog while the\nmoon is rising slowly behind the old mill on the hill"
+    wrapped = "> the quick brown fox jumps over\n> the lazy dog while the moon is rising\n> slowly behind the old mill\n\nI agree"
+    rows = [
+        (1, 0, "a", first, "", ""), (1, 1, "b", wrapped, "", ""), (1, 2, "a", "Thanks", "", ""), (1, 3, "b", "> Thanks\nWelcome", "", ""),
+        (1, 4, "c", "no quote at all but some other words in here", "", ""),
+        (1, 5, "a", ">> The quick brown fox jumps over the lazy dog while\n> no quote at all but some other words in here\nfine", "", ""),
+        (2, 0, "d", "> moon is rising slowly behind the old mill on the hill\nseen elsewhere", "", ""), (2, 1, "e", "> Thanks\nodd", "", ""),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1, 1] == (1, 0) and got[1, 3] == (1, 2) and got[2, 0] == (1, 0)
+    assert got[2, 1] == (None, None)  # a short passage is looked for in its own conversation only
+    assert got[1, 5] == (1, 4) and got[1, 4] == (1, 0)  # the second level tells what the first replied to
+
+
+def test_write_conversations(spark, tmp_path):
+    linked = link_quotations(spark.createDataFrame(thread(3), SCHEMA))
+    write_conversations(linked, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, linked.collect()))
