@@ -1,6 +1,9 @@
+import math
 import random
+import re
+from collections import Counter
 
-from sanmaru.llm.secrets import FEATURES, candidates, fit_forest, scan_secrets
+from sanmaru.llm.secrets import FEATURES, KEY, candidates, dictionary, fit_forest, scan_secrets, with_features
 
 SCHEMA = "doc_id long, text string, candidate string, score int"
 
@@ -63,3 +66,65 @@ def test_assigned_words_of_any_look_are_candidates(spark):
     more = spark.createDataFrame([(1000 + i, f"some house {t}", "", 0) for i, t in enumerate(planted)], SCHEMA)
     got = {r.doc_id - 1000: r for r in scan_secrets(spark.createDataFrame(docs(300)[0], SCHEMA).union(more)).collect() if r.doc_id >= 1000}
     assert set(got) == set(range(len(planted))) and got[0].secret and got[1].secret and got[3].secret
+    assert {r.doc_id: r.after for r in candidates(spark.createDataFrame([(1, "token: abc one two three", "", 0)], SCHEMA)).collect()} == {1: "one two"}
+
+
+SYLLABLES = "ba co du fe gi la mo nu pe ri sa to vu we".split()
+
+
+def findings(n, seed):
+    """Texts with one finding each and whether it is a secret; no single feature tells them apart."""
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(2, 4)))
+    chars = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    low, up, dig, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    for i in range(n):
+        kind = rng.randrange(8)
+        find = [
+            lambda: "password=" + chars(16, low + up + dig), lambda: "token: " + chars(32, hexes), lambda: chars(40, low + up + dig + "/+"), lambda: "secret = " + chars(14, low + dig + "!#@"),
+            lambda: "/" + "/".join(word() for _ in range(4)) + str(rng.randrange(100)) + ".html", lambda: "commit " + chars(12, hexes) + "-build",
+            lambda: "".join(w.title() for w in (word(), word(), word())) + str(rng.randrange(10)), lambda: "password: " + word(),
+        ][kind]()
+        out.append((i, " ".join([*(word() for _ in range(9)), find, *(word() for _ in range(9))]), "", 0, int(kind < 4)))
+    return out
+
+
+def test_held_out_precision_and_recall(spark):
+    """Learned from one half of findings with known truth, measured on the other."""
+    rows = findings(1600, 5)
+    train, test = rows[:800], rows[800:]
+    truth = {r[0]: r[4] for r in rows}
+    listed = candidates(spark.createDataFrame([r[:4] for r in train], SCHEMA))
+    known = spark.createDataFrame([(r.candidate, r.before, r.after, truth[r.doc_id]) for r in listed.collect()], "candidate string, before string, after string, label int")
+    got = scan_secrets(spark.createDataFrame([r[:4] for r in test], SCHEMA), known).collect()
+    hit = {r.doc_id for r in got if r.secret}
+    secrets = {r[0] for r in test if r[4]}
+    assert len(hit & secrets) / len(secrets) > 0.93 and len(hit & secrets) / len(hit) > 0.93
+    assert len({r.score for r in got}) > 30
+
+
+def test_features_against_brute_force(spark):
+    rows = findings(120, 9)
+    docs = spark.createDataFrame([r[:4] for r in rows], SCHEMA)
+    words = dictionary(docs)
+    known, pairs = {r.w for r in words.collect()}, Counter()
+    for r in words.collect():
+        pairs.update({r.w[i : i + 2]: 0 for i in range(len(r.w) - 1)})
+        for i in range(len(r.w) - 1):
+            pairs[r.w[i : i + 2]] += r.n
+    most = max(pairs.values())
+    for r in with_features(candidates(docs).select(*KEY).distinct(), words).collect():
+        core = re.sub(r"^[A-Za-z_-]+[=:]+", "", r.candidate)
+        core = re.sub("^[\"'(\\[<]+|[\"')\\]>.,;:!?]+$", "", core)
+        size = max(1, len(core))
+        runs = re.findall("[a-z]{2,}", core.lower())
+        assert abs(r.covered - sum(len(w) for w in set(runs) if w in known) / size) < 1e-9
+        near = re.findall("[a-z]{2,}", (r.before + " " + r.after).lower())
+        assert abs(r.near_known - sum(w in known for w in near) / max(1, len(near))) < 1e-9
+        both = [core[i : i + 2].lower() for i in range(len(core) - 1) if re.fullmatch("[a-z]{2}", core[i : i + 2].lower())]
+        assert abs(r.letters - sum(math.log1p(pairs[b]) / math.log1p(most) for b in both) / max(1, len(both))) < 1e-9
+        kinds = "".join("l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in core)
+        for a in "ludo":
+            for b in "ludo":
+                assert abs(r[a + b] - sum(kinds[i : i + 2] == a + b for i in range(len(kinds) - 1)) / max(1, len(kinds) - 1)) < 1e-9
+        assert r.length == len(core) and r.slashes == core.count("/") and abs(r.digits - sum(c.isdigit() for c in core) / size) < 1e-9
