@@ -5,9 +5,11 @@ pivots alone would tell nothing about them. The first pivots are therefore singl
 each of its shingles, and ties go to the shingle that comes first in one global order (frequent ones last). The window
 within which a document at distance 0.2 or less may have its own first common shingle is the first fifth of its set, so
 a document is replicated to those regions. Regions give the pairs that share as many shingles as that bound asks for;
-the connected groups of such pairs are closed under links. Small groups are joined exactly in one task. Large groups get
-document pivots: Voronoi cells by exact distances, windows from the triangle inequality that replicate boundary
-documents to other cells, and cells split further into blocks that are joined exactly pair by pair.
+the connected groups of such pairs are closed under links. Small groups are joined exactly in one task. Large groups
+are split, again and again, by document pivots: a document goes to the Voronoi cell of its nearest pivot, or to the
+remainder if none is near, and the triangle inequality says to which other cells it must be replicated. Documents that a
+pivot links stand for each other, so that inside a cell only the others need to be joined with them and among
+themselves: the latter are the regions of the next level. What pivots can't split is joined by blocks of like sizes.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sanmaru.llm.common import broadcast_upto, cut, tidy
 from sanmaru.llm.components import components
+from sanmaru.llm.hashing import mixed, run_hashes, slices
 
 #: Words of a shingle; links at similarity of NUM/DEN or more.
 WORDS, NUM, DEN = 5, 4, 5
@@ -30,46 +33,43 @@ REGION = 64
 MAX_FREQUENT = 1_000_000
 #: Identifiers that may be broadcast to pick rows of a scan.
 IDS_BROADCAST = 1_000_000
-#: Documents of a group or block that one task joins at a time, and document pivots of a large group.
-BLOCK, PIVOTS = 256, 16
+#: Documents and shingles of a group or block that one task joins at a time.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
+#: Document pivots of a large group, levels of such splits, rows of a group that meet one copy of its pivots.
+PIVOTS, LEVELS, SALT_ROWS = 32, 5, 2048
+#: Bytes of a text that are hashed at once (a longer word stands alone).
+CHUNK = 1 << 20
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        size = max(1 << 14, 1 << (n - 1).bit_length())
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a text, in order; A-Z count as a-z."""
+    whole, parts, lo = (text or "").encode().lower(), [], 0
+    while lo < len(whole):
+        hi = min(len(whole), lo + CHUNK)
+        while hi < len(whole) and not (whole[hi] == 32 or 9 <= whole[hi] <= 13):
+            hi += 1
+        b = np.frombuffer(whole, np.uint8, hi - lo, lo)
+        inside = (b != 32) & ((b < 9) | (b > 13))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        if len(edges):
+            parts.append(run_hashes(_BYTE[b], edges[::2], edges[1::2]))
+        lo = hi
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; of the whole word sequence, if it is shorter than one."""
-    b = np.frombuffer((text or "").encode().lower(), np.uint8)
-    inside = (b != 32) & ((b < 9) | (b > 13))
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    start, end = edges[::2], edges[1::2]
-    if not len(start):
+    words = word_hashes(text)
+    if not len(words):
         return np.zeros(0, np.int64)
-    power, inverse = _powers(len(b))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * power[: len(b)], dtype=np.uint64)])
-    words = _mixed((sums[end] - sums[start]) * inverse[start])
     size = min(WORDS, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
         out += words[i : len(words) - size + 1 + i] * _PLACE[i]
-    return np.unique(_mixed(out).view(np.int64))
+    return np.unique(mixed(out).view(np.int64))
 
 
 def _window(n: int) -> int:
@@ -89,16 +89,10 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[e - s : e] for e, s in zip(ends, sizes, strict=True)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in slices(batches, column=1):
         sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        sums = [[int(_mixed(s.view(np.uint64) + np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for k in (0, 1)]
+        sums = [[int(mixed(s.view(np.uint64) + np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), _lists([s[: _window(len(s))] for s in sets])], names=["id", "n", "d1", "d2", "keys"])
 
 
@@ -106,7 +100,7 @@ def _whole_sets(docs: DataFrame, picked: DataFrame, extra: str) -> DataFrame:
     """``id, extra, keys`` of the documents in ``picked(id, extra)``; ``keys`` are whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, column=1):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _lists([shingle_set(t) for t in batch.column(1).to_pylist()])], names=["id", extra, "keys"])
 
     found = docs.join(broadcast_upto(picked, IDS_BROADCAST), "id").select("id", "text", F.col(extra).cast("long").alias(extra))
@@ -217,10 +211,10 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tupl
     return np.array(root), used
 
 
-def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _by_group(batches: Iterator[pa.RecordBatch], batches_column: int) -> Iterator[list[tuple]]:
     """Rows of a partition sorted by its first column, group by group."""
     group: list[tuple] = []
-    for batch in _slices(batches):
+    for batch in slices(batches, column=batches_column):
         columns = [_arrays(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
         for row in zip(*columns, strict=True):
             if group and group[0][0] != row[0]:
@@ -233,7 +227,7 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact join inside each group: ``id, component``."""
-    for group in _by_group(batches):
+    for group in _by_group(batches, 2):
         group.sort(key=lambda r: r[1])
         ids, sets = np.array([r[1] for r in group], np.int64), [r[2] for r in group]
         a, b = np.nonzero(np.triu(_linked(sets, sets) | (ids[:, None] == ids[None, :]), 1))
@@ -242,8 +236,11 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact join of the two sides of each block pair: links that suffice to connect what it connects."""
-    for group in _by_group(batches):
+    """Exact join of rows ``pair, side, id, keys``: side 0 with side 1, or with itself where a pair has one side only.
+
+    Gives links that suffice to connect what the join connects.
+    """
+    for group in _by_group(batches, 3):
         sides = [[r for r in group if r[1] == side] for side in (0, 1)]
         left, right = sides[0], sides[1] or sides[0]
         if not left:
@@ -255,37 +252,120 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(links), strict=True)], names=["a", "b"])
 
 
-def _large_groups(sets: DataFrame) -> DataFrame:
-    """Links that connect each large group of ``sets(label, id, keys)``: Voronoi cells, windows and block pairs."""
-    sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    pivots = sets.groupBy(F.col("label").alias("of"), F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("pick")).agg(F.min("id").alias("id"))
-    pivots = cut(sets.join(pivots, ["id"]).filter("label = of").select("label", "keys"))
-    pivots = cut(pivots.groupBy("label").agg(F.collect_list("keys").alias("pivots")).join(sizes, "label"))  # at most PIVOTS sets a group
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 64):
-            out: list[tuple] = []
-            keys = _arrays(batch.column(2))
-            for label, doc, size, raw, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), keys, strict=True):
-                held = [np.asarray(p, np.int64) for p in raw]
-                both = _overlaps([x], held)[0]
-                far = 1 - both / (len(x) + np.array([len(p) for p in held]) - both)
-                home = int(far.argmin())
-                near = np.flatnonzero(far <= far[home] + 2 * (1 - NUM / DEN) + 1e-9).tolist()
-                out.append((label, doc, home, near, size, x))
+def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of documents, from rows ``label, salt, pivot, id, inner, keys`` sorted by the first three; pivots (``pivot`` is
+    their number, else PIVOTS) stand first.
+
+    Gives ``label, cell, id, inner, ring, keys``. ``ring`` is 0 where the cell's pivot links the document (then ``pivot_id``
+    names it), 1 where a document of ring 0 may be linked with it, 2 further out; ``cell`` -1 is the remainder. A document
+    stays inner in its own cell only. With d the least distance to a pivot and r the greatest of a link, it is at home
+    with its nearest pivot if d <= 3r, else in the remainder; it is replicated to pivots within min(d + 2r, 4r), and to
+    the remainder if d > 2r. So what is linked with a document that is inner in a cell stands in that cell, too.
+    """
+    r, slack, group = 1 - NUM / DEN, 1e-9, None
+    pivots: list[tuple[int, np.ndarray]] = []
+    for batch in slices(batches, 64, column=5):
+        out: list[tuple] = []
+        rows = list(zip(*[batch.column(i).to_pylist() for i in range(5)], _arrays(batch.column(5)), strict=True))
+        at = 0
+        while at < len(rows):
+            if rows[at][:2] != group:
+                group, pivots = rows[at][:2], []
+            if rows[at][2] < PIVOTS:
+                pivots.append((rows[at][3], np.array(rows[at][5])))
+                at += 1
+                continue
+            end = at
+            while end < len(rows) and rows[end][:2] == group:
+                end += 1
+            sets = [row[5] for row in rows[at:end]]
+            both = _overlaps(sets, [p for _, p in pivots])
+            union = np.array([len(x) for x in sets])[:, None] + np.array([len(p) for _, p in pivots])[None, :] - both
+            far, linked = 1 - both / union, (both > 0) & (DEN * both >= NUM * union)
+            for (label, _, _, doc, inner, x), d, hit in zip(rows[at:end], far, linked, strict=True):
+                home, least = int(d.argmin()), float(d.min())
+                if least > 2 * r - slack:
+                    out.append((label, -1, doc, inner and least > 3 * r, 2, 0, x))
+                for j in np.flatnonzero(hit | (d <= min(least + 2 * r, 4 * r) + slack)).tolist():
+                    ring = 0 if hit[j] else 1 if d[j] <= 2 * r + slack else 2
+                    out.append((label, pivots[j][0], doc, inner and j == home and least <= 3 * r, ring, pivots[j][0] if hit[j] else 0, x))
+            at = end
+        if out:
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int64()), _lists(list(cols[5]))], names=["label", "id", "home", "near", "size", "keys"])
-
-    placed = cut(sets.select("label", "id", "keys").join(pivots, "label").select("label", "id", "keys", "size", "pivots").mapInArrow(tidy(cells), "label long, id long, home long, near array<long>, size long, keys array<long>"))
-    counts = placed.groupBy("label", "home").agg(F.count(F.lit(1)).alias("n"))
-    blocks = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("home", F.ceil(F.col("n") / BLOCK)))).alias("blocks"))  # at most PIVOTS entries
-    own = placed.join(cut(blocks), "label").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.element_at("blocks", F.col("home"))))
-    to = own.withColumn("cell", F.explode(F.filter("near", lambda c: F.map_contains_key("blocks", c)))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at("blocks", F.col("cell")) - 1)))
-    mine, other = F.struct(F.col("home").alias("c"), F.col("block").alias("b")), F.struct(F.col("cell").alias("c"), F.col("other").alias("b"))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)] + [_lists(list(cols[6]))], names=["label", "cell", "id", "inner", "ring", "pivot_id", "keys"])
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """``label, n, parts``: documents of each group and into how many blocks they go."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("keys")) / BLOCK_SHINGLES))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Pairs of blocks of ``rows(label, band, id, keys)``: of one band and of neighbouring bands of a label."""
+    sizes = _sizes(rows.withColumn("label", F.xxhash64("label", "band"))).select(F.col("label").alias("l"), F.col("parts").cast("long").alias("parts"))
+    sizes = broadcast_upto(cut(sizes), IDS_BROADCAST)
+    own = rows.join(sizes, F.xxhash64("label", "band") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts"))).drop("l", "parts")
+    to = own.withColumn("to", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)))
+    to = to.join(sizes, F.xxhash64("label", "to") == F.col("l")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    mine, other = F.struct(F.col("band").alias("c"), F.col("block").alias("b")), F.struct(F.col("to").alias("c"), F.col("other").alias("b"))
     sided = to.select(F.xxhash64("label", F.least(mine, other), F.greatest(mine, other)).alias("pair"), F.when(mine <= other, 0).otherwise(1).cast("long").alias("side"), "id", "keys")
     return sided.repartition("pair").sortWithinPartitions("pair").mapInArrow(tidy(_join_blocks), "a long, b long")
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Links between the two sides of each label of ``rows(label, side, id, keys)``, by pairs of blocks."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("keys")) / BLOCK_SHINGLES))
+    sizes = rows.groupBy("label", "side").agg(parts.alias("parts"))
+    sizes = sizes.groupBy("label").agg(F.max(F.when(F.col("side") == 0, F.col("parts"))).alias("p0"), F.max(F.when(F.col("side") == 1, F.col("parts"))).alias("p1")).filter("p0 is not null and p1 is not null")
+    own = rows.join(broadcast_upto(cut(sizes), IDS_BROADCAST), "label")
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1")))
+    to = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("p1")).otherwise(F.col("p0")) - 1)))
+    first = F.col("side") == 0
+    pair = F.xxhash64("label", F.when(first, F.col("block")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("block")))
+    return to.select(pair.alias("pair"), "side", "id", "keys").repartition("pair").sortWithinPartitions("pair").mapInArrow(tidy(_join_blocks), "a long, b long")
+
+
+def _large_groups(sets: DataFrame) -> DataFrame:
+    """Links that connect each large group of ``sets(label, id, keys)``: levels of cells around pivots, then blocks."""
+    rows, found = sets.withColumn("inner", F.lit(True)), []
+    band = F.floor(F.log(F.size("keys").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("long")  # linked sizes are of one band or of neighbours
+    for level in range(LEVELS):
+        sizes = cut(_sizes(rows))
+        small = broadcast_upto(sizes.filter("parts <= 1 and n > 1").select("label"), IDS_BROADCAST)
+        done = rows.join(small, "label", "left_semi").select(F.col("label").alias("pair"), F.lit(0).cast("long").alias("side"), "id", "keys")
+        found.append(cut(done.repartition("pair").sortWithinPartitions("pair").mapInArrow(tidy(_join_blocks), "a long, b long")))
+        split = sizes.filter("parts > 1").select("label", "n", F.ceil(F.col("n") / SALT_ROWS).alias("salts"))
+        if not split.limit(1).count():
+            return _union(found)
+        held = cut(rows.join(broadcast_upto(split, IDS_BROADCAST), "label"))
+        picks = held.groupBy("label", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(PIVOTS)).alias("pivot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(level), F.lit("least")), "id"))["id"].alias("id"))
+        pivots = held.join(picks, ["label", "id"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        columns = ["label", "salt", "pivot", "id", "inner", "keys"]
+        both = held.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts"))).withColumn("pivot", F.lit(PIVOTS).cast("long")).select(columns).union(pivots.withColumn("pivot", F.col("pivot").cast("long")).select(columns))
+        cells = both.repartition("label", "salt").sortWithinPartitions("label", "salt", "pivot").mapInArrow(tidy(_near_pivots), "label long, cell long, id long, inner boolean, ring long, pivot_id long, keys array<long>")
+        cells = cut(cells.withColumn("of", F.col("label")).withColumn("label", F.xxhash64("label", "cell")))
+        found.append(cells.filter("ring = 0 and pivot_id <> id").select(F.least("pivot_id", "id").alias("a"), F.greatest("pivot_id", "id").alias("b")))
+        found.append(cut(_across(cells.filter("ring < 2").select("label", F.col("ring").alias("side"), "id", "keys"))))
+        rest = cells.filter("ring > 0")
+        # a group whose inner documents hardly get fewer is left to blocks
+        tight = rest.groupBy("label", "of").agg(F.count(F.lit(1)).alias("rest"), F.count_if("inner").alias("own")).join(split.select(F.col("label").alias("of"), "n"), "of")
+        stuck = broadcast_upto(cut(tight.filter(f"rest > {BLOCK} and rest > 0.7 * n and own > 0").select("label")), IDS_BROADCAST)
+        empty = broadcast_upto(cut(tight.filter("own = 0").select("label")), IDS_BROADCAST)
+        found.append(cut(_blocks(rest.join(stuck, "label", "left_semi").select("label", band.alias("band"), "id", "keys"))))
+        rows = rest.join(stuck, "label", "left_anti").join(empty, "label", "left_anti").select("label", "id", "keys", "inner")
+    found.append(_blocks(rows.select("label", band.alias("band"), "id", "keys")))
+    return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    return whole
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -300,9 +380,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     narrow = sketches.select("id", "n", "d1", "d2")
 
     same = narrow.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    copies = cut(narrow.join(broadcast_upto(cut(same), IDS_BROADCAST), ["n", "d1", "d2"]).filter("id <> rep").select("id", "rep").distinct())
-    left_out = broadcast_upto(copies.select("id"), IDS_BROADCAST)
-    sets = sketches.filter("n > 0 and id is not null").select("id", "n", "keys").join(left_out, "id", "left_anti")
+    copies = cut(narrow.join(broadcast_upto(cut(same), IDS_BROADCAST), ["n", "d1", "d2"]).filter("id <> rep").select("id", "rep", "n", "d1", "d2").distinct())
+    left_out = broadcast_upto(copies.drop("rep"), IDS_BROADCAST)
+    sets = sketches.filter("n > 0 and id is not null").join(left_out, ["id", "n", "d1", "d2"], "left_anti").select("id", "n", "keys")
 
     counts = cut(sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= REGION))
     at = REGION
@@ -316,7 +396,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def rare_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows without frequent shingles; empty where the rest is too short to be a window."""
-        for batch in _slices(batches, 2048):
+        for batch in slices(batches, 2048, column=2):
             n, keys = batch.column(1).to_numpy(), _arrays(batch.column(2))
             rest = [x[~is_frequent(x)] for x in keys]
             rest = [x if len(x) > m // DEN else x[:0] for x, m in zip(rest, n.tolist(), strict=True)]
@@ -324,7 +404,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def reordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows of whole sets, frequent shingles last."""
-        for batch in _slices(batches):
+        for batch in slices(batches, column=2):
             keys = _arrays(batch.column(2))
             first = [np.concatenate([x[~f], x[f]])[: _window(len(x))] for x, f in ((x, is_frequent(x)) for x in keys)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in keys], pa.int64()), _lists(first)], names=["id", "n", "keys"])
@@ -342,15 +422,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = near.filter(F.col("common") >= F.col("need") - F.least(F.coalesce("unseen", F.lit(0)), F.coalesce("unseen_a", F.lit(0))))
     groups = components(near.select("a", "b").union(pairs.filter("need = -1 and a <> b").select("a", "b")))
 
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > BLOCK)
-    large = broadcast_upto(cut(sizes.select("label")), IDS_BROADCAST)
     picked = cut(_whole_sets(docs, groups.select("id", "label"), "label").select("label", "id", "keys"))
+    large = broadcast_upto(cut(_sizes(picked).filter("parts > 1").select("label")), IDS_BROADCAST)
     small = picked.join(large, "label", "left_anti").repartition("label").sortWithinPartitions("label").mapInArrow(tidy(_join_groups), "id long, component long")
     if large.limit(1).count():
         links = components(cut(_large_groups(cut(picked.join(large, "label", "left_semi")))))
         small = small.unionByName(links.select("id", F.col("label").alias("component")))
     linked = cut(small.groupBy("id").agg(F.min("component").alias("component")).filter("id <> component"))
 
-    moved = cut(copies.join(broadcast_upto(linked.select(F.col("id").alias("rep"), "component"), IDS_BROADCAST), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).union(linked))
-    whole = narrow.select("id", "n").join(broadcast_upto(moved, IDS_BROADCAST), "id", "left")
+    copies = copies.select("id", "rep")
+    if copies.groupBy("id").count().filter("count > 1").limit(1).count() or sets.select("id").join(left_out.select("id"), "id", "left_semi").limit(1).count():
+        moved = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(copies)).filter("id <> label").select("id", F.col("label").alias("component"))  # identifiers with several texts
+    else:
+        moved = copies.join(broadcast_upto(linked.select(F.col("id").alias("rep"), "component"), IDS_BROADCAST), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).union(linked)
+    whole = narrow.select("id", "n").join(broadcast_upto(cut(moved), IDS_BROADCAST), "id", "left")
     return whole.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -116,9 +116,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return draws.agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards")).drop("source", "mark", "copy")
 
 
-def shuffled(draws: DataFrame) -> DataFrame:
-    """Draws, with whatever columns were joined to them, in the order of the mix: by shard, in each by its random keys."""
-    return draws.repartition("shard", "part").sortWithinPartitions("shard", "part", "order_key")
+def shuffled(draws: DataFrame, inside: str = "") -> DataFrame:
+    """Draws, with whatever columns were joined to them, in the order of the mix: by shard, in each by its random keys.
+
+    ``inside`` names the struct that holds the columns of the draws, if one does.
+    """
+    shard, part, key = (f"{inside}.{c}" if inside else c for c in ("shard", "part", "order_key"))
+    return draws.repartition(shard, part).sortWithinPartitions(shard, part, key)
 
 
 def write_mix(draws: DataFrame, path: str) -> None:

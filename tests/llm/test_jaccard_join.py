@@ -53,16 +53,47 @@ def corpus(seed, families=6, size=30):
     return [(i * 3, t, "clash", 1, "c") for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "region", "block"), [(1, 64, 256), (2, 6, 8), (3, 4, 5)])
-def test_matches_brute_force(spark, monkeypatch, seed, region, block):
-    """Small limits send the same documents through stars, cells and block pairs."""
-    monkeypatch.setattr(jaccard_join, "REGION", region)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize(("seed", "region", "block", "pivots", "levels"), [(1, 64, 256, 32, 5), (2, 6, 8, 5, 3), (3, 4, 5, 2, 2)])
+def test_matches_brute_force(spark, monkeypatch, seed, region, block, pivots, levels):
+    """Small limits send the same documents through stars, levels of cells and block pairs."""
+    for name, value in (("REGION", region), ("BLOCK", block), ("PIVOTS", pivots), ("LEVELS", levels), ("SALT_ROWS", 10), ("CHUNK", 500)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = corpus(seed)
     got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()))
     assert got == brute(rows)
 
 
+def test_levels_lose_no_link(spark, monkeypatch):
+    """One large group, documents at all distances from each other: what the levels connect is what all pairs connect."""
+    for name, value in (("BLOCK", 6), ("PIVOTS", 3), ("LEVELS", 4), ("SALT_ROWS", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(11)
+    base, sets = list(range(60)), []
+    for i in range(260):
+        keep = rng.sample(base, rng.randrange(34, 60)) if i % 3 else rng.sample(range(100 + i % 7 * 40, 140 + i % 7 * 40), 36)
+        sets.append(sorted(keep))
+    rows = [(7 + i % 2, i, s) for i, s in enumerate(sets)]
+    got = jaccard_join._large_groups(spark.createDataFrame(rows, "label long, id long, keys array<long>")).collect()
+    def roots(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        out = []
+        for i in range(len(sets)):
+            while root[i] != i:
+                i = root[i]
+            out.append(i)
+        return out
+
+    linked = lambda a, b: 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))
+    assert all(linked(r.a, r.b) for r in got)
+    assert roots((r.a, r.b) for r in got) == roots((a, b) for a in range(260) for b in range(a % 2, a, 2) if linked(a, b))
+
+
 def test_hashed_sets_have_the_right_sizes():
     texts = [r[1] for r in corpus(9)]
     hashed, exact = [set(shingle_set(t).tolist()) for t in texts], brute_sets(texts)
@@ -76,3 +107,8 @@ def test_repeated_rows_null_identifiers_and_empty_table(spark):
     got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(4, 36, 2), (4, 36, 2), (2, 37, 2), (None, 36, None), (9, 0, 9)], key=str)
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+    # one text of identifier 4 is a copy of 1's, the other is near to 0's; identifier 6 is a copy of two
+    other, third = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, text, "", 0, ""), (4, text, "", 0, ""), (4, other, "", 0, ""), (0, other + " y", "", 0, ""), (5, third, "", 0, ""), (6, third, "", 0, ""), (6, text, "", 0, ""), (8, third + " z", "", 0, "")]
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}

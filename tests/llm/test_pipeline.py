@@ -47,7 +47,7 @@ def test_stages(spark, folder):
         assert steps[-1].columns == docs.columns
     rows = [[tuple(r) for r in s.collect()] for s in steps]
     model = fit_sample(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    assert {r[0] for r in rows[1]} == {r[0] for r in rows[0] if model.score((r[1] or "").encode()) >= 0.3}
+    assert {r[0] for r in rows[1]} == {r[0] for r in rows[0] if model.score(r[1]) >= 0.3}
     quality = corpus()[1]
     assert all(quality.get(r[0], 1) for r in rows[1]) and sum(quality.values()) == sum(r[0] in quality for r in rows[1])
     last = {r[1] or "": r[0] for r in sorted(rows[1], key=lambda r: r[0])}
@@ -97,3 +97,15 @@ def test_rows_with_repeated_shared_and_null_identifiers(spark, folder):
         size[r.doc_id, r.text] += 1
     assert sum(len(r.text.split()) for r in mixed) == 9 * 60 * 3 // 2
     assert all(size[k] >= 1 for k in apart) and size[9001, a] in range(3, 7) and size[None, c] <= 2
+
+
+def test_empty_tables_and_clashing_columns(spark, folder):
+    columns = "text string, doc_id long, row_key_ string, draw_ int, score double, source string, words long, node long, group string, first_ int"
+    rows = [(" ".join(f"w{i} is {k}" for k in range(20)), i, "x", 1, 0.5, "s", 7, 3, "g", 0) for i in range(12)]
+    for given in ([], rows + rows[:2]):
+        docs = spark.createDataFrame(given, columns)
+        for name, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == [c.split()[0] for c in columns.split(", ")]
+            assert not given or name == "mixing" or {r.row_key_ for r in docs.collect()} == {"x"}
+        assert (P.STAGES[-1][1](spark, docs, folder).count() > 0) == bool(given)
