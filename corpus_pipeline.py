@@ -22,66 +22,85 @@ from sanmaru.llm.packing import pack_documents
 from sanmaru.llm.quality import fit_sample, keep_accepted
 from sanmaru.llm.queries import tokenizer_path
 
-#: Column that tells the different rows of a stage apart.
-KEY = "row_key_"
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def _key(text_sha256: Column, *others: str) -> Column:
     """What tells rows apart: identifier (null is a value like others), text and the ``others``."""
-    return F.to_json(F.struct("doc_id", *others, text_sha256.alias("sha"))).alias(KEY)
+    return F.to_json(F.struct("doc_id", *others, text_sha256.alias("sha_")))
 
 
 def _sha() -> Column:
     return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
 
-def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``rows`` with one row for each ``KEY`` of ``repeated``. Each task sends at most one row of a key."""
+def _once(rows: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
+    """``rows`` with one row for each ``key`` of ``repeated``. Each task sends at most one row of a key."""
     if not repeated.limit(1).count():
         return rows
-    first = F.row_number().over(W.partitionBy(KEY).orderBy(*[c for c in rows.columns if c != KEY]))
-    one = rows.join(repeated, KEY, "left_semi").withColumn("first_", first).filter("first_ = 1").select(rows.columns)
-    return rows.join(repeated, KEY, "left_anti").select(rows.columns).union(one)
+    first = _free(rows, "first_")
+    number = F.row_number().over(W.partitionBy(key).orderBy(*[c for c in rows.columns if c != key]))
+    one = rows.join(repeated, key, "left_semi").withColumn(first, number).filter(F.col(first) == 1).select(rows.columns)
+    return rows.join(repeated, key, "left_anti").select(rows.columns).union(one)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows whose text the classifier rejects."""
+    """Drop the rows whose text the classifier rejects.
+
+    Each row is judged by its own text, so null, shared and repeated identifiers change nothing; null and empty texts get
+    the score of the bias. An empty table stays empty; other columns pass as they are.
+    """
     return keep_accepted(docs, fit_sample(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of equal texts: that with the largest identifier; null and empty texts are equal."""
-    found = exact_dedup(docs, keep="max").filter("group_size > 1").select(_key(F.col("text_sha256")), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"), "kept")
+    """Keep one row of each group of equal texts: that with the largest identifier; null and empty texts are equal.
+
+    A row without an identifier stays if no row of its group has one; of rows repeated with that identifier one stays.
+    An empty table stays empty; other columns pass as they are.
+    """
+    key = _free(docs, "row_key_")
+    found = exact_dedup(docs, keep="max").filter("group_size > 1").select(_key(F.col("text_sha256")).alias(key), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"), "kept")
     found = cut(found)
-    out, repeated = found.filter("not stays").select(KEY), found.filter("stays and not kept").select(KEY).distinct()
-    return _once(docs.withColumn(KEY, _key(_sha())).join(out, KEY, "left_anti"), repeated).select(docs.columns)
+    out, repeated = found.filter("not stays").select(key), found.filter("stays and not kept").select(key).distinct()
+    return _once(docs.withColumn(key, _key(_sha())).join(out, key, "left_anti"), key, repeated).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest identifier of each group of near copies, one without only if no other has any.
 
-    Texts are the nodes of the link graph, by a 64-bit hash as the shingles are; texts without shingles all stay.
+    Texts are the nodes of the link graph, by a 64-bit hash as the shingles are; texts without shingles all stay. Of rows
+    repeated with the identifier that stays, one stays. An empty table stays empty; other columns pass as they are.
     """
-    named = docs.withColumn("node", F.xxhash64("text"))
+    key = _free(docs, "row_key_")
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("node"))
     nodes = cut(jaccard_components(named, id_col="node").filter("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")).distinct())
-    rows = named.select(_key(_sha()), "node", "doc_id").groupBy(KEY, "node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = cut(rows.join(nodes, "node").select(KEY, "group", "doc_id", "n"))
-    stay = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("s")).select(f"s.{KEY}")
-    out, repeated = placed.join(stay, KEY, "left_anti").select(KEY), placed.filter("n > 1").select(KEY)
-    return _once(docs.withColumn(KEY, _key(_sha())).join(out, KEY, "left_anti"), repeated).select(docs.columns)
+    rows = named.select(_key(_sha()).alias(key), "node", "doc_id").groupBy(key, "node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(rows.join(nodes, "node").select(key, "group", "doc_id", "n"))
+    stay = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("s")).select(f"s.{key}")
+    out, repeated = placed.join(stay, key, "left_anti").select(key), placed.filter("n > 1").select(key)
+    return _once(docs.withColumn(key, _key(_sha())).join(out, key, "left_anti"), key, repeated).select(docs.columns)
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each draw of the mix, in its shuffled order; a document that is only taken in part keeps its first words.
 
-    Rows equal in all columns are exchangeable: one of them takes the draws of all.
+    Rows equal in all columns are exchangeable: one of them takes the draws of all. Null and shared identifiers are
+    drawn like others; texts without words are in no mix. An empty table stays empty; ``n_chars`` follows the text.
     """
-    rows = docs.withColumn(KEY, _key(_sha(), *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    draws = cut(mix_draws(rows, id_col=KEY).filter("words > 0").select(F.col("doc_id").alias(KEY), "copy", "size", "words", "shard", "part", "order_key"))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
-    mixed = _once(rows, draws.filter("copy > 1").select(KEY).distinct()).join(draws.drop("copy"), KEY).withColumn("text", text)
-    return shuffled(mixed.withColumn("n_chars", F.length("text").cast("long"))).select(docs.columns)
+    key, drawn = _free(docs, "row_key_"), _free(docs, "draw_")
+    rows = docs.withColumn(key, _key(_sha(), *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    draws = cut(mix_draws(rows, id_col=key).filter("words > 0").select(F.col("doc_id").alias(key), "copy", F.struct("size", "words", "shard", "part", "order_key").alias(drawn)))
+    size, words = F.col(f"{drawn}.size"), F.col(f"{drawn}.words")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, words.cast("int")), " ")
+    mixed = _once(rows, key, draws.filter("copy > 1").select(key).distinct()).join(draws.drop("copy"), key)
+    mixed = mixed.withColumn("text", F.when(words < size, first).otherwise(F.col("text")))
+    mixed = mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
+    return shuffled(mixed, drawn).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
