@@ -253,8 +253,9 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of documents, from rows ``label, salt, pivot, id, inner, keys`` sorted by the first three; pivots (``pivot`` is
-    their number, else PIVOTS) stand first.
+    """Cells of documents, from rows ``label, salt, pivot, id, inner, keys`` sorted by the first three; proposed pivots
+    (``pivot`` is their number, else PIVOTS) stand first. Those further than 4r from all before are taken, so that few
+    documents stand in several cells.
 
     Gives ``label, cell, id, inner, ring, keys``. ``ring`` is 0 where the cell's pivot links the document (then ``pivot_id``
     names it), 1 where a document of ring 0 may be linked with it, 2 further out; ``cell`` -1 is the remainder. A document
@@ -272,7 +273,10 @@ def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows[at][:2] != group:
                 group, pivots = rows[at][:2], []
             if rows[at][2] < PIVOTS:
-                pivots.append((rows[at][3], np.array(rows[at][5])))
+                keys = np.array(rows[at][5])
+                both = _overlaps([keys], [p for _, p in pivots])[0] if pivots else np.zeros(0)
+                if all(1 - n / (len(keys) + len(p) - n) > 4 * r for n, (_, p) in zip(both, pivots, strict=True)):
+                    pivots.append((rows[at][3], keys))
                 at += 1
                 continue
             end = at

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import cut, tidy
+from sanmaru.llm.common import cut, running_starts, tidy
+from sanmaru.llm.hashing import slices
 
 #: Words whose ids a Python worker remembers; the memory this takes is bounded, whatever the input.
 CACHE_WORDS = 1_200_000
@@ -94,23 +95,21 @@ def known_words(tokenizer_path: str) -> WordIds:
     return held[tokenizer_path]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """The pieces of each document, each of ``width`` ids but the last: ``doc_id, start, length, ids_crc32, doc_tokens``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_words(tokenizer_path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                words = [words_of(t) for t in batch.column(1).to_pylist()]
-                known.learn(set().union(*words))
-                rows: list[tuple] = []
-                for doc_id, doc in zip(batch.column(0).to_pylist(), words, strict=True):
-                    ids = np.append(known.encode(doc), np.uint32(end_id)).astype("<u4")
-                    rows += [(doc_id, at, min(width, len(ids) - at), zlib.crc32(ids[at : at + width].tobytes()), len(ids)) for at in range(0, len(ids), width)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                if len(known.index) > CACHE_WORDS:
-                    known.clear()
+        for batch in slices(batches, column=1):
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            known.learn(set().union(*words))
+            rows: list[tuple] = []
+            for doc_id, doc in zip(batch.column(0).to_pylist(), words, strict=True):
+                ids = np.append(known.encode(doc), np.uint32(end_id)).astype("<u4")
+                rows += [(doc_id, at, min(width, len(ids) - at), zlib.crc32(ids[at : at + width].tobytes()), len(ids)) for at in range(0, len(ids), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            if len(known.index) > cache_words or known.used > 16 * cache_words:
+                known.clear()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), PIECES)
 
@@ -153,7 +152,7 @@ def plan_packs(histogram: dict[int, int], width: int) -> list[tuple[int, list[tu
     return [(count, list(held)) for free in sorted(space) for count, held in space[free]]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is its ids, then ``end_id``; null and empty texts are that id alone. Documents over ``width`` ids are
@@ -162,7 +161,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 4096, end_
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, tokenizer_path, width, end_id, id_col, text_col))
+    pieces = cut(token_pieces(docs, tokenizer_path, width, end_id, id_col, text_col, cache_words))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``width`` rows
 
     taken, first, slots = dict.fromkeys(histogram, 0), 0, {n: [] for n in histogram}
@@ -178,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 4096, end_
 
     dealt = pieces.join(plan.select("length", "n"), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("n") / RANK_ROWS)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("size"))
-    starts = sizes.withColumn("before", F.coalesce(F.sum("size").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    starts = running_starts(sizes, ["length"], "bucket", "size")
     ranked = dealt.withColumn("no", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start")) - 1).join(starts, ["length", "bucket"]).withColumn("rank", F.col("no") + F.col("before"))
     placed = ranked.join(plan.drop("n"), "length").withColumn("slot", F.element_at(F.filter("slots", lambda s: s["rank"] <= F.col("rank")), -1)).withColumn("nth", F.col("rank") - F.col("slot.rank"))
     return placed.select(
