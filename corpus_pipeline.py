@@ -104,8 +104,8 @@ def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 token ids."""
-    return pack_documents(docs, tokenizer_path())
+    """Sequences of 4096 token ids. Workers remember fewer words than they would alone, since they served other stages before."""
+    return pack_documents(docs, tokenizer_path(), cache_words=300_000)
 
 
 STAGES = [("quality", quality_filter), ("exact_dedup", drop_exact_copies), ("jaccard_join", drop_near_copies), ("mixing", mix_by_source), ("packing", pack)]
