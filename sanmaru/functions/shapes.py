@@ -27,13 +27,24 @@ def cross_properly(e: Column, f: Column) -> Column:
     return (a < 0) & (b < 0)
 
 
+def meet(e: Column, f: Column) -> Column:
+    """Whether two edges share a point: they cross, touch or lie on each other."""
+
+    def on(g: Column, x: Column, y: Column) -> Column:
+        box = x.between(F.least(g["x1"], g["x2"]), F.greatest(g["x1"], g["x2"])) & y.between(F.least(g["y1"], g["y2"]), F.greatest(g["y1"], g["y2"]))
+        return box & (side(g["x1"], g["y1"], g["x2"], g["y2"], x, y) == 0)
+
+    return cross_properly(e, f) | on(e, f["x1"], f["y1"]) | on(e, f["x2"], f["y2"]) | on(f, e["x1"], e["y1"]) | on(f, e["x2"], e["y2"])
+
+
 def self_intersects(ring: Column) -> Column:
     listed = edges(ring)
     return F.exists(listed, lambda e: F.exists(listed, lambda f: (f["i"] > e["i"]) & cross_properly(e, f)))
 
 
 def rings_intersect(a: Column, b: Column) -> Column:
-    return F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: cross_properly(e, f)))
+    """Whether edges of two rings share a point."""
+    return F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: meet(e, f)))
 
 
 def ring_problem(ring: Column) -> Column:

@@ -13,37 +13,56 @@ from sanmaru.session import written
 DEGREE_PER_KM = 1 / 110.5
 
 
-def _with_bands(points: DataFrame, km: float, spread: int) -> DataFrame:
-    """A row for each latitude band within ``spread`` bands of the point."""
-    band = F.floor(F.col("lat") / (km * DEGREE_PER_KM)).cast("long")
-    return points.withColumn("band", F.explode(F.array(*[band + i for i in range(-spread, spread + 1)])))
+def _cells(band: Column, km: float) -> Column:
+    """Cells round the globe in a latitude band: each at least as wide as ``km`` reaches there and in the next bands."""
+    degrees = km * DEGREE_PER_KM
+    widest = F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * degrees)))
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) * widest / (1.2 * degrees))).cast("long")
+
+
+def _cell(lng: Column, band: Column, km: float) -> Column:
+    return F.pmod(F.floor((lng + 180) / 360 * _cells(band, km)).cast("long"), _cells(band, km))
+
+
+def _band(lat: Column, km: float) -> Column:
+    return F.floor(lat / (km * DEGREE_PER_KM)).cast("long")
+
+
+def _reached(points: DataFrame, km: float) -> DataFrame:
+    """A row for each ``band, cell`` that ``km`` reaches from the point: its own and the neighbours, round the globe."""
+    near = points.withColumn("band", F.explode(F.array(*[_band(F.col("lat"), km) + i for i in (-1, 0, 1)])))
+    cell, cells = _cell(F.col("lng"), F.col("band"), km), _cells(F.col("band"), km)
+    return near.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod(cell + i, cells) for i in (-1, 0, 1)]))))
 
 
 def within_radius(origins: DataFrame, facilities: DataFrame, km: float) -> DataFrame:
     """``code, within``: facilities at most ``km`` away; origins without one are not listed.
 
-    Both sides are dealt by latitude bands of the radius, so the join is an equi-join at any size.
+    Both sides are dealt by cells of latitude and longitude of the radius, so the join is an equi-join at any size. A
+    radius of 0 finds facilities at the very place.
     """
-    if not km > 0:
-        raise ValueError("the radius is above 0")
-    near = facilities.select(F.col("lat").alias("f_lat"), F.col("lng").alias("f_lng"), F.floor(F.col("lat") / (km * DEGREE_PER_KM)).cast("long").alias("band"))
-    pairs = _with_bands(origins.select("code", "lat", "lng"), km, 1).join(near, "band")
+    if not 0 <= km < float("inf"):
+        raise ValueError("the radius is a number from 0 on")
+    size = max(km, 0.001)
+    band = _band(F.col("lat"), size)
+    near = facilities.select(F.col("lat").alias("f_lat"), F.col("lng").alias("f_lng"), band.alias("band"), _cell(F.col("lng"), band, size).alias("cell"))
+    pairs = _reached(origins.select("code", "lat", "lng"), size).join(near, ["band", "cell"])
     return pairs.filter(haversine_km(F.col("lat"), F.col("lng"), F.col("f_lat"), F.col("f_lng")) <= km).groupBy("code").agg(F.count(F.lit(1)).alias("within"))
 
 
 def nearest(origins: DataFrame, facilities: DataFrame, start_km: float = 8.0) -> DataFrame:
     """``code, nearest_km``: distance to the nearest facility, null if there is none.
 
-    Rings of latitude bands grow fourfold until every origin has a facility no farther than its ring reaches. Each ring
+    Rings of cells grow fourfold until every origin has a facility no farther than its ring reaches. Each ring
     is written before the next one reads what it left open, so that plans don't nest. A code with several origins takes
     the smallest distance of them.
     """
     open_, done, km = origins.select("code", "lat", "lng").distinct(), None, start_km
     places = written(facilities.select(F.col("lat").alias("f_lat"), F.col("lng").alias("f_lng")).filter("f_lat is not null and f_lng is not null").distinct())
     while km < 80_400 and not places.isEmpty():  # the last ring spans the globe
-        near = places.withColumn("band", F.floor(F.col("f_lat") / (km * DEGREE_PER_KM)).cast("long"))
+        near = places.withColumn("band", _band(F.col("f_lat"), km)).withColumn("cell", _cell(F.col("f_lng"), F.col("band"), km))
         best = F.min(haversine_km(F.col("lat"), F.col("lng"), F.col("f_lat"), F.col("f_lng")))
-        ring = written(_with_bands(open_, km, 1).join(near, "band", "left").groupBy("code", "lat", "lng").agg(best.alias("km")))
+        ring = written(_reached(open_, km).join(near, ["band", "cell"], "left").groupBy("code", "lat", "lng").agg(best.alias("km")))
         found = ring.filter(F.col("km") <= km).groupBy("code").agg(F.min("km").alias("nearest_km"))
         done = found if done is None else done.unionByName(found)
         open_, km = ring.filter((F.col("km").isNull() | (F.col("km") > km)) & F.col("lat").isNotNull() & F.col("lng").isNotNull()).drop("km"), km * 4

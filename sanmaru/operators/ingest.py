@@ -119,6 +119,14 @@ def merge_all_or_nothing(base: DataFrame, update: DataFrame, keys: list[str], va
     return joined.crossJoin(F.broadcast(whole)).withColumn(value, F.when(F.col("whole_"), F.col("fresh_")).otherwise(F.col(value))).drop("fresh_", "whole_")
 
 
+def join_required(base: DataFrame, values: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``base`` with the ``column`` of ``values``; a key of ``base`` that ``values`` lacks, or has as null, is an error."""
+    found = base.join(values.select(*keys, column), keys, "left")
+    missing = F.concat(F.lit(f"no {column} for "), F.to_json(F.struct(*keys)))
+    kind = dict(values.dtypes)[column]
+    return found.withColumn(column, F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.raise_error(missing).cast(kind)))
+
+
 def merge_with_zero(base: DataFrame, update: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Updated values; keys without one get 0."""
     return base.drop(value).join(update.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, F.lit(0)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sanmaru.functions.text import bm25_term, cosine, tokens
+from sanmaru.session import written
 
 #: Query vectors that are scored at a time.
 MAX_QUERIES = 1000
@@ -54,12 +58,13 @@ def hybrid(lexical: DataFrame, vectors: DataFrame, lexical_weight: float = 0.55,
     return joined.select("query_id", "id", (lexical_weight * F.coalesce("l_", F.lit(0.0)) + vector_weight * F.coalesce("v_", F.lit(0.0))).alias("score"))
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of at most ``MAX_QUERIES`` queries, which are broadcast, with all vectors."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time")
-    asked = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q_")))
-    return vectors.crossJoin(asked).select("query_id", "id", cosine(F.col("q_"), F.col("vector")).alias("score"))
+def vector_scores(queries: DataFrame, vectors: DataFrame, score: Callable[[Column, Column], Column] = cosine) -> DataFrame:
+    """``score`` of all queries with all vectors; queries are broadcast in blocks of about ``MAX_QUERIES``."""
+    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q_"))
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    asked = written(asked) if blocks > 1 else asked
+    parts = [F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked) for b in range(blocks)]
+    return reduce(DataFrame.union, [vectors.crossJoin(p).select("query_id", "id", score(F.col("q_"), F.col("vector")).alias("score")) for p in parts])
 
 
 def suggest(words: DataFrame, known: DataFrame, share: float = 0.3) -> DataFrame:

@@ -229,11 +229,10 @@ def join_vitals_merge(spark, d):
     return I.merge_with_zero(base, base.filter("month_no <> 24012"), ["code", "month_no"], "births")
 
 
-@query("join_required", with_ctes("series cells", "SELECT c.code, m.month_no, coalesce(s.population, 0) AS population FROM cells c CROSS JOIN (SELECT DISTINCT month_no FROM series) m LEFT JOIN series s ON s.code = c.code AND s.month_no = m.month_no"))
+@query("join_required", with_ctes("series", "SELECT code, month_no, population FROM series"))
 def join_required(spark, d):
     series = region_series(spark, d)
-    grid = cells(spark, d).select("code").crossJoin(F.broadcast(series.select("month_no").distinct()))
-    return I.merge_with_zero(grid.withColumn("population", F.lit(0)), series, ["code", "month_no"], "population").select("code", "month_no", "population")
+    return I.join_required(series.select("code", "month_no"), series, ["code", "month_no"], "population").select("code", "month_no", "population")
 
 
 @query("agg_coverage", with_ctes("facilities", "WITH g AS (SELECT code, count(*) FILTER (id % 10 < 9) AS covered, count(*) AS total FROM facilities GROUP BY 1) SELECT code, covered, total FROM g WHERE covered >= 0.9 * total"))

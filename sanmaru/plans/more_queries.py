@@ -134,7 +134,7 @@ def join_grid_semi(spark, d):
     return rows.agg(F.count_if(F.col("known")).alias("kept"), F.count_if(F.col("known").isNull()).alias("dropped"))
 
 
-@query("join_pip_bbox", with_ctes("facilities", "SELECT id FROM facilities WHERE lng >= 127.6 AND lng < 128.4 AND lat >= 34.6 AND lat < 35.2"))
+@query("join_pip_bbox", with_ctes("facilities", "SELECT id FROM facilities WHERE lng BETWEEN 127.6 AND 128.4 AND lat BETWEEN 34.6 AND 35.2"))
 def join_pip_bbox(spark, d):
     inside = A.assign_regions(facilities(spark, d).select("id", "lat", "lng"), T._polygons(spark).filter("ordinal = 0"))
     return inside.filter("region_code is not null").select("id")
@@ -256,12 +256,12 @@ def _ring():
     return F.array(*[F.array(*map(F.lit, map(float, p))) for p in _TRIANGLE])
 
 
-_INSIDE = "lat > 34.6 AND (129.0 - 127.6) * (lat - 34.6) >= 0 AND ((128.0 - 129.0) * (lat - 34.6) - (35.8 - 34.6) * (lng - 129.0)) > 0 AND ((127.6 - 128.0) * (lat - 35.8) - (34.6 - 35.8) * (lng - 128.0)) > 0"
+_INSIDE = "lat >= 34.6 AND ((128.0 - 129.0) * (lat - 34.6) - (35.8 - 34.6) * (lng - 129.0)) >= 0 AND ((127.6 - 128.0) * (lat - 35.8) - (34.6 - 35.8) * (lng - 128.0)) >= 0"
 
 
-@query("fn_point_in_ring", with_ctes("facilities", f"SELECT id, {_INSIDE} AS inside FROM facilities WHERE abs(lat - 34.6) > 1e-9"))
+@query("fn_point_in_ring", with_ctes("facilities", f"SELECT id, {_INSIDE} AS inside FROM facilities"))
 def fn_point_in_ring(spark, d):
-    return facilities(spark, d).filter(F.abs(F.col("lat") - 34.6) > 1e-9).select("id", in_ring(F.col("lng"), F.col("lat"), _ring()).alias("inside"))
+    return facilities(spark, d).select("id", in_ring(F.col("lng"), F.col("lat"), _ring()).alias("inside"))
 
 
 def _quads(spark, d):
@@ -282,29 +282,40 @@ def fn_ring_checks(spark, d):
     return _quads(spark, d).select("id", P.ring_problem(ring).alias("problem"))
 
 
-@query("fn_rings_intersect", with_ctes("facilities", "SELECT a.id, b.id AS other FROM facilities a JOIN facilities b ON a.id < b.id AND b.id = a.id + 1 AND abs(a.lat - b.lat) < 0.1 AND abs(a.lng - b.lng) < 0.1 AND a.id % 3 > 0 AND b.id % 3 > 0 AND a.lat <> b.lat AND a.lng <> b.lng"))
+def _squares(spark, d):
+    """Square rings at all facilities."""
+    x, y = F.col("lng"), F.col("lat")
+    a, b, c, e = F.array(x, y), F.array(x + 0.1, y), F.array(x + 0.1, y + 0.1), F.array(x, y + 0.1)
+    return facilities(spark, d).select("id", "lat", "lng", F.array(a, b, c, e, a).alias("ring"))
+
+
+@query("fn_rings_intersect", with_ctes("facilities", "SELECT a.id, count(*) AS others FROM facilities a JOIN facilities b ON a.id <> b.id AND b.lat <= a.lat + 0.1 AND a.lat <= b.lat + 0.1 AND b.lng <= a.lng + 0.1 AND a.lng <= b.lng + 0.1 GROUP BY a.id"))
 def fn_rings_intersect(spark, d):
-    rows = _quads(spark, d).filter("id % 3 > 0")
-    pairs = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("ring").alias("ring2")), "id")
-    return pairs.filter(P.rings_intersect(F.col("ring"), F.col("ring2"))).select("id", "other")
+    """How many other rings each ring meets. Rings meet under the grid cell that holds their common lower left corner."""
+    span = lambda c: F.sequence(F.floor(F.col(c) / 0.1), F.floor((F.col(c) + 0.1) / 0.1))
+    rows = _squares(spark, d).withColumn("gx", F.explode(span("lng"))).withColumn("gy", F.explode(span("lat")))
+    other = rows.select("gx", "gy", F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("ring").alias("ring2"))
+    here = (F.floor(F.greatest("lng", "lng2") / 0.1) == F.col("gx")) & (F.floor(F.greatest("lat", "lat2") / 0.1) == F.col("gy"))
+    pairs = rows.join(other, ["gx", "gy"]).filter(here & (F.col("id") != F.col("other")))
+    return pairs.filter(P.rings_intersect(F.col("ring"), F.col("ring2"))).groupBy("id").agg(F.count(F.lit(1)).alias("others"))
 
 
-@query("fn_holes_inside", with_ctes("facilities", "SELECT id, id % 2 = 0 AS inside FROM facilities WHERE id % 3 > 0"))
+@query("fn_holes_inside", with_ctes("facilities", "SELECT id, id % 2 = 0 AS inside FROM facilities"))
 def fn_holes_inside(spark, d):
     x0, y0 = F.col("ring")[0][0], F.col("ring")[0][1]
     small = F.transform("ring", lambda p: F.array(x0 + 0.02 + (p[0] - x0) * 0.5, y0 + 0.02 + (p[1] - y0) * 0.5))
     away = F.transform("ring", lambda p: F.array(p[0] + 0.05, p[1] + 0.05))
-    return _quads(spark, d).filter("id % 3 > 0").select("id", P.holes_inside(F.array("ring", F.when(F.col("id") % 2 == 0, small).otherwise(away))).alias("inside"))
+    return _squares(spark, d).select("id", P.holes_inside(F.array("ring", F.when(F.col("id") % 2 == 0, small).otherwise(away))).alias("inside"))
 
 
-@query("fn_coord_swap", with_ctes("facilities", "SELECT id, lat, lng FROM facilities WHERE id % 3 > 0"))
+@query("fn_coord_swap", with_ctes("facilities", "SELECT id, lat, lng FROM facilities"))
 def fn_coord_swap(spark, d):
-    return _quads(spark, d).filter("id % 3 > 0").withColumn("p", P.swap_points(F.col("ring"))[0]).select("id", "p.lat", "p.lng")
+    return _squares(spark, d).select("id", P.swap_points(F.col("ring"))[0].alias("p")).select("id", "p.lat", "p.lng")
 
 
-@query("fn_area_point", with_ctes("facilities", "SELECT id, floor(6371.0088 * 6371.0088 * radians(0.1) * (sin(radians(lat + 0.1)) - sin(radians(lat))) * 1e4 + 0.5) / 1e4 AS km2 FROM facilities WHERE id % 3 > 0"))
+@query("fn_area_point", with_ctes("facilities", "SELECT id, floor(6371.0088 * 6371.0088 * radians(0.1) * (sin(radians(lat + 0.1)) - sin(radians(lat))) * 1e4 + 0.5) / 1e4 AS km2 FROM facilities"))
 def fn_area_point(spark, d):
-    return _quads(spark, d).filter("id % 3 > 0").select("id", half_up(P.area_km2(F.col("ring")), 4).alias("km2"))
+    return _squares(spark, d).select("id", half_up(P.area_km2(F.col("ring")), 4).alias("km2"))
 
 
 @query("fn_sgg_name", with_ctes("cells", "SELECT code, split_part(name, ' ', 1) AS v FROM cells"))
@@ -389,10 +400,10 @@ def fn_rank_word(spark, d):
     return now(spark, d).agg(F.when((F.count(F.lit(1)) >= 3) & (F.min_by("rev", "code") < F.max_by("rev", "code")), "ascending").otherwise("descending").alias("v"))
 
 
-@query("fn_remote_cos", f"SELECT q.vec_id AS query_id, v.vec_id AS id, {sql6('list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))', 'score')} FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id < 10")
+@query("fn_remote_cos", f"SELECT q.vec_id AS query_id, v.vec_id AS id, {sql6('list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))', 'score')} FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id % 50 = 0")
 def fn_remote_cos(spark, d):
     v = table(spark, d, "embeddings")
-    q = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     return v.join(q, "label").select("query_id", F.col("vec_id").alias("id"), r6(X.cosine(F.col("q"), F.col("embedding")), "score"))
 
 

@@ -328,7 +328,7 @@ def _polygons(spark):
     return F.broadcast(spark.createDataFrame(rows, "code string, ordinal int, rings array<array<array<double>>>"))  # two fixed polygons
 
 
-@query("join_pip_first", with_ctes("facilities", "SELECT id, CASE WHEN lng >= 127.6 AND lng < 128.4 AND lat >= 34.6 AND lat < 35.2 THEN '00001' WHEN lng >= 128.2 AND lng < 129.2 AND lat >= 34.8 AND lat < 35.8 AND NOT (lng >= 128.6 AND lng < 128.9 AND lat >= 35.0 AND lat < 35.3) THEN '00002' END AS region_code FROM facilities"))
+@query("join_pip_first", with_ctes("facilities", "SELECT id, CASE WHEN lng BETWEEN 127.6 AND 128.4 AND lat BETWEEN 34.6 AND 35.2 THEN '00001' WHEN lng BETWEEN 128.2 AND 129.2 AND lat BETWEEN 34.8 AND 35.8 AND NOT (lng > 128.6 AND lng < 128.9 AND lat > 35.0 AND lat < 35.3) THEN '00002' END AS region_code FROM facilities"))
 def join_pip_first(spark, d):
     return A.assign_regions(facilities(spark, d).select("id", "lat", "lng"), _polygons(spark)).select("id", "region_code")
 

@@ -31,7 +31,10 @@ def local_cpus() -> int:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the folder that driver and executors share and read again, which cuts its lineage."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/sanmaru-shared/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or f"file:///tmp/sanmaru-shared/{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -104,3 +104,13 @@ def test_sinks(spark, tmp_path):
     assert b'n,r\r\n"a ""b"", c",1\r\n' in [f.read_bytes() for f in (tmp_path / "csv").glob("*.csv")]
     S.write_cube_json(cube, "l", ["v"], str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_join_required_refuses_what_is_missing(spark):
+    from sanmaru.operators.ingest import join_required
+
+    base = spark.createDataFrame([("a", 1), ("b", 1)], "code string, month_no int")
+    full = spark.createDataFrame([("a", 1, 5), ("b", 1, 6), ("c", 1, 7)], "code string, month_no int, population int")
+    assert sorted(tuple(r) for r in join_required(base, full, ["code", "month_no"], "population").collect()) == [("a", 1, 5), ("b", 1, 6)]
+    with pytest.raises(Exception, match="no population for"):
+        join_required(base, full.filter("code <> 'b'"), ["code", "month_no"], "population").collect()

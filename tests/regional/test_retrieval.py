@@ -29,3 +29,12 @@ def test_suggestions(spark):
     words = spark.createDataFrame([("populatoin",), ("zzzz",)], "word string")
     known = spark.createDataFrame([("population",), ("popular",)], "word string")
     assert [(r.word, r.known, r.distance) for r in R.suggest(words, known).collect()] == [("populatoin", "population", 2)]
+
+
+def test_vector_scores_in_blocks_of_queries(spark, monkeypatch):
+    from sanmaru.operators import retrieval as R
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "id long, vector array<double>")
+    whole = sorted(map(tuple, R.vector_scores(v.filter("id < 25"), v).collect()))
+    monkeypatch.setattr(R, "MAX_QUERIES", 4)
+    assert sorted(map(tuple, R.vector_scores(v.filter("id < 25"), v).collect())) == whole and len(whole) == 25 * 60
