@@ -176,3 +176,6 @@ def threshold(df: DataFrame, value: str, sign: str, bound: float) -> DataFrame:
     return df.filter(F.coalesce(test & ~F.isnan(F.col(value).cast("double")), F.lit(False)))
 
 
+def threshold_if(df: DataFrame, value: str, sign: str, bound: float, unit: str | None, metric_unit: str, composite: bool) -> DataFrame:
+    """``threshold``, but all rows if the ranking is composite or the bound is in another unit than the metric."""
+    return df if composite or (unit is not None and unit != metric_unit) else threshold(df, value, sign, bound)

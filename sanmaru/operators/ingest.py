@@ -23,20 +23,48 @@ def card_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("code", "month").agg(half_up(F.sum("amount") / 1e6, 1).alias("card_sales"), F.sum("txns").cast("long").alias("card_txns"))
 
 
+def add_sums(first: DataFrame, *others: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of several files of one feed, added by key."""
+    rows = first
+    for o in others:
+        rows = rows.unionByName(o)
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in first.columns if c not in keys])
+
+
+def share_sums(rows: DataFrame, parts: dict[str, Column], base: dict[str, Column] | None = None) -> DataFrame:
+    """``code, month``, the amount of each part and of its base, and ``total``."""
+    amount = lambda c: F.sum(F.when(c, F.col("amount")).otherwise(0.0))
+    bases = [amount((base or {}).get(n, F.lit(True))).alias(f"{n}_base") for n in parts]
+    return rows.groupBy("code", "month").agg(*[amount(c).alias(n) for n, c in parts.items()], *bases, F.sum("amount").alias("total"))
+
+
+def finish_shares(sums: DataFrame) -> DataFrame:
+    """Percentages of sums as ``share_sums`` gives them."""
+    names = [c for c in sums.columns if f"{c}_base" in sums.columns]
+    return sums.select("code", "month", *[half_up(percentage(F.col(n), F.col(f"{n}_base")), 1).alias(n) for n in names], half_up(F.col("total") / 1e6, 1).alias("card_sales"))
+
+
 def shares(rows: DataFrame, parts: dict[str, Column], base: dict[str, Column] | None = None) -> DataFrame:
     """Percentages of the amounts that meet a condition; of all amounts, or of those that meet ``base[name]``.
 
     A base of 0 or less gives null. ``card_sales`` is the total in millions.
     """
-    amount = lambda c: F.sum(F.when(c, F.col("amount")).otherwise(0.0))
-    out = [half_up(percentage(amount(c), amount((base or {}).get(n, F.lit(True)))), 1).alias(n) for n, c in parts.items()]
-    return rows.groupBy("code", "month").agg(*out, half_up(F.sum("amount") / 1e6, 1).alias("card_sales"))
+    return finish_shares(share_sums(rows, parts, base))
 
 
-def hourly(rows: DataFrame) -> DataFrame:
-    """Sales by day and night in millions, and the night's share of all hours."""
+def hourly_sums(rows: DataFrame) -> DataFrame:
     part = lambda hours: F.sum(F.when(F.col("hour").isin(*hours), F.col("amount")).otherwise(0.0))
-    return rows.groupBy("code", "month").agg(half_up(part(DAY_HOURS) / 1e6, 1).alias("day_sales"), half_up(part(NIGHT_HOURS) / 1e6, 1).alias("night_sales"), half_up(percentage(part(NIGHT_HOURS), F.sum("amount")), 1).alias("night_share"))
+    return rows.groupBy("code", "month").agg(part(DAY_HOURS).alias("day"), part(NIGHT_HOURS).alias("night"), F.sum("amount").alias("total"))
+
+
+def finish_hourly(sums: DataFrame) -> DataFrame:
+    """Sales by day and night in millions, and the night's share of all hours."""
+    share = half_up(percentage(F.col("night"), F.col("total")), 1)
+    return sums.select("code", "month", half_up(F.col("day") / 1e6, 1).alias("day_sales"), half_up(F.col("night") / 1e6, 1).alias("night_sales"), share.alias("night_share"))
+
+
+def hourly(rows: DataFrame) -> DataFrame:
+    return finish_hourly(hourly_sums(rows))
 
 
 def living(rows: DataFrame) -> DataFrame:
@@ -63,13 +91,21 @@ def both_flows(inflow: DataFrame, outflow: DataFrame) -> DataFrame:
     return joined.withColumn("net_flow", F.col("inflow_total") - F.col("outflow_total"))
 
 
-def credit(rows: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
+def credit_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    weighted = [F.sum(F.col(c) * F.col("pop")).alias(c) for c in ("income", "score")]
+    return rows.groupBy(*keys).agg(F.sum("pop").alias("pop"), *weighted, *[F.sum(c).alias(c) for c in ("holders", "spend", "economic")])
+
+
+def finish_credit(sums: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
     """Population-weighted means and ratios of sums; averages are null at a population of 0, or under ``least``."""
-    pop = F.sum("pop")
-    shown = (pop > 0) & (pop >= least)
-    mean = lambda c: F.when(shown, half_up(F.sum(F.col(c) * F.col("pop")) / F.nullif(pop, F.lit(0)), 0))
-    rate = lambda c: F.when(shown, half_up(percentage(F.sum(c), pop), 1))
-    return rows.groupBy(*keys).agg(pop.alias("pop_total"), mean("income").alias("avg_income"), mean("score").alias("credit_score"), rate("holders").alias("loan_ratio"), F.when(shown, half_up(F.sum("spend") / F.nullif(F.sum("economic"), F.lit(0)), 0)).alias("card_spend"))
+    pop = F.col("pop")
+    shown = lambda c: F.when((pop > 0) & (pop >= least), c)
+    per = lambda c, d: shown(half_up(F.col(c) / F.nullif(F.col(d), F.lit(0)), 0))
+    return sums.select(*keys, pop.alias("pop_total"), per("income", "pop").alias("avg_income"), per("score", "pop").alias("credit_score"), shown(half_up(percentage(F.col("holders"), pop), 1)).alias("loan_ratio"), per("spend", "economic").alias("card_spend"))
+
+
+def credit(rows: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
+    return finish_credit(credit_sums(rows, keys), keys, least)
 
 
 def external_moves(rows: DataFrame) -> DataFrame:
@@ -87,12 +123,22 @@ def migration(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return grid.join(arrived, ["quarter", "code"], "left").join(left, ["quarter", "sgg"], "left").select("quarter", "code", F.coalesce("move_in", F.lit(0)).alias("move_in"), "move_out_sgg")
 
 
+def commute_sums(rows: DataFrame) -> DataFrame:
+    """Each row counts for its workplace (jobs) and its home (workers, outbound)."""
+    none = F.lit(0).cast("long")
+    jobs = rows.select("quarter", F.col("work").alias("code"), F.col("n").alias("jobs_in"), none.alias("workers"), none.alias("outbound"))
+    homes = rows.select("quarter", F.col("home").alias("code"), none.alias("jobs_in"), F.col("n").alias("workers"), F.when(F.col("home") != F.col("work"), F.col("n")).otherwise(0).alias("outbound"))
+    return add_sums(jobs, homes, keys=["quarter", "code"])
+
+
+def finish_commute(sums: DataFrame) -> DataFrame:
+    """No residents give null ratios."""
+    ratio = lambda c: half_up(percentage(F.col(c), F.col("workers")), 1)
+    return sums.select("quarter", "code", "jobs_in", ratio("outbound").alias("outbound_ratio"), ratio("jobs_in").alias("job_ratio"))
+
+
 def commute(rows: DataFrame) -> DataFrame:
-    """Each row counts for its workplace (jobs) and its home (workers, outbound); no residents give null ratios."""
-    jobs = rows.groupBy("quarter", F.col("work").alias("code")).agg(F.sum("n").alias("jobs_in"))
-    homes = rows.groupBy("quarter", F.col("home").alias("code")).agg(F.sum("n").alias("workers"), F.sum(F.when(F.col("home") != F.col("work"), F.col("n")).otherwise(0)).alias("outbound"))
-    joined = jobs.join(homes, ["quarter", "code"], "full_outer")
-    return joined.select("quarter", "code", F.coalesce("jobs_in", F.lit(0)).alias("jobs_in"), half_up(percentage(F.col("outbound"), F.col("workers")), 1).alias("outbound_ratio"), half_up(percentage(F.coalesce("jobs_in", F.lit(0)), F.col("workers")), 1).alias("job_ratio"))
+    return finish_commute(commute_sums(rows))
 
 
 def dedup_last(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -136,3 +182,11 @@ def consecutive_months(series: DataFrame, n: int = 13) -> DataFrame:
     """``code, consecutive``: whether its latest ``n`` months follow one another."""
     recent = series.select("code", "month_no").distinct().withColumn("k", F.row_number().over(W.partitionBy("code").orderBy(F.desc("month_no")))).filter(F.col("k") <= n)
     return recent.groupBy("code").agg(((F.count(F.lit(1)) == n) & (F.max("month_no") - F.min("month_no") == n - 1)).alias("consecutive"))
+
+
+def some_rows(df: DataFrame, message: str) -> DataFrame:
+    """``df``, or an error if it has no rows; decided inside the plan."""
+    counted = df.limit(1).agg(F.count(F.lit(1)).alias("some_"))
+    checked = counted.select(F.when(F.col("some_") > 0, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")).alias("some_"))
+    columns = [f"d_.{c}" for c in df.columns]
+    return checked.alias("c_").join(df.alias("d_"), F.col("c_.some_"), "left").select(*columns)

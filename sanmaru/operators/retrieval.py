@@ -67,6 +67,14 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, score: Callable[[Colum
     return reduce(DataFrame.union, [vectors.crossJoin(p).select("query_id", "id", score(F.col("q_"), F.col("vector")).alias("score")) for p in parts])
 
 
+def rerank(hits: DataFrame, query_vectors: DataFrame, vectors: DataFrame, own: float = 0.55, remote: float = 0.45) -> DataFrame:
+    """``query_id, id, score`` of ``hits`` fused with the cosines of remote vectors ``(id, vector)``; none or a negative one counts 0."""
+    q = query_vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("q_"))
+    joined = hits.join(q, "query_id", "left").join(vectors.select("id", F.col("vector").alias("v_")), "id", "left")
+    near = F.greatest(F.lit(0.0), F.coalesce(cosine(F.col("q_"), F.col("v_")), F.lit(0.0)))
+    return joined.select("query_id", "id", (own * F.col("score") + remote * near).alias("score"))
+
+
 def suggest(words: DataFrame, known: DataFrame, share: float = 0.3) -> DataFrame:
     """``word`` with the nearest ``known`` word whose edit distance is at most ``share`` of its length.
 

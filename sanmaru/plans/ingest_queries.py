@@ -10,7 +10,7 @@ from sanmaru.operators import ingest as I
 from sanmaru.plans.cube_queries import r6, sql6
 from sanmaru.plans.registry import query
 from sanmaru.sources.bindings import cells, facilities, region_series, table, with_ctes
-from sanmaru.sources.sinks import checksum, cube_documents, upsert
+from sanmaru.sources.sinks import checksum
 
 _CARD = "card AS (SELECT lpad((l_suppkey % 25)::VARCHAR, 10, '0') AS code, strftime(l_shipdate, '%Y-%m') AS month, l_returnflag AS sector, l_linestatus AS status, l_linenumber AS line, l_extendedprice AS amount, l_quantity AS txns FROM lineitem)"
 
@@ -22,12 +22,19 @@ def card_lines(spark, d):
     return t.select(F.concat_ws(",", F.concat(F.lit("﻿"), code), F.date_format("l_shipdate", "yyyyMMdd"), "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string")).alias("value"))
 
 
-def card_rows(spark, d):
+def parse_card(lines):
     f = F.split("value", "[,]", -1)
-    rows = card_lines(spark, d).select(clean_code(f[0]).alias("code"), F.concat_ws("-", F.substring(f[1], 1, 4), F.substring(f[1], 5, 2)).alias("month"), f[2].alias("sector"), f[3].alias("status"), field_number(f[4]).cast("int").alias("line"), field_number(f[5]).alias("txns"), field_number(f[6]).alias("amount"))
+    rows = lines.select(clean_code(f[0]).alias("code"), F.concat_ws("-", F.substring(f[1], 1, 4), F.substring(f[1], 5, 2)).alias("month"), f[2].alias("sector"), f[3].alias("status"), field_number(f[4]).cast("int").alias("line"), field_number(f[5]).alias("txns"), field_number(f[6]).alias("amount"))
     return I.valid_codes(rows)
 
 
+def card_rows(spark, d):
+    """Card sales as typed rows."""
+    t = table(spark, d, "lineitem")
+    code = F.lpad((F.col("l_suppkey") % 25).cast("string"), 10, "0")
+    return t.select(code.alias("code"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_returnflag").alias("sector"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("double").alias("txns"), F.col("l_extendedprice").cast("double").alias("amount"))
+
+
 def card_sql(body: str) -> str:
     return f"WITH {_CARD} {body}"
 
@@ -42,11 +49,6 @@ def share(cond: str, name: str, base: str = "true") -> str:
     return sqlr(f"CASE WHEN {b} > 0 THEN sum(CASE WHEN {cond} THEN amount ELSE 0 END) / {b} * 100 END", 1, name)
 
 
-@query("src_csv_headerless", card_sql(f"SELECT code, month, count(*) AS lines, {sqlr('sum(txns)', 0, 'txns')} FROM card GROUP BY 1, 2"))
-def src_csv_headerless(spark, d):
-    return card_rows(spark, d).groupBy("code", "month").agg(F.count(F.lit(1)).alias("lines"), half_up(F.sum("txns"), 0).alias("txns"))
-
-
 @query("agg_card_sum", card_sql(f"SELECT code, month, {sqlr('sum(amount) / 1e6', 1, 'card_sales')}, sum(txns)::BIGINT AS card_txns FROM card GROUP BY 1, 2"))
 def agg_card_sum(spark, d):
     return I.card_totals(card_rows(spark, d))
@@ -259,33 +261,6 @@ def job_normalize(spark, d):
     return I.consecutive_months(region_series(spark, d))
 
 
-@query("sink_cube_json", with_ctes("cube", "WITH m AS (SELECT DISTINCT month_no FROM cube), g AS (SELECT code, month_no FROM (SELECT DISTINCT code FROM cube), m) SELECT 'orders' AS layer_id, code, count(*)::INT AS months, count(n)::INT AS known FROM g LEFT JOIN cube USING (code, month_no) GROUP BY code"))
-def sink_cube_json(spark, d):
-    from sanmaru.sources.bindings import monthly_cube
-
-    docs = cube_documents(monthly_cube(spark, d), "orders", ["rev", "n"])
-    return docs.select("layer_id", "code", F.size("months").alias("months"), F.size(F.filter(F.element_at("series", "n"), lambda v: v.isNotNull())).alias("known"))
-
-
 @query("sink_checksum")
 def sink_checksum(spark, d):
     return checksum(region_series(spark, d))
-
-
-@query("sink_pg_upsert", with_ctes("facilities", "SELECT id, CASE WHEN id % 4 = 0 THEN 'clinic' ELSE type END AS type FROM facilities"))
-def sink_pg_upsert(spark, d):
-    base = facilities(spark, d).select("id", "type")
-    return upsert(base, base.filter("id % 4 = 0").withColumn("type", F.lit("clinic")), ["id"])
-
-
-def _job(name: str, source: str) -> None:
-    from sanmaru.plans import registry
-
-    query(name, registry._SQL[source])(registry._QUERIES[source])
-
-
-for _name, _source in (
-    ("job_nh_consumption", "agg_card_sum"), ("job_nh_demographics", "agg_share_demog"), ("job_nh_hourly", "agg_share_hourly"), ("job_nh_industry", "agg_share_industry"), ("job_nh_storetype", "agg_share_store"),
-    ("job_skt_living", "agg_living"), ("job_skt_daynight", "agg_daynight"), ("job_skt_mobility", "join_flow_outer"), ("job_kcb_credit", "agg_credit"), ("job_kcb_migration", "join_two_grain"), ("job_kcb_commute", "agg_commute"), ("job_kcb_grid", "agg_grid"),
-):
-    _job(_name, _source)

@@ -22,12 +22,12 @@ _FLOW = Q._FLOW
 
 @query("flt_sido_name", with_ctes("cells", "SELECT code, name FROM cells WHERE starts_with(name, 'ASIA') OR starts_with(name, 'EUROPE')"))
 def flt_sido_name(spark, d):
-    return cells(spark, d).filter(F.col("name").startswith("ASIA") | F.col("name").startswith("EUROPE")).select("code", "name")
+    return I.some_rows(cells(spark, d).filter(F.col("name").startswith("ASIA") | F.col("name").startswith("EUROPE")), "no region of these provinces").select("code", "name")
 
 
 @query("flt_extract_province", with_ctes("cells", "SELECT code FROM cells WHERE starts_with(code, '00001')"))
 def flt_extract_province(spark, d):
-    return cells(spark, d).filter(F.col("code").startswith("00001")).select("code")
+    return I.some_rows(cells(spark, d).filter(F.col("code").startswith("00001")), "no region of this province").select("code")
 
 
 @query("flt_region_scope", with_ctes("cells cube", f"SELECT code, {sql6('rev', 'rev')} FROM cube JOIN cells USING (code) WHERE month_no = 24018 AND (code = '0000200008' OR contains(replace(name, ' ', ''), 'EUROPE'))"))
@@ -38,7 +38,8 @@ def flt_region_scope(spark, d):
 
 @query("flt_threshold_apply", with_ctes("cube", NOW + f" SELECT code, {sql6('rev', 'rev')} FROM now WHERE rev < 900000"))
 def flt_threshold_apply(spark, d):
-    return C.threshold(now(spark, d), "rev", "<", 900000).select("code", r6("rev"))
+    rows = C.threshold_if(now(spark, d), "rev", "<", 900000, unit="won", metric_unit="won", composite=False)
+    return rows.select("code", r6("rev"))
 
 
 @query("flt_valid_code", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 > 0")
@@ -48,9 +49,9 @@ def flt_valid_code(spark, d):
     return I.valid_codes(rows).select("id")
 
 
-@query("flt_bbox_hira", with_ctes("facilities", "SELECT id FROM facilities WHERE lat BETWEEN 34.2 AND 35.2 AND lng BETWEEN 127.3 AND 128.8"))
+@query("flt_bbox_hira", with_ctes("facilities", "SELECT id FROM facilities WHERE lat BETWEEN 34.2 AND 36.2 AND lng BETWEEN 127.3 AND 129.8"))
 def flt_bbox_hira(spark, d):
-    return facilities(spark, d).filter(F.col("lat").between(34.2, 35.2) & F.col("lng").between(127.3, 128.8)).select("id")
+    return facilities(spark, d).filter(F.col("lat").between(34.2, 36.2) & F.col("lng").between(127.3, 129.8)).select("id")
 
 
 @query("flt_facility_region", with_ctes("facilities cells", "SELECT id FROM facilities JOIN cells c USING (code) WHERE c.code = '0000300006' OR contains(replace(c.name, ' ', ''), 'AMERICA')"))
@@ -413,16 +414,6 @@ def fn_staleness(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), hours.alias("hours"), (hours > 48).alias("stale"))
 
 
-@query("src_cube_json", with_ctes("cube", "SELECT code, month_no, n FROM cube WHERE month_no >= 24010"))
-def src_cube_json(spark, d):
-    """A cube document read back to long rows."""
-    from sanmaru.sources.sinks import cube_documents
-
-    docs = cube_documents(monthly_cube(spark, d).filter("month_no >= 24010"), "orders", ["n"])
-    pairs = F.arrays_zip(F.col("months"), F.element_at("series", "n").alias("n"))
-    return docs.select("code", F.explode(pairs).alias("p")).select("code", F.col("p.months").alias("month_no"), F.col("p.n").cast("long").alias("n")).filter("n is not null")
-
-
 @query("job_grid_verify", with_ctes("cube", f"WITH g AS (SELECT code, sum(qty) AS a, sum(qty) + sum(n) * 0.05 AS b FROM cube GROUP BY 1) SELECT count(*) AS cells, count(*) FILTER (a / b > 0.9 AND a / b < 1.1) AS fitting, {sql6('sum(a) / sum(b)', 'ratio')} FROM g"))
 def job_grid_verify(spark, d):
     rows = monthly_cube(spark, d).groupBy("code").agg(F.sum("qty").alias("a"), (F.sum("qty") + F.sum("n") * 0.05).alias("b"))
@@ -440,7 +431,3 @@ def execute_analysis(spark, d):
     from sanmaru.operators.tools import RANKINGS
 
     return RANKINGS["rankPopulationSize"](region_series(spark, d), REF)
-
-
-for _fin, _source in (("agg_share_demog_fin", "agg_share_demog"), ("agg_share_hourly_fin", "agg_share_hourly"), ("agg_share_industry_fin", "agg_share_industry"), ("agg_share_store_fin", "agg_share_store"), ("agg_credit_fin", "agg_credit"), ("agg_grid_fin", "agg_grid"), ("agg_commute_fin", "agg_commute"), ("sink_batch", "sink_pg_upsert"), ("src_csv_headerless_demog", "agg_share_demog"), ("src_csv_headerless_hourly", "agg_share_hourly"), ("src_psv_stream", "agg_credit")):
-    Q._job(_fin, _source)

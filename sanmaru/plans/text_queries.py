@@ -12,7 +12,11 @@ from sanmaru.plans.cube_queries import r6, sql6
 from sanmaru.plans.registry import query
 from sanmaru.sources.bindings import cells, table, with_ctes
 
-_TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'and', 'for', 'with', 'that', 'this')))"
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_TOK = (
+    "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_concat(CASE WHEN length(w) >= 2 AND w NOT IN (" + _STOP + ") THEN [w] ELSE [] END, "
+    "CASE WHEN regexp_matches(w, '[가-힣]{{2}}') THEN list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) ELSE [] END))))"
+)
 _DOC = f"d AS (SELECT doc_id AS id, {_TOK.format('text')} AS t FROM documents), r AS (SELECT id, len(t) AS length, unnest(t) AS token FROM d)"
 _IDF = "i AS (SELECT token, count(*) AS df, ln(1 + (SELECT count(*) FROM documents) / (1 + count(*))) AS idf FROM r GROUP BY 1)"
 _ASK = f"a AS (SELECT item_id AS query_id, unnest({_TOK.format('text')}) AS token FROM benchmark)"
@@ -106,13 +110,6 @@ def nl_suggest(spark, d):
     return R.suggest(typos, known)
 
 
-@query("fn_edit", f"WITH {_WORDS} SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word)::INT AS distance FROM w a JOIN w b ON a.word < b.word AND length(a.word) = length(b.word)")
-def fn_edit(spark, d):
-    w = part_words(spark, d)
-    a, b = w.select(F.col("word").alias("a"), F.length("word").alias("n")), w.select(F.col("word").alias("b"), F.length("word").alias("n"))
-    return a.join(b, "n").filter("a < b").select("a", "b", F.levenshtein("a", "b").alias("distance"))
-
-
 @query("flt_name_any", with_ctes("cells", "SELECT code, name FROM cells WHERE contains(replace(name, ' ', ''), 'ASIA') OR contains(replace(name, ' ', ''), 'FRICAK')"))
 def flt_name_any(spark, d):
     return cells(spark, d).filter(R.any_word(F.col("name"), ["ASIA", "FRICAK"])).select("code", "name")
@@ -257,3 +254,45 @@ def fn_ratio_series(spark, d):
     from sanmaru.sources.bindings import region_series
 
     return region_series(spark, d).select("code", "month", r6(F.col("elderly") / F.nullif(F.col("population"), F.lit(0)) * 100, "v"))
+
+
+# Korean words: letters of part names written as syllables. The SQL writes jamo as single ASCII characters, since DuckDB counts bytes.
+_LATIN, _SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "각난닫랄맘밥삿앙잦찿캌탙팦핳까따빠싸짜가나다라마바사"
+
+
+def _jamo_sql(text: str, first: int, middle: int, last: int) -> str:
+    c = "(ord(c) - 44032)"
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c: CASE WHEN {c} BETWEEN 0 AND 11171 THEN chr(({first} + {c} // 588)::INT) || chr(({middle} + {c} % 588 // 28)::INT) || CASE WHEN {c} % 28 > 0 THEN chr(({last} + {c} % 28)::INT) ELSE '' END ELSE c END), '')"
+
+
+_KO = f"k AS (SELECT p_partkey AS id, translate(split_part(p_name, ' ', 1), '{_LATIN}', '{_SYLLABLES}') AS a, translate(split_part(p_name, ' ', 2), '{_LATIN}', '{_SYLLABLES}') AS b FROM part)"
+
+
+def korean_pairs(spark, d):
+    words = F.split("p_name", " ")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[F.translate(F.coalesce(F.get(words, F.lit(i)), F.lit("")), _LATIN, _SYLLABLES).alias(n) for i, n in enumerate("ab")])
+
+
+@query("fn_jamo", f"WITH {_KO} SELECT id, {_jamo_sql('a', 4352, 4449, 4519)} AS jamo FROM k")
+def fn_jamo(spark, d):
+    return korean_pairs(spark, d).select("id", X.jamo(F.col("a")).alias("jamo"))
+
+
+@query("fn_edit", f"WITH {_KO} SELECT id, levenshtein({_jamo_sql('a', 33, 52, 72)}, {_jamo_sql('b', 33, 52, 72)})::INT AS distance FROM k")
+def fn_edit(spark, d):
+    return korean_pairs(spark, d).select("id", X.jamo_distance(F.col("a"), F.col("b")).alias("distance"))
+
+
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query("fn_hash_embed", f"WITH t AS (SELECT item_id AS id, unnest({_TOK.format('text')}) AS token FROM benchmark), h AS (SELECT id, {_FNV.format('token')} AS h, {_FNV.format(chr(39).join(['token || ', '#', '']))} AS g FROM t), e AS (SELECT id, h % 64 AS idx, CASE WHEN h % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS v FROM h UNION ALL SELECT id, g % 64, CASE WHEN h % 2 = 0 THEN 0.5 ELSE -0.5 END::DOUBLE FROM h), s AS (SELECT id, idx, sum(v) AS v FROM e GROUP BY 1, 2) SELECT id, idx::INT AS idx, {sql6('v / sqrt(sum(v * v) OVER (PARTITION BY id))', 'value')} FROM s WHERE v <> 0")
+def fn_hash_embed(spark, d):
+    vectors = asked(spark, d).select("id", X.hash_embed(X.tokens(F.col("text"))).alias("v"))
+    return vectors.select("id", F.posexplode("v").alias("idx", "value")).filter("value <> 0").select("id", "idx", r6("value"))
+
+
+@query("fn_rerank", f"{_LEX}, b AS (SELECT query_id, id, {sql6('score', 'score')} FROM s), t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 4) SELECT query_id, id, {sql6(f'0.55 * score + 0.45 * greatest(0, coalesce({_COS}, 0))', 'score')} FROM t LEFT JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings v ON v.vec_id = t.id")
+def fn_rerank(spark, d):
+    hits = R.best(R.lexical_scores(asked(spark, d), chunks(spark, d)).select("query_id", "id", r6("score")), 4).drop("rank")
+    return R.rerank(hits, _vectors(spark, d), _vectors(spark, d)).select("query_id", "id", r6("score"))

@@ -28,13 +28,18 @@ def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder that driver and executors share and read again, which cuts its lineage."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share. Only a local session may go without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base or f"file:///tmp/sanmaru-shared/{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/written-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the folder that driver and executors share and read again, which cuts its lineage."""
+    spark = df.sparkSession
+    path = shared_path(spark, "written")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,3 +38,12 @@ def test_vector_scores_in_blocks_of_queries(spark, monkeypatch):
     whole = sorted(map(tuple, R.vector_scores(v.filter("id < 25"), v).collect()))
     monkeypatch.setattr(R, "MAX_QUERIES", 4)
     assert sorted(map(tuple, R.vector_scores(v.filter("id < 25"), v).collect())) == whole and len(whole) == 25 * 60
+
+
+def test_hangul_tokens_jamo_and_vectors(spark):
+    row = spark.createDataFrame([("인구수 the 값",)], "t string").select(X.tokens(F.col("t")).alias("t"), X.jamo(F.lit("값a가")).alias("j"), X.jamo_distance(F.lit("인구"), F.lit("인고")).alias("d"), X.hash_embed(X.tokens(F.lit("hello"))).alias("v"), X.hash_embed(X.tokens(F.lit(""))).alias("z")).first()
+    assert row.t == ["인구수", "인구", "구수"] and row.d == 1
+    import unicodedata
+
+    assert row.j == unicodedata.normalize("NFD", "값a가")
+    assert abs(sum(v * v for v in row.v) - 1) < 1e-9 and sorted({abs(v) for v in row.v if v})[-1] > 0.8 and set(row.z) == {0.0} and len(row.z) == 64
