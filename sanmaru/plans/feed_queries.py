@@ -208,18 +208,21 @@ def _two(rows, cond):
     return rows.filter(cond), rows.filter(~cond)
 
 
-_ODD, _OWN = F.col("line") % 2 == 1, F.col("status") == "O"
-_PARTS = {
-    "demog": ({"youth": _OWN & (F.col("line") <= 2), "senior": _OWN & (F.col("line") >= 6), "corporate": F.col("status") == "F"}, {"youth": _OWN, "senior": _OWN}),
-    "industry": ({n: F.col("sector") == s for n, s in (("food", "A"), ("retail", "N"), ("health", "R"))}, None),
-    "store": ({n: F.col("line").isin(*v) for n, v in (("restaurant", [1, 3]), ("cafe", [2]), ("grocery", [4, 5]))}, None),
-}
+def _parts(name):
+    own, line = F.col("status") == "O", F.col("line")
+    if name == "demog":
+        return {"youth": own & (line <= 2), "senior": own & (line >= 6), "corporate": F.col("status") == "F"}, {"youth": own, "senior": own}
+    if name == "industry":
+        return {n: F.col("sector") == s for n, s in (("food", "A"), ("retail", "N"), ("health", "R"))}, None
+    return {n: line.isin(*v) for n, v in (("restaurant", [1, 3]), ("cafe", [2]), ("grocery", [4, 5]))}, None
+
+
 KEYS = ["code", "month"]
 
 
 def _finished(rows, name):
-    parts, base = _PARTS[name]
-    return I.finish_shares(I.add_sums(*[I.share_sums(part, parts, base) for part in _two(rows, _ODD)], keys=KEYS))
+    parts, base = _parts(name)
+    return I.finish_shares(I.add_sums(*[I.share_sums(part, parts, base) for part in _two(rows, F.col("line") % 2 == 1)], keys=KEYS))
 
 
 def _sql(name):
@@ -304,17 +307,17 @@ def job_nh_consumption(spark, d):
 
 @query("job_nh_demographics", _card_job_sql("job_nh_demographics"))
 def job_nh_demographics(spark, d):
-    return published(I.shares(read_card(spark, card_file(spark, d)), *_PARTS["demog"]), d, "demographics", _CARD_METRICS["job_nh_demographics"][1])
+    return published(I.shares(read_card(spark, card_file(spark, d)), *_parts("demog")), d, "demographics", _CARD_METRICS["job_nh_demographics"][1])
 
 
 @query("job_nh_industry", _card_job_sql("job_nh_industry"))
 def job_nh_industry(spark, d):
-    return published(I.shares(read_card(spark, card_file(spark, d)), *_PARTS["industry"]), d, "industry", _CARD_METRICS["job_nh_industry"][1])
+    return published(I.shares(read_card(spark, card_file(spark, d)), *_parts("industry")), d, "industry", _CARD_METRICS["job_nh_industry"][1])
 
 
 @query("job_nh_storetype", _card_job_sql("job_nh_storetype"))
 def job_nh_storetype(spark, d):
-    return published(I.shares(read_card(spark, card_file(spark, d)), *_PARTS["store"]), d, "storetype", _CARD_METRICS["job_nh_storetype"][1])
+    return published(I.shares(read_card(spark, card_file(spark, d)), *_parts("store")), d, "storetype", _CARD_METRICS["job_nh_storetype"][1])
 
 
 @query("job_nh_hourly", _card_job_sql("job_nh_hourly").replace(" FROM events)", " FROM events WHERE value IS NOT NULL)"))

@@ -70,3 +70,13 @@ def test_later_batches_win(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     updates = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (3, "z", 7)], "id long, v string, seq long")
     assert sorted(map(tuple, S.upsert_batches(base, updates, ["id"], 2).collect())) == [(1, "y"), (2, "b"), (3, "z")]
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
