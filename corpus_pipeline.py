@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import WORD, cut, shared_dir, table
+from sanmaru.llm.common import WORD, broadcast_upto, cut, shared_dir, table
 from sanmaru.llm.exact_dedup import exact_dedup
 from sanmaru.llm.jaccard_join import jaccard_components
 from sanmaru.llm.mixing import mix_draws, shuffled
@@ -70,16 +70,28 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _once(docs.withColumn(key, _key(_sha())).join(out, key, "left_anti"), key, repeated).select(docs.columns)
 
 
+def _numbered(texts: DataFrame, width: int = 64) -> DataFrame:
+    """``texts(doc_id, text, sha)`` with ``node``, a number that is equal where ``sha`` is and different where that differs.
+
+    Numbers that several digests share (at most those of ``width`` bits) are drawn again, until there are none.
+    """
+    texts = texts.withColumn("node", F.pmod(F.xxhash64("sha"), F.lit(1 << width)) if width < 63 else F.xxhash64("sha"))
+    while (shared := cut(texts.groupBy("node").agg(F.min("sha").alias("x"), F.max("sha").alias("y")).filter("x <> y").select("node"))).limit(1).count():
+        shared = shared.withColumn("again", F.lit(True))
+        texts = texts.join(broadcast_upto(shared, 1_000_000), "node", "left").withColumn("node", F.when(F.col("again"), F.xxhash64("node", "sha")).otherwise(F.col("node"))).drop("again")
+    return texts
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest identifier of each group of near copies, one without only if no other has any.
 
-    Texts are the nodes of the link graph, by a 64-bit hash as the shingles are; texts without shingles all stay. Of rows
-    repeated with the identifier that stays, one stays. An empty table stays empty; other columns pass as they are.
+    Texts are the nodes of the link graph, told apart by SHA-256; texts without shingles all stay. Of rows repeated with
+    the identifier that stays, one stays. An empty table stays empty; other columns pass as they are.
     """
     key = _free(docs, "row_key_")
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("node"))
+    named = _numbered(docs.select("doc_id", "text", _sha().alias("sha")))
     nodes = cut(jaccard_components(named, id_col="node").filter("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")).distinct())
-    rows = named.select(_key(_sha()).alias(key), "node", "doc_id").groupBy(key, "node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = named.select(_key(F.col("sha")).alias(key), "node", "doc_id").groupBy(key, "node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     placed = cut(rows.join(nodes, "node").select(key, "group", "doc_id", "n"))
     stay = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("s")).select(f"s.{key}")
     out, repeated = placed.join(stay, key, "left_anti").select(key), placed.filter("n > 1").select(key)
