@@ -109,3 +109,9 @@ def test_empty_tables_and_clashing_columns(spark, folder):
             assert docs.columns == [c.split()[0] for c in columns.split(", ")]
             assert not given or name == "mixing" or {r.row_key_ for r in docs.collect()} == {"x"}
         assert (P.STAGES[-1][1](spark, docs, folder).count() > 0) == bool(given)
+
+
+def test_numbers_of_texts_are_told_apart_by_digest(spark):
+    texts = spark.createDataFrame([(i, f"text {i % 30}", f"{i % 30:064d}") for i in range(90)], "doc_id long, text string, sha string")
+    rows = P._numbered(texts, width=3).collect()  # 30 digests on 8 first numbers
+    assert len(rows) == 90 and len({(r.sha, r.node) for r in rows}) == len({r.node for r in rows}) == 30
