@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sanmaru.llm import sql
+from sanmaru.llm.centroids import cluster_vectors
 from sanmaru.llm.common import table
 from sanmaru.llm.exact_dedup import exact_dedup
 from sanmaru.llm.html_extract import extract_pages
@@ -17,8 +18,10 @@ from sanmaru.llm.packing import pack_documents
 from sanmaru.llm.quality import fit_sample, score_quality
 from sanmaru.llm.quotes import link_quotations
 from sanmaru.llm.secrets import scan_secrets
+from sanmaru.llm.simhash import simhash_components
 from sanmaru.llm.topk_search import top_k
 from sanmaru.llm.url_filter import judge_urls
+from sanmaru.llm.vector_codes import code_vectors
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -71,6 +74,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_html_extract, op2_mix_sources, op3_exact_dedup, op4_quality_classifier, op5_top_k_search, op6_url_filter,
-        op7_pack_documents, op8_jaccard_join, op9_link_quotations, op10_secret_scan, pipeline,
+        op7_pack_documents, op8_jaccard_join, op9_link_quotations, op10_secret_scan, op11_vector_codes,
+        op12_simhash_groups, op13_centroid_clusters, pipeline,
     )
     return {f.__name__: f for f in listed}
 

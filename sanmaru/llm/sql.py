@@ -75,3 +75,60 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 m AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
 SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id FROM n LEFT JOIN m USING (doc_id)
 """
+
+#: Rows of ``embeddings`` whose vectors are finite, with whole-number components.
+WHOLE = """
+  SELECT row_number() OVER () AS rid, *, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"""
+
+
+def _coding_round(n: int) -> str:
+    """Assignment ``a{n}`` by the books ``b{n}``, and the books ``b{n + 1}`` that follow."""
+    return f"""
+a{n} AS (
+  SELECT rid, part, any_value(y) AS y, min(struct_pack(d := list_dot_product(y, y) - 2 * list_dot_product(y, c) + list_dot_product(c, c), e := entry)) AS m
+  FROM p JOIN b{n} USING (part) GROUP BY rid, part),
+m{n} AS (SELECT part, m.e AS entry, pos, floor(sum(y[pos]) / count(*)) AS s FROM a{n}, (SELECT unnest(range(1, len(y) + 1)) AS pos FROM p LIMIT 4) GROUP BY ALL),
+b{n + 1} AS (
+  SELECT part, entry, coalesce(any_value(z), any_value(c)) AS c
+  FROM b{n} LEFT JOIN (SELECT part, entry, list(s ORDER BY pos) AS z FROM m{n} GROUP BY ALL) USING (part, entry) GROUP BY ALL),"""
+
+
+ORACLE["op11_vector_codes"] = f"""
+WITH v AS ({WHOLE.format(scale=256)}),
+p AS (SELECT rid, vec_id, part, x[part * 4 + 1:part * 4 + 4] AS y FROM v, (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, y AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+{_coding_round(0)}
+{_coding_round(1)}
+{_coding_round(2)}
+h AS (SELECT sha256(string_agg(c[pos]::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b2, (SELECT unnest(range(1, 5)) AS pos)),
+r AS (SELECT rid, string_agg(lower(printf('%02x', m.e)), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r JOIN v USING (rid), h
+"""
+
+
+def _cluster_round(n: int) -> str:
+    """Assignment ``a{n}`` to the centroids ``c{n}``, and the centroids ``c{n + 1}`` that follow."""
+    return f"""
+a{n} AS (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS x,
+         min(struct_pack(d := list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), k := cluster)) AS m
+  FROM v, c{n} GROUP BY rid),
+m{n} AS (SELECT m.k AS cluster, pos, floor(sum(x[pos]) / count(*)) AS s FROM a{n}, (SELECT unnest(range(1, 65)) AS pos) GROUP BY ALL),
+c{n + 1} AS (
+  SELECT cluster, coalesce(any_value(z), any_value(c)) AS c
+  FROM c{n} LEFT JOIN (SELECT cluster, list(s ORDER BY pos) AS z FROM m{n} GROUP BY ALL) USING (cluster) GROUP BY ALL),"""
+
+
+ORACLE["op13_centroid_clusters"] = f"""
+WITH v AS (SELECT * FROM ({WHOLE.format(scale=64)}) WHERE len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS cluster, x AS c FROM v ORDER BY cluster LIMIT 16),
+{_cluster_round(0)}
+{_cluster_round(1)}
+{_cluster_round(2)}
+{_cluster_round(3)}
+h AS (SELECT cluster, sha256(string_agg(c[pos]::BIGINT::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c3, (SELECT unnest(range(1, 65)) AS pos) GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, m.d::BIGINT AS distance, sum(m.d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(m.d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN h ON cluster = m.k
+"""
