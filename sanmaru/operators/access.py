@@ -1,4 +1,4 @@
-"""Distance joins between regions and facilities, and point-in-polygon joins."""
+"""Distance joins between regions and facilities."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.functions.geo import haversine_km, in_polygon
+from sanmaru.functions.geo import haversine_km
 from sanmaru.session import written
 
 #: Degrees of latitude in a km, rounded up so that a band never misses a neighbour.
@@ -80,21 +80,6 @@ def access(origins: DataFrame, facilities: DataFrame, km: float) -> DataFrame:
     return joined.select("code", "nearest_km", F.coalesce("within", F.lit(0)).alias("within"), F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def assign_regions(points: DataFrame, polygons: DataFrame, cell: float = 0.25) -> DataFrame:
-    """``points(id, lat, lng)`` with the code of the first polygon (by ``ordinal``) that holds it, null if none.
-
-    ``polygons(code, ordinal, rings)``: rings of ``[lng, lat]``. A polygon is listed under the grid cells of its
-    bounding box; points join on their own cell, and only then is the exact test made.
-    """
-    xs, ys = F.transform(F.element_at("rings", 1), lambda p: p[0]), F.transform(F.element_at("rings", 1), lambda p: p[1])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-    listed = polygons.withColumn("gx", F.explode(span(xs))).withColumn("gy", F.explode(span(ys)))
-    gridded = points.withColumn("gx", F.floor(F.col("lng") / cell)).withColumn("gy", F.floor(F.col("lat") / cell))
-    hit = gridded.join(listed, ["gx", "gy"]).filter(in_polygon(F.col("lng"), F.col("lat"), F.col("rings")))
-    first = hit.groupBy("id").agg(F.min_by("code", "ordinal").alias("region_code"))
-    return points.join(first, "id", "left")
-
-
 def number_cells(rows: DataFrame) -> DataFrame:
     """Numbers cells of one code from north to south, west to east; a lone cell has none."""
     order = W.partitionBy("code").orderBy(F.desc("lat"), "lng", "id")

@@ -95,7 +95,7 @@ def register_facilities(rows: DataFrame) -> DataFrame:
     """``id, name, type, lat, lng, address, phone`` of register rows ``ykiho, yadmNm, clCdNm, clCd, XPos, YPos, addr, telno, index``.
 
     Rows without a name, a known type or a place in the province's rough bounds are passed over. Regions are assigned
-    afterwards by ``access.assign_regions``.
+    afterwards by ``cover.assign_regions``.
     """
     text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     lat, lng = F.trim("YPos").try_cast("double"), F.trim("XPos").try_cast("double")

@@ -243,19 +243,6 @@ def agg_coverage(spark, d):
     return counted.filter(F.col("covered") >= I.COVERAGE * F.col("total"))
 
 
-@query("agg_grid_verify", "WITH r AS (SELECT c_nationkey AS key, sum(abs(c_acctbal)) / nullif(sum(abs(c_acctbal) + c_custkey % 1000), 0) AS ratio FROM customer GROUP BY 1) SELECT key, floor(ratio * 1e6 + 0.5) / 1e6 AS ratio, ratio > 0.9 AND ratio < 1.1 AS fits FROM r ORDER BY abs(1 - ratio) DESC, key LIMIT 8")
-def agg_grid_verify(spark, d):
-    a = F.abs("c_acctbal")
-    rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("key")).agg((F.sum(a) / F.nullif(F.sum(a + F.col("c_custkey") % 1000), F.lit(0.0))).alias("ratio"))
-    return rows.orderBy(F.desc(F.abs(1 - F.col("ratio"))), "key").limit(8).select("key", r6("ratio"), ((F.col("ratio") > 0.9) & (F.col("ratio") < 1.1)).alias("fits"))
-
-
-@query("agg_affine_ls", with_ctes("facilities", f"SELECT {sql6('regr_slope(lng, lng * 1000 + 7)', 'slope')}, {sql6('regr_intercept(lng, lng * 1000 + 7)', 'intercept')}, count(*) AS n FROM facilities"))
-def agg_affine_ls(spark, d):
-    x = F.col("lng") * 1000 + 7
-    return facilities(spark, d).agg(r6(F.regr_slope("lng", x), "slope"), r6(F.regr_intercept("lng", x), "intercept"), F.count(F.lit(1)).alias("n"))
-
-
 @query("job_normalize", with_ctes("series", "WITH k AS (SELECT code, count(DISTINCT month_no) AS m, max(month_no) - min(month_no) AS span FROM series GROUP BY 1) SELECT code, m = 13 AND span = 12 AS consecutive FROM k"))
 def job_normalize(spark, d):
     return I.consecutive_months(region_series(spark, d))

@@ -135,12 +135,6 @@ def join_grid_semi(spark, d):
     return rows.agg(F.count_if(F.col("known")).alias("kept"), F.count_if(F.col("known").isNull()).alias("dropped"))
 
 
-@query("join_pip_bbox", with_ctes("facilities", "SELECT id FROM facilities WHERE lng BETWEEN 127.6 AND 128.4 AND lat BETWEEN 34.6 AND 35.2"))
-def join_pip_bbox(spark, d):
-    inside = A.assign_regions(facilities(spark, d).select("id", "lat", "lng"), T._polygons(spark).filter("ordinal = 0"))
-    return inside.filter("region_code is not null").select("id")
-
-
 @query("agg_births_deaths", with_ctes("series", "SELECT code, sum(births)::BIGINT AS births, sum(deaths)::BIGINT AS deaths FROM series GROUP BY 1"))
 def agg_births_deaths(spark, d):
     return region_series(spark, d).groupBy("code").agg(F.sum("births").alias("births"), F.sum("deaths").alias("deaths"))
@@ -245,11 +239,6 @@ def fn_bin_center(spark, d):
     return rows.select("id", x.alias("x"), y.alias("y"))
 
 
-@query("fn_local_affine", with_ctes("facilities", f"SELECT id, {sql6('128.0 + (lng * 1000 - 128000) * 0.001 + (lat * 1000 - 35000) * 0.00001', 'lng')} FROM facilities"))
-def fn_local_affine(spark, d):
-    return facilities(spark, d).select("id", r6(128.0 + (F.col("lng") * 1000 - 128000) * 0.001 + (F.col("lat") * 1000 - 35000) * 0.00001, "lng"))
-
-
 _TRIANGLE = [[127.6, 34.6], [129.0, 34.6], [128.0, 35.8], [127.6, 34.6]]
 
 
@@ -414,12 +403,6 @@ def fn_staleness(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), hours.alias("hours"), (hours > 48).alias("stale"))
 
 
-@query("job_grid_verify", with_ctes("cube", f"WITH g AS (SELECT code, sum(qty) AS a, sum(qty) + sum(n) * 0.05 AS b FROM cube GROUP BY 1) SELECT count(*) AS cells, count(*) FILTER (a / b > 0.9 AND a / b < 1.1) AS fitting, {sql6('sum(a) / sum(b)', 'ratio')} FROM g"))
-def job_grid_verify(spark, d):
-    rows = monthly_cube(spark, d).groupBy("code").agg(F.sum("qty").alias("a"), (F.sum("qty") + F.sum("n") * 0.05).alias("b"))
-    return rows.agg(F.count(F.lit(1)).alias("cells"), F.count_if((F.col("a") / F.col("b") > 0.9) & (F.col("a") / F.col("b") < 1.1)).alias("fitting"), r6(F.sum("a") / F.sum("b"), "ratio"))
-
-
 @query("job_validate_boundary", with_ctes("facilities", "SELECT coalesce(p, 'fine') AS problem, count(*) AS rings FROM (SELECT CASE WHEN id % 3 = 0 THEN 'crossing' END AS p FROM facilities) GROUP BY 1"))
 def job_validate_boundary(spark, d):
     return _quads(spark, d).groupBy(F.coalesce(P.ring_problem(F.col("ring")), F.lit("fine")).alias("problem")).agg(F.count(F.lit(1)).alias("rings"))

@@ -320,19 +320,6 @@ def agg_anchor(spark, d):
     return rows.groupBy("bin").agg(F.min_by("id", F.struct(far, F.col("id"))).alias("id"))
 
 
-_POLY = (("00001", 0, [[(127.6, 34.6), (128.4, 34.6), (128.4, 35.2), (127.6, 35.2), (127.6, 34.6)]]), ("00002", 1, [[(128.2, 34.8), (129.2, 34.8), (129.2, 35.8), (128.2, 35.8), (128.2, 34.8)], [(128.6, 35.0), (128.9, 35.0), (128.9, 35.3), (128.6, 35.3), (128.6, 35.0)]]))
-
-
-def _polygons(spark):
-    rows = [(c, o, [[[float(x), float(y)] for x, y in ring] for ring in rings]) for c, o, rings in _POLY]
-    return F.broadcast(spark.createDataFrame(rows, "code string, ordinal int, rings array<array<array<double>>>"))  # two fixed polygons
-
-
-@query("join_pip_first", with_ctes("facilities", "SELECT id, CASE WHEN lng BETWEEN 127.6 AND 128.4 AND lat BETWEEN 34.6 AND 35.2 THEN '00001' WHEN lng BETWEEN 128.2 AND 129.2 AND lat BETWEEN 34.8 AND 35.8 AND NOT (lng > 128.6 AND lng < 128.9 AND lat > 35.0 AND lat < 35.3) THEN '00002' END AS region_code FROM facilities"))
-def join_pip_first(spark, d):
-    return A.assign_regions(facilities(spark, d).select("id", "lat", "lng"), _polygons(spark)).select("id", "region_code")
-
-
 @query("agg_check_unique", with_ctes("facilities", "SELECT code, count(*) AS n FROM facilities GROUP BY 1 HAVING count(*) > 1"))
 def agg_check_unique(spark, d):
     return facilities(spark, d).groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

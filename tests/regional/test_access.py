@@ -45,13 +45,6 @@ def test_no_facilities(spark):
     assert {(r.nearest_km, r.within, r.own) for r in got} == {(None, 0, 0)}
 
 
-def test_first_polygon_wins_and_holes_are_outside(spark):
-    ring = lambda a, b, c, d: [[a, b], [c, b], [c, d], [a, d], [a, b]]
-    polygons = spark.createDataFrame([("p", 0, [ring(0.0, 0.0, 2.0, 2.0), ring(0.5, 0.5, 1.0, 1.0)]), ("q", 1, [ring(0.0, 0.0, 4.0, 4.0)])], "code string, ordinal int, rings array<array<array<double>>>")
-    spots = spark.createDataFrame([(1, 1.5, 1.5), (2, 0.7, 0.7), (3, 3.0, 3.0), (4, 9.0, 9.0)], "id int, lat double, lng double")
-    assert {r.id: r.region_code for r in A.assign_regions(spots, polygons).collect()} == {1: "p", 2: "q", 3: "q", 4: None}
-
-
 def test_opening_hours(spark):
     rows = spark.createDataFrame([(1, {"monday": "05:30-12:00"}), (2, {"monday": "09:00-20:00"}), (3, {"monday": "10:00-02:00"}), (4, {"monday": "09:00-18:00", "saturday": ""}), (5, {"sunday": "09:00-12:00"}), (6, None)], "id int, hours map<string,string>")
     got = {r.id: (r.n, r.w) for r in rows.select("id", A.night_open(F.col("hours")).alias("n"), A.weekend_open(F.col("hours")).alias("w")).collect()}
