@@ -25,13 +25,15 @@ def grams(word: Column, n: int) -> Column:
 def tokens(text: Column, least: int = 2) -> Column:
     """Distinct lower-case words of letters and digits, in order, without short and stop words.
 
-    A word with two Hangul syllables in a row also gives its runs of two and of three characters.
+    A word with two Hangul syllables in a row also gives its runs of two and of three characters. Only texts with such
+    words pay for looking at each word.
     """
+    plain = F.array_except(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{least},}}"), 0), F.array(*map(F.lit, STOP_WORDS)))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
     none = F.array().cast("array<string>")
     own = lambda w: F.when((F.length(w) >= least) & ~w.isin(*STOP_WORDS), F.array(w)).otherwise(none)
     parts = lambda w: F.when(w.rlike("[가-힣]{2}"), F.concat(grams(w, 2), grams(w, 3))).otherwise(none)
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(own(w), parts(w)))))
+    return F.when(text.rlike("[가-힣]{2}"), F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(own(w), parts(w)))))).otherwise(plain)
 
 
 def fnv1a(text: Column) -> Column:
@@ -50,9 +52,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def length_weight(length: Column) -> Column:
+    """What a document's length leaves of a matching token; falls as it grows."""
+    return (K1 + 1) / (1 + K1 * (1 - B + B * length / MEAN_LENGTH))
+
+
 def bm25_term(idf: Column, length: Column) -> Column:
     """Share of one matching token; tokens are distinct, so its frequency is 1."""
-    return idf * (K1 + 1) / (1 + K1 * (1 - B + B * length / MEAN_LENGTH))
+    return idf * length_weight(length)
+
+
+def unit(a: Column) -> Column:
+    """The vector with length 1; zeros stay zeros."""
+    norm = F.sqrt(dot(a, a))
+    return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
 def _char(code: Column) -> Column:

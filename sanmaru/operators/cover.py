@@ -16,18 +16,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sanmaru.session import written
+from sanmaru.session import broadcast_upto, written
 
 #: Levels of the largest and smallest cells: a cell of level n is 2^-n degrees wide. Strips are as high as the smallest cells.
 COARSE, FINE = 2, 9
 #: Edges that a cell may have before it is split.
 EDGES = 16
-#: Cells and strips that may be broadcast.
-BROADCAST_ROWS = 500_000
-
-
-def _broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _bad_ring(ring: Column) -> Column:
@@ -99,7 +93,7 @@ def cover(edges: DataFrame, most: int = EDGES, coarse: int = COARSE, fine: int =
         child = lambda df: df.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("ix", F.col("ix") * 2 + F.col("q") % 2).withColumn("iy", F.col("iy") * 2 + F.floor(F.col("q") / 2)).drop("q")
         full = written(full)
         open_ = child(full)
-        touching = written(child(touching.join(_broadcast(full), _CELL, "left_semi")).filter(_touches(level + 1)))
+        touching = written(child(touching.join(broadcast_upto(full), _CELL, "left_semi")).filter(_touches(level + 1)))
     union = lambda parts: reduce(DataFrame.union, parts)
     size = F.pow(F.lit(2.0), -F.col("level"))
     centers = union(empty).select("level", *_CELL, ((F.col("ix") + 0.5) * size).alias("lng"), ((F.col("iy") + 0.5) * size).alias("lat"))
@@ -135,7 +129,7 @@ def cell_hits(points: DataFrame, cells: DataFrame) -> DataFrame:
     place = F.col("lat").isNotNull() & F.col("lng").isNotNull() & (F.abs("lat") <= 90) & (F.abs("lng") <= 360)
     listed = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("lng") * 2.0**n).alias("ix"), F.floor(F.col("lat") * 2.0**n).alias("iy")) for n in levels])
     asked = points.filter(place).select("id", "lat", "lng", F.explode(listed).alias("c")).select("id", "lat", "lng", "c.*") if levels else points.select("id", "lat", "lng", F.lit(0).alias("level"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy")).limit(0)
-    return asked.join(_broadcast(cells), ["level", "ix", "iy"])
+    return asked.join(broadcast_upto(cells), ["level", "ix", "iy"])
 
 
 def regions_of(points: DataFrame, regions: DataFrame, most: int = EDGES, coarse: int = COARSE, fine: int = FINE) -> DataFrame:
@@ -148,7 +142,7 @@ def regions_of(points: DataFrame, regions: DataFrame, most: int = EDGES, coarse:
     edges = written(edge_rows(regions))
     cells = written(cover(edges, most, coarse, fine))
     hits = written(cell_hits(points, cells).select("id", "lat", "lng", "code", "ordinal", "inner"))
-    tested = _inside(hits.filter("not inner"), ["id", "code", "ordinal"], _broadcast(written(strips(edges))))
+    tested = _inside(hits.filter("not inner"), ["id", "code", "ordinal"], broadcast_upto(written(strips(edges))))
     return hits.filter("inner").select("id", "code", "ordinal").unionByName(tested)
 
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sanmaru.functions.text import bm25_term, cosine, tokens
-from sanmaru.session import written
+from sanmaru.functions.numeric import half_up
+from sanmaru.functions.text import bm25_term, cosine, dot, length_weight, tokens, unit
+from sanmaru.session import broadcast_upto, written
 
-#: Query vectors that are scored at a time.
-MAX_QUERIES = 1000
+#: Queries of a block and vectors of a salt in one group of a vector join.
+MAX_QUERIES, SALT_VECTORS = 1000, 100_000
+#: Query tokens that may be broadcast.
+ASKED_ROWS = 500_000
+#: Postings of a query's rarest tokens that give its first threshold, for each of the ``k`` wanted; and what rounding may hide.
+FIRST_POSTINGS, SLACK = 64, 2e-6
 
 
 def document_tokens(chunks: DataFrame) -> DataFrame:
@@ -28,16 +32,83 @@ def idf(token_rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).withColumn("idf", F.log(1 + F.col("n_") / (1 + F.col("df")))).drop("n_")
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, id, score``: BM25 over common tokens. The corpus joins on the queries' tokens only.
+def postings(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings ``token, id, length, band`` of the queries' tokens, written once, and ``query_id, token, idf, df``.
 
-    Queries are few and broadcast if they are small; document frequencies are counted for the queries' tokens alone.
+    ``band`` is the block of a posting: documents of like lengths, so that a block's least length bounds all its scores.
     """
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("token"))
-    wanted = asked.select("token").distinct()
-    rows = document_tokens(chunks).join(wanted, "token", "left_semi")
-    weights = idf(rows, chunks)
-    return rows.join(weights, "token").join(asked, "token").groupBy("query_id", "id").agg(F.sum(bm25_term(F.col("idf"), F.col("length"))).alias("score"))
+    rows = document_tokens(chunks).join(broadcast_upto(asked.select("token").distinct(), ASKED_ROWS), "token", "left_semi")
+    rows = written(rows.select("token", "id", "length", F.floor(F.log2("length") * 2).alias("band")))
+    return rows, written(asked.join(idf(rows, chunks), "token"))
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, id, score``: BM25 over common tokens, of all pairs that share one. Texts are tokenised once.
+
+    Query tokens with their weights are broadcast up to ``ASKED_ROWS``, so that postings of frequent tokens stay where they
+    are; document frequencies are counted for the queries' tokens alone.
+    """
+    rows, asked = postings(queries, chunks)
+    joined = rows.join(broadcast_upto(asked, ASKED_ROWS), "token")
+    return joined.groupBy("query_id", "id").agg(F.sum(bm25_term(F.col("idf"), F.col("length"))).alias("score"))
+
+
+class Pruned(NamedTuple):
+    """Steps of a pruned search: postings that give first thresholds, those of essential tokens, candidates, and exact scores."""
+
+    first: DataFrame
+    essential: DataFrame
+    candidates: DataFrame
+    scores: DataFrame
+
+
+def pruned_scores(queries: DataFrame, chunks: DataFrame, k: int, least: float = 0.0) -> Pruned:
+    """Exact scores of all documents that may be among a query's ``k`` best (or tie with them up to rounding) by MaxScore.
+
+    A score is the sum of the weights of common tokens times a factor of the document's length. The rarest tokens of a
+    query give k documents; the least of their scores is a threshold that the kth best can't fall below (``least`` is another). Tokens
+    whose greatest shares, the smallest first, add up to less than the threshold are not essential: a document that has
+    no other token can't reach it. Blocks of postings whose length leaves too little, even with all tokens of the query,
+    are passed over. Documents found by essential tokens stay candidates while their sum plus all that may be missing
+    reaches the threshold; only for these the postings of other tokens are added.
+    """
+    rows, asked = postings(queries, chunks)
+    blocks = written(rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("shortest")))
+    bound = blocks.groupBy("token").agg(F.max(length_weight(F.col("shortest"))).alias("most"))
+    by_query = W.partitionBy("query_id")
+    rarest = by_query.orderBy("df", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    terms = asked.join(bound, "token").withColumn("share", F.col("idf") * F.col("most")).withColumn("all_", F.sum("idf").over(by_query)).withColumn("seen_", F.sum("df").over(rarest))
+    terms = written(terms.withColumn("early", F.col("seen_") - F.col("df") < FIRST_POSTINGS * k).drop("seen_", "df", "most"))
+
+    early = broadcast_upto(terms.filter("early").select("query_id", "token", "idf"), ASKED_ROWS)
+    first = rows.join(early, "token").select("query_id", "id", "idf", "length")
+    partial = first.groupBy("query_id", "id").agg(F.sum(bm25_term(F.col("idf"), F.col("length"))).alias("score"))
+    probes = best(partial, k).select("query_id", "id").join(terms.select("query_id", "token", "idf"), "query_id")  # k documents a query
+    probed = rows.join(broadcast_upto(written(probes), ASKED_ROWS), ["token", "id"])
+    whole = probed.groupBy("query_id", "id").agg(F.sum(bm25_term(F.col("idf"), F.col("length"))).alias("score"))
+    kth = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+    threshold = kth.select("query_id", (F.greatest(F.when(F.col("n") == k, F.col("kth")).otherwise(0.0), F.lit(least)) - SLACK).alias("threshold"))
+
+    small = by_query.orderBy("share", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ruled = terms.join(threshold, "query_id").withColumn("essential", F.sum("share").over(small) >= F.col("threshold"))
+    ruled = written(ruled.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("essential"), F.col("idf"))).over(by_query), F.lit(0.0))))
+    wanted = ruled.filter("essential").join(blocks, "token").filter(F.col("all_") * length_weight(F.col("shortest")) >= F.col("threshold"))
+    wanted = wanted.select("query_id", "token", "band", "idf", "all_", "rest", "threshold")
+    essential = rows.join(broadcast_upto(wanted, ASKED_ROWS), ["token", "band"]).filter(F.col("all_") * length_weight(F.col("length")) >= F.col("threshold"))
+    sums = essential.groupBy("query_id", "id", "length").agg(F.sum("idf").alias("sum"), F.first("rest").alias("rest"), F.first("threshold").alias("threshold"))
+    candidates = written(sums.filter((F.col("sum") + F.col("rest")) * length_weight(F.col("length")) >= F.col("threshold")))
+    others = rows.join(broadcast_upto(ruled.filter("not essential").select("query_id", "token", "idf"), ASKED_ROWS), "token")
+    found = broadcast_upto(candidates.select("query_id", "id"), ASKED_ROWS)
+    added = others.join(found, ["query_id", "id"], "left_semi").select("query_id", "id", "length", F.col("idf").alias("sum"))
+    whole = candidates.select("query_id", "id", "length", "sum").unionByName(added).groupBy("query_id", "id").agg((F.sum("sum") * F.first(length_weight(F.col("length")))).alias("score"))
+    return Pruned(first, essential, candidates, whole)
+
+
+def top_lexical(queries: DataFrame, chunks: DataFrame, k: int = 4, least: float = 0.0, digits: int = 6) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` best of each query with a rounded score over ``least``, ties to the smaller id."""
+    scores = pruned_scores(queries, chunks, k, least).scores
+    return best(scores.withColumn("score", half_up(F.col("score"), digits)), k, least)
 
 
 def best(scores: DataFrame, k: int, least: float | None = None) -> DataFrame:
@@ -47,9 +118,10 @@ def best(scores: DataFrame, k: int, least: float | None = None) -> DataFrame:
 
 
 def normal_scores(scores: DataFrame) -> DataFrame:
-    """Scores of each query as (v - min(v, 0)) / (max - min)."""
+    """Scores of each query as (v - min(v, 0)) / (max - min). They are written once, since they are read twice."""
+    scores = written(scores)
     stats = scores.groupBy("query_id").agg(F.least(F.min("score"), F.lit(0.0)).alias("lo_"), F.greatest(F.max("score"), F.lit(1e-9)).alias("hi_"))
-    return scores.join(stats, "query_id").withColumn("score", (F.col("score") - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))).drop("lo_", "hi_")
+    return scores.join(broadcast_upto(stats, ASKED_ROWS), "query_id").withColumn("score", (F.col("score") - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))).drop("lo_", "hi_")
 
 
 def hybrid(lexical: DataFrame, vectors: DataFrame, lexical_weight: float = 0.55, vector_weight: float = 0.45) -> DataFrame:
@@ -58,13 +130,25 @@ def hybrid(lexical: DataFrame, vectors: DataFrame, lexical_weight: float = 0.55,
     return joined.select("query_id", "id", (lexical_weight * F.coalesce("l_", F.lit(0.0)) + vector_weight * F.coalesce("v_", F.lit(0.0))).alias("score"))
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, score: Callable[[Column, Column], Column] = cosine) -> DataFrame:
-    """``score`` of all queries with all vectors; queries are broadcast in blocks of about ``MAX_QUERIES``."""
-    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q_"))
-    blocks = max(1, -(-queries.count() // MAX_QUERIES))
-    asked = written(asked) if blocks > 1 else asked
-    parts = [F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked) for b in range(blocks)]
-    return reduce(DataFrame.union, [vectors.crossJoin(p).select("query_id", "id", score(F.col("q_"), F.col("vector")).alias("score")) for p in parts])
+def vector_scores(queries: DataFrame, vectors: DataFrame, unit_length: bool = True) -> DataFrame:
+    """``query_id, id, score``: the cosine (or, unless ``unit_length``, the dot product) of all queries with all vectors.
+
+    Vectors are brought to length 1 once, not for each pair. Up to ``MAX_QUERIES`` queries are broadcast; more go to blocks,
+    vectors to salts, and each block meets each salt in one join.
+    """
+    made = unit if unit_length else (lambda v: v)
+    asked = written(queries.select(F.col("id").alias("query_id"), made(F.col("vector")).alias("q_")))
+    rows = vectors.select("id", made(F.col("vector")).alias("v_"))
+    n = asked.count()
+    if n <= MAX_QUERIES:
+        pairs = rows.crossJoin(F.broadcast(asked))
+    else:
+        blocks, salts = -(-n // MAX_QUERIES), max(1, -(-vectors.count() // SALT_VECTORS))
+        numbers = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+        left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("block", numbers(blocks))
+        right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", numbers(salts))
+        pairs = left.join(right, ["block", "salt"])
+    return pairs.select("query_id", "id", dot(F.col("q_"), F.col("v_")).alias("score"))
 
 
 def rerank(hits: DataFrame, query_vectors: DataFrame, vectors: DataFrame, own: float = 0.55, remote: float = 0.45) -> DataFrame:

@@ -49,8 +49,7 @@ def fn_bm25(spark, d):
 
 @query("topk_rag", f"{_LEX}, q AS (SELECT query_id, id, {sql6('score', 'score')} FROM s) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM q WHERE score > 0.08 QUALIFY rank <= 4")
 def topk_rag(spark, d):
-    scores = R.lexical_scores(asked(spark, d), chunks(spark, d)).select("query_id", "id", r6("score"))
-    return R.best(scores, 4, 0.08)
+    return R.top_lexical(asked(spark, d), chunks(spark, d), 4, 0.08).select("query_id", "id", "score", "rank")
 
 
 @query("fn_score_norm", f"{_LEX}, m AS (SELECT query_id, least(min(score), 0) AS lo, greatest(max(score), 1e-9) AS hi FROM s GROUP BY 1) SELECT query_id, id, {sql6('(score - lo) / (hi - lo)', 'score')} FROM s JOIN m USING (query_id)")
@@ -74,7 +73,7 @@ def fn_cosine(spark, d):
 @query("fn_dot", f"SELECT q.vec_id AS query_id, v.vec_id AS id, {sql6('list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])', 'score')} FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0")
 def fn_dot(spark, d):
     v = _vectors(spark, d)
-    return R.vector_scores(v.filter("id % 50 = 0"), v, X.dot).select("query_id", "id", r6("score"))
+    return R.vector_scores(v.filter("id % 50 = 0"), v, unit_length=False).select("query_id", "id", r6("score"))
 
 
 @query("fn_hybrid", f"{_LEX}, m AS (SELECT query_id, least(min(score), 0) AS lo, greatest(max(score), 1e-9) AS hi FROM s GROUP BY 1), l AS (SELECT query_id, id, (score - lo) / (hi - lo) AS l FROM s JOIN m USING (query_id)), v AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS} AS v FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0) SELECT query_id, id, {sql6('0.55 * coalesce(l, 0) + 0.45 * coalesce(v, 0)', 'score')} FROM l FULL JOIN v USING (query_id, id)")
@@ -87,7 +86,7 @@ def fn_hybrid(spark, d):
 @query("fn_context", f"{_LEX}, q AS (SELECT query_id, id, {sql6('score', 'score')} FROM s), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM q QUALIFY rank <= 4) SELECT query_id, id, rank, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used FROM t JOIN documents ON doc_id = id QUALIFY used <= 20000")
 def fn_context(spark, d):
     c = chunks(spark, d)
-    hits = R.best(R.lexical_scores(asked(spark, d), c).select("query_id", "id", r6("score")), 4).join(c, "id")
+    hits = R.top_lexical(asked(spark, d), c, 4, float("-inf")).join(c, "id")
     return R.context(hits, 20000).select("query_id", "id", "rank", "used")
 
 

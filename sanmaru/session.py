@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "sanmaru", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -43,3 +44,8 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_path(spark, "written")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_upto(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted now), else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,5 +1,7 @@
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sanmaru.functions import text as X
@@ -47,3 +49,46 @@ def test_hangul_tokens_jamo_and_vectors(spark):
 
     assert row.j == unicodedata.normalize("NFD", "값a가")
     assert abs(sum(v * v for v in row.v) - 1) < 1e-9 and sorted({abs(v) for v in row.v if v})[-1] > 0.8 and set(row.z) == {0.0} and len(row.z) == 64
+
+
+def corpus(n=1500):
+    rng = random.Random(8)
+    word = lambda: f"w{int(400 * rng.random() ** 4)}"  # noqa: E731  few words are in nearly all texts
+    texts = [(i, " ".join(word() for _ in range(rng.choice([5, 30, 80, 400])))) for i in range(n)]
+    texts += [(n + i, texts[i][1]) for i in range(40)] + [(n + 50, ""), (n + 51, None)]  # ties
+    asked = [(1, "w0 w1 w2 w300 w350"), (2, "w0 w1"), (3, texts[7][1]), (4, "none of these"), (5, None), (6, "w399 w0")]
+    return texts, asked
+
+
+@pytest.mark.parametrize(("k", "least"), [(4, 0.08), (1, 0.0), (5, 3.0)])
+def test_pruned_search_finds_the_best_of_all_scores(spark, k, least):
+    texts, asked = corpus()
+    chunks = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "id long, text string")
+    scores = [(r.query_id, math.floor(r.score * 1e6 + 0.5) / 1e6, r.id) for r in R.lexical_scores(queries, chunks).collect()]
+    want = []
+    for q in {s[0] for s in scores}:
+        own = sorted((-s, i) for p, s, i in scores if p == q and s > least)[:k]
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(own)]
+    got = [(r.query_id, r.id, r.score, r.rank) for r in R.top_lexical(queries, chunks, k, least).collect()]
+    assert sorted(got) == sorted(want) and (least or len(got) == 4 * k)
+
+
+def test_pruned_search_scores_few_postings(spark):
+    texts, asked = corpus()
+    chunks, queries = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "id long, text string")
+    rows, terms = R.postings(queries, chunks)
+    every = rows.join(terms, "token").count()
+    steps = R.pruned_scores(queries, chunks, 2)
+    assert steps.first.count() + steps.essential.count() < 0.6 * every
+    assert steps.candidates.count() < 0.2 * R.lexical_scores(queries, chunks).count()
+
+
+def test_vectors_in_blocks_and_salts(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3) - 1]) for i in range(60)] + [(99, [0.0, 0.0, 0.0])], "id long, vector array<double>")
+    whole = {(r.query_id, r.id): r.score for r in R.vector_scores(v, v).collect()}
+    monkeypatch.setattr(R, "MAX_QUERIES", 7)
+    monkeypatch.setattr(R, "SALT_VECTORS", 20)
+    rows = R.vector_scores(v, v).collect()
+    assert len(rows) == len(whole) == 61 * 61 and all(abs(whole[r.query_id, r.id] - r.score) < 1e-12 for r in rows)
+    assert whole[99, 99] == 0 and abs(whole[1, 1] - 1) < 1e-12
