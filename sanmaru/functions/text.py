@@ -72,15 +72,20 @@ def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.hex(code.cast("long"))), "UTF-16BE")
 
 
-def jamo(text: Column) -> Column:
-    """Hangul syllables as their two or three jamo; other characters as they are."""
+def jamo_parts(text: Column) -> Column:
+    """Each character of a text: a Hangul syllable as its two or three jamo, others as they are."""
 
     def apart(c: Column) -> Column:
         at = F.ascii(c) - 0xAC00
         last = F.when(at % 28 > 0, _char(0x11A7 + at % 28)).otherwise("")
         return F.when(at.between(0, 0xD7A3 - 0xAC00), F.concat(_char(0x1100 + F.floor(at / 588)), _char(0x1161 + F.floor(at % 588 / 28)), last)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), apart), "")
+    return F.transform(F.split(text, ""), apart)
+
+
+def jamo(text: Column) -> Column:
+    """Hangul syllables as their two or three jamo; other characters as they are."""
+    return F.array_join(jamo_parts(text), "")
 
 
 def jamo_distance(a: Column, b: Column) -> Column:

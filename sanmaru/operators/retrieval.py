@@ -159,17 +159,6 @@ def rerank(hits: DataFrame, query_vectors: DataFrame, vectors: DataFrame, own: f
     return joined.select("query_id", "id", (own * F.col("score") + remote * near).alias("score"))
 
 
-def suggest(words: DataFrame, known: DataFrame, share: float = 0.3) -> DataFrame:
-    """``word`` with the nearest ``known`` word whose edit distance is at most ``share`` of its length.
-
-    Words within a distance share the number of characters up to that distance, so the join is on lengths.
-    """
-    reach = F.floor(F.length("word") * share).cast("int")
-    asked = words.select("word", F.explode(F.sequence(F.greatest(F.length("word") - reach, F.lit(1)), F.length("word") + reach)).alias("size_"))
-    near = asked.join(known.select(F.col("word").alias("known"), F.length("word").alias("size_")), "size_").withColumn("distance", F.levenshtein("word", "known"))
-    return near.filter(F.col("distance") <= F.floor(F.length("word") * share)).groupBy("word").agg(F.min(F.struct("distance", "known")).alias("b")).select("word", "b.known", "b.distance")
-
-
 def context(hits: DataFrame, most: int = 1200) -> DataFrame:
     """Each query's hits in rank order while their joined lengths fit."""
     used = F.sum(F.length("text")).over(W.partitionBy("query_id").orderBy("rank"))

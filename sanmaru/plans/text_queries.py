@@ -8,6 +8,7 @@ from sanmaru.functions import codes as K
 from sanmaru.functions import text as X
 from sanmaru.functions.numeric import clamp, half_up, percentage
 from sanmaru.operators import retrieval as R
+from sanmaru.operators import suggest as G
 from sanmaru.plans.cube_queries import r6, sql6
 from sanmaru.plans.registry import query
 from sanmaru.sources.bindings import cells, table, with_ctes
@@ -102,11 +103,46 @@ def fn_fnv1a(spark, d):
     return part_words(spark, d).filter("word <> ''").select("word", X.fnv1a(F.col("word")).alias("hash"))
 
 
-@query("nl_suggest", f"WITH {_WORDS}, q AS (SELECT word, substr(word, 1, length(word) - 1) || 'x' AS typo FROM w WHERE length(word) >= 4), n AS (SELECT typo, word AS known, levenshtein(typo, w.word) AS distance FROM (SELECT DISTINCT typo FROM q) t, w) SELECT typo AS word, arg_min(known, (distance, known)) AS known, min(distance)::INT AS distance FROM n WHERE distance <= floor(length(typo) * 0.3) GROUP BY 1")
+#: Letters of part names as syllables, so that names have jamo.
+_NAME_LETTERS, _NAME_SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+_SHAPE = "[" + ", ".join(f"'{w}'" for w in G.SHAPE_WORDS) + "]"
+_SUGGEST = f"""
+WITH k0 AS (
+  SELECT DISTINCT p_name AS metric, split_part(p_name, ' ', 1) AS label, 0 AS ordinal, translate(p_name, '{_NAME_LETTERS}', '{_NAME_SYLLABLES}') AS trigger FROM part
+  UNION ALL SELECT DISTINCT p_name, split_part(p_name, ' ', 1), 1, translate(split_part(p_name, ' ', 2), '{_NAME_LETTERS}', '{_NAME_SYLLABLES}') || '율' FROM part),
+k1 AS (SELECT *, replace(trigger, ' ', '') AS key FROM k0),
+q AS (
+  SELECT p_partkey AS id, translate(CASE p_partkey % 5 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN replace(p_name, substr(p_name, 1 + (p_partkey % 4)::INT, 1), 'k') WHEN 2 THEN substr(p_name, 1, length(p_name) - 2) || 'xz'
+    WHEN 3 THEN replace(p_name, 'e', 's') ELSE substr(p_name, 3) END, '{_NAME_LETTERS}', '{_NAME_SYLLABLES}') || ' 높은 곳' AS text FROM part),
+qc AS (SELECT id, text, replace(text, ' ', '') AS compact FROM q),
+k AS (
+  SELECT *, array_to_string(list_transform(string_split(key, ''), lambda c: chr(48 + (ascii(c) - 44032) // 588) || chr(67 + (ascii(c) - 44032) % 588 // 28) || CASE WHEN (ascii(c) - 44032) % 28 > 0 THEN chr(87 + (ascii(c) - 44032) % 28) ELSE '' END), '') AS j
+  FROM k1 WHERE length(key) >= 3),
+w AS (SELECT id, unnest(list_filter(regexp_extract_all(text, '[가-힣]{{2,}}'), lambda x: NOT list_contains({_SHAPE}, x))) AS word FROM q),
+c AS (SELECT id, metric, any_value(label) AS label, arg_min(trigger, ordinal) AS trigger, 0 AS distance FROM w JOIN k ON contains(key, word) GROUP BY id, metric),
+n AS (SELECT DISTINCT length(key) AS n FROM k),
+u0 AS (SELECT DISTINCT id, n, substr(compact, pos, n) AS r FROM (SELECT id, compact, n, unnest(range(1, length(compact) - n + 2)) AS pos FROM qc, n)),
+u AS (SELECT id, n, array_to_string(list_transform(string_split(r, ''), lambda c: chr(48 + (ascii(c) - 44032) // 588) || chr(67 + (ascii(c) - 44032) % 588 // 28) || CASE WHEN (ascii(c) - 44032) % 28 > 0 THEN chr(87 + (ascii(c) - 44032) % 28) ELSE '' END), '') AS j FROM u0),
+t AS (SELECT id, metric, ordinal, any_value(label) AS label, any_value(trigger) AS trigger, min(levenshtein(u.j, k.j)) AS distance, any_value(greatest(1, floor(length(k.j) * 0.3::DOUBLE + 0.5))) AS most FROM u JOIN k ON length(key) = n GROUP BY id, metric, ordinal),
+b AS (SELECT id, metric, arg_min(struct_pack(label, trigger, distance, most), (distance, ordinal)) AS b FROM t WHERE NOT EXISTS (FROM c WHERE c.id = t.id AND c.metric = t.metric) GROUP BY id, metric),
+f AS (SELECT id, metric, label, trigger, distance FROM c UNION ALL SELECT id, metric, b.label, b.trigger, b.distance FROM b WHERE b.distance <= b.most),
+o AS (SELECT id, label, min(struct_pack(distance, metric, trigger)) AS m FROM f GROUP BY id, label)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY m.distance, label)::INT AS rank, m.metric AS metric, label, m.trigger AS trigger, m.distance::INT AS distance FROM o QUALIFY rank <= 3
+"""
+
+
+@query("nl_suggest", _SUGGEST)
 def nl_suggest(spark, d):
-    known = part_words(spark, d)
-    typos = known.filter(F.length("word") >= 4).select(F.concat(F.expr("substr(word, 1, length(word) - 1)"), F.lit("x")).alias("word")).distinct()
-    return R.suggest(typos, known)
+    """Names of parts, mistyped in several ways, against the names and their second words."""
+    hangul = lambda c: F.translate(c, _NAME_LETTERS, _NAME_SYLLABLES)
+    name, k = F.col("p_name"), F.col("p_partkey")
+    part = table(spark, d, "part")
+    first, second = F.get(F.split(name, " "), F.lit(0)), F.get(F.split(name, " "), F.lit(1))
+    triggers = F.array(hangul(name), F.concat(hangul(second), F.lit("율")))
+    metrics = part.select("p_name").distinct().select(name.alias("metric"), first.alias("label"), F.posexplode(triggers).alias("ordinal", "trigger"))
+    typo = F.when(k % 5 == 0, second).when(k % 5 == 1, F.replace(name, F.substring(name, (k % 4 + 1).cast("int"), F.lit(1)), F.lit("k")))
+    typo = typo.when(k % 5 == 2, F.concat(F.substring(name, F.lit(1), F.length(name) - 2), F.lit("xz"))).when(k % 5 == 3, F.replace(name, F.lit("e"), F.lit("s"))).otherwise(F.substring(name, F.lit(3), F.length(name)))
+    return G.suggest_metrics(part.select(k.alias("id"), F.concat(hangul(typo), F.lit(" 높은 곳")).alias("text")), metrics)
 
 
 @query("flt_name_any", with_ctes("cells", "SELECT code, name FROM cells WHERE contains(replace(name, ' ', ''), 'ASIA') OR contains(replace(name, ' ', ''), 'FRICAK')"))

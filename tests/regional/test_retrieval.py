@@ -27,12 +27,6 @@ def test_cosine_of_zeros(spark):
     assert row.z == 0.0 and row.o == 1.0
 
 
-def test_suggestions(spark):
-    words = spark.createDataFrame([("populatoin",), ("zzzz",)], "word string")
-    known = spark.createDataFrame([("population",), ("popular",)], "word string")
-    assert [(r.word, r.known, r.distance) for r in R.suggest(words, known).collect()] == [("populatoin", "population", 2)]
-
-
 def test_vector_scores_in_blocks_of_queries(spark, monkeypatch):
     from sanmaru.operators import retrieval as R
 
