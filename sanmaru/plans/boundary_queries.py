@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sanmaru.functions import shapes as P
 from sanmaru.operators import boundary as B
+from sanmaru.operators import crossings as E
 from sanmaru.plans.cube_queries import r6, sql6
 from sanmaru.plans.registry import query
 from sanmaru.session import shared_path
@@ -149,3 +150,41 @@ def prj_live_flag(spark, d):
     k = F.col("s_suppkey")
     note = F.when(k % 4 == 0, "출생·사망 값은 합성값입니다").when(k % 4 == 1, "인구는 실측").when(k % 4 == 2, "세대: 나머지는 기준 스냅샷").otherwise("없음")
     return table(spark, d, "supplier").select(k.alias("id"), B.population_is_live(F.when(k % 4 == 3, "demo").otherwise("live"), F.array(note)).alias("live"))
+
+
+_FAULTS = "CASE WHEN id % 12 = 1 THEN 'open' WHEN id % 12 = 2 THEN 'crossing' WHEN id % 12 = 3 THEN 'hole' WHEN id % 12 = 4 THEN 'hole' WHEN id % 12 = 5 THEN 'bounds' WHEN id % 12 = 6 THEN 'empty' WHEN id % 12 = 7 THEN 'short' END"
+
+
+def _shapes(spark, d):
+    """Rings of 16 corners round facilities, most with a hole, some with a fault; those of id % 12 = 4 have a hole that touches the ring."""
+    at = lambda x, y: F.array(F.col("lng") + x, F.col("lat") + y)
+    ring = lambda ps: F.array(*[at(x, y) for x, y in [*ps, ps[0]]])
+    comb = [(0.0, 0.0), (0.016, 0.0), (0.016, 0.01), (0.0145, 0.01), (0.0145, 0.004), (0.012, 0.004), (0.012, 0.01), (0.0105, 0.01), (0.0105, 0.004), (0.008, 0.004), (0.008, 0.01), (0.0065, 0.01), (0.0065, 0.004), (0.004, 0.004), (0.004, 0.01), (0.0, 0.01)]
+    tied = [*comb[:4], (0.0105, 0.0055), (0.0145, 0.004), (0.012, 0.01), *comb[7:]]  # one edge cuts through the next tooth
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    k = F.col("id") % 12
+    outer = F.when(k == 1, F.slice(ring(comb), 1, 16)).when(k == 2, ring(tied)).when(k == 7, F.slice(ring(comb), 1, 3)).when(k == 5, F.transform(ring(comb), lambda p: F.array(p[0] + 5.0, p[1]))).otherwise(ring(comb))
+    hole = F.when(k == 3, ring(box(0.005, 0.006, 0.001))).when(k == 4, ring([(0.001, 0.0), (0.003, 0.002), (0.001, 0.002)])).otherwise(F.when(k == 5, F.transform(ring(box(0.001, 0.001, 0.001)), lambda p: F.array(p[0] + 5.0, p[1]))).otherwise(ring(box(0.001, 0.001, 0.001))))
+    polygons = F.when(k == 6, F.array().cast("array<array<array<array<double>>>>")).when(k == 0, F.array(F.array(outer))).otherwise(F.array(F.array(outer, hole)))
+    return facilities(spark, d).select("id", polygons.alias("polygons"))
+
+
+@query("fn_geometry_faults", with_ctes("facilities", f"SELECT id, {_FAULTS} AS problem FROM facilities"))
+def fn_geometry_faults(spark, d):
+    return E.geometry_problems(_shapes(spark, d))
+
+
+@query("job_validate_boundary", with_ctes("facilities", f"""WITH f AS (SELECT id, lpad(id::VARCHAR, 8, '0') || '00' AS code, {_FAULTS} AS problem FROM facilities)
+SELECT 'geometry' AS "check", code, problem AS detail FROM f WHERE problem IS NOT NULL
+UNION ALL SELECT 'only in metadata', '9' || substr(code, 2), NULL FROM f WHERE id % 20 = 0 UNION ALL SELECT 'only in boundary', code, NULL FROM f WHERE id % 20 = 0
+UNION ALL SELECT 'count', NULL, count(*)::VARCHAR FROM f UNION ALL SELECT 'crs', NULL, 'EPSG:5179'"""))
+def job_validate_boundary(spark, d):
+    """Features written as GeoJSON lines and read again; their metadata has other codes for some, another count and another system."""
+    path, code = shared_path(spark, "boundary"), F.concat(_pad(8)(F.col("id")), F.lit("00"))
+    S.write_features(_shapes(spark, d).select(F.create_map(F.lit("adm_cd2"), code).alias("properties"), "polygons"), path)
+    back = spark.read.schema("properties map<string, string>, geometry struct<coordinates: array<array<array<array<double>>>>>").json(path)
+    features = back.select(F.element_at("properties", "adm_cd2").alias("code"), F.col("geometry.coordinates").alias("polygons"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    listed = facilities(spark, d).select(F.when(F.col("id") % 20 == 0, F.concat(F.lit("9"), F.expr("substr(lpad(id, 8, '0') || '00', 2)"))).otherwise(code).alias("code"))
+    metadata = S.boundary_metadata(listed, files, "20260101").withColumn("crs", F.lit("EPSG:5179")).withColumn("feature_count", F.col("feature_count") + 1)
+    return E.boundary_report(features, "EPSG:4326", files, metadata)

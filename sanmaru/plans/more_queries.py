@@ -9,6 +9,7 @@ from sanmaru.functions import text as X
 from sanmaru.functions.geo import bin_center, bin_key, in_ring
 from sanmaru.functions.numeric import half_up, vulnerability
 from sanmaru.operators import access as A
+from sanmaru.operators import crossings as E
 from sanmaru.operators import cube as C
 from sanmaru.operators import ingest as I
 from sanmaru.plans import ingest_queries as Q
@@ -263,13 +264,15 @@ def _quads(spark, d):
 
 @query("fn_self_intersect", with_ctes("facilities", "SELECT id, id % 3 = 0 AS crossing FROM facilities"))
 def fn_self_intersect(spark, d):
-    return _quads(spark, d).select("id", P.self_intersects(F.col("ring")).alias("crossing"))
+    rings = _quads(spark, d)
+    crossed = E.crossing_rings(E.ring_edges(rings, ["id"]), ["id"]).withColumn("hit", F.lit(True))
+    return rings.select("id").join(crossed, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("crossing"))
 
 
 @query("fn_ring_checks", with_ctes("facilities", "SELECT id, CASE WHEN id % 4 = 1 THEN 'short' WHEN id % 4 = 2 THEN 'open' WHEN id % 3 = 0 THEN 'crossing' END AS problem FROM facilities"))
 def fn_ring_checks(spark, d):
     ring = F.when(F.col("id") % 4 == 1, F.slice("ring", 1, 3)).when(F.col("id") % 4 == 2, F.slice("ring", 1, 4)).otherwise(F.col("ring"))
-    return _quads(spark, d).select("id", P.ring_problem(ring).alias("problem"))
+    return E.ring_problems(_quads(spark, d).select("id", ring.alias("ring")))
 
 
 def _squares(spark, d):
@@ -403,11 +406,6 @@ def fn_staleness(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), hours.alias("hours"), (hours > 48).alias("stale"))
 
 
-@query("job_validate_boundary", with_ctes("facilities", "SELECT coalesce(p, 'fine') AS problem, count(*) AS rings FROM (SELECT CASE WHEN id % 3 = 0 THEN 'crossing' END AS p FROM facilities) GROUP BY 1"))
-def job_validate_boundary(spark, d):
-    return _quads(spark, d).groupBy(F.coalesce(P.ring_problem(F.col("ring")), F.lit("fine")).alias("problem")).agg(F.count(F.lit(1)).alias("rings"))
-
-
 @query("executeAnalysisIntent", T.ranking_sql("population::DOUBLE"))
 def execute_analysis(spark, d):
     """A named analysis looked up and run."""
