@@ -70,5 +70,35 @@ def area_km2(ring: Column) -> Column:
     return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)) * EARTH_KM * EARTH_KM / 2
 
 
+def polygon_area_km2(rings: Column) -> Column:
+    """Spherical area of the first ring less those of the others."""
+    return F.aggregate(F.transform(rings, lambda r, i: area_km2(r) * F.when(i == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x)
+
+
+def interior_point(rings: Column) -> Column:
+    """A place ``lng, lat`` inside a polygon (or of all rings of a multi-polygon), clear of its edges; null if it has no area.
+
+    The scanline lies halfway between the corners next below and next above the middle, so it meets no corner. The
+    place is the middle of the widest piece of it that is inside by the even-odd rule.
+    """
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  the value is worked out once
+
+    def place(y: Column) -> Column:
+        met = F.filter(F.flatten(F.transform(rings, edges)), lambda e: (e["y1"] > y) != (e["y2"] > y))
+        return let(F.array_sort(F.transform(met, lambda e: e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]))), lambda xs: widest(xs, y))
+
+    def widest(xs: Column, y: Column) -> Column:
+        piece = lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("width"), (-i).alias("no"), ((F.get(xs, 2 * i) + F.get(xs, 2 * i + 1)) / 2).alias("x"))
+        best = F.array_max(F.when(F.size(xs) >= 2, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(xs) / 2).cast("int") - 1, F.lit(0))), piece)))
+        return let(best, lambda b: F.when(b["width"] > 0, F.struct(b["x"].alias("lng"), y.alias("lat"))))
+
+    def scanline(ys: Column) -> Column:
+        middle = (F.get(ys, F.lit(0)) + F.element_at(ys, -1)) / 2
+        return (F.array_max(F.filter(ys, lambda v: v <= middle)) + F.array_min(F.filter(ys, lambda v: v > middle))) / 2
+
+    ys = F.array_sort(F.array_distinct(F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[1])))))
+    return let(ys, lambda listed: let(scanline(listed), place))
+
+
 def swap_points(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng")))

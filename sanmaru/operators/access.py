@@ -35,8 +35,8 @@ def _reached(points: DataFrame, km: float) -> DataFrame:
     return near.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod(cell + i, cells) for i in (-1, 0, 1)]))))
 
 
-def within_radius(origins: DataFrame, facilities: DataFrame, km: float) -> DataFrame:
-    """``code, within``: facilities at most ``km`` away; origins without one are not listed.
+def access_pairs(origins: DataFrame, facilities: DataFrame, km: float) -> DataFrame:
+    """``code, km``: a row for each facility at most ``km`` from an origin.
 
     Both sides are dealt by cells of latitude and longitude of the radius, so the join is an equi-join at any size. A
     radius of 0 finds facilities at the very place.
@@ -47,7 +47,12 @@ def within_radius(origins: DataFrame, facilities: DataFrame, km: float) -> DataF
     band = _band(F.col("lat"), size)
     near = facilities.select(F.col("lat").alias("f_lat"), F.col("lng").alias("f_lng"), band.alias("band"), _cell(F.col("lng"), band, size).alias("cell"))
     pairs = _reached(origins.select("code", "lat", "lng"), size).join(near, ["band", "cell"])
-    return pairs.filter(haversine_km(F.col("lat"), F.col("lng"), F.col("f_lat"), F.col("f_lng")) <= km).groupBy("code").agg(F.count(F.lit(1)).alias("within"))
+    return pairs.select("code", haversine_km(F.col("lat"), F.col("lng"), F.col("f_lat"), F.col("f_lng")).alias("km")).filter(F.col("km") <= km)
+
+
+def within_radius(origins: DataFrame, facilities: DataFrame, km: float) -> DataFrame:
+    """``code, within``: facilities at most ``km`` away; origins without one are not listed."""
+    return access_pairs(origins, facilities, km).groupBy("code").agg(F.count(F.lit(1)).alias("within"))
 
 
 def nearest(origins: DataFrame, facilities: DataFrame, start_km: float = 8.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sanmaru.functions import shapes as P
+from sanmaru.functions.geo import in_polygon
+from sanmaru.functions.numeric import half_up
 from sanmaru.operators import boundary as B
 from sanmaru.operators import crossings as E
 from sanmaru.plans.cube_queries import r6, sql6
@@ -188,3 +190,19 @@ def job_validate_boundary(spark, d):
     listed = facilities(spark, d).select(F.when(F.col("id") % 20 == 0, F.concat(F.lit("9"), F.expr("substr(lpad(id, 8, '0') || '00', 2)"))).otherwise(code).alias("code"))
     metadata = S.boundary_metadata(listed, files, "20260101").withColumn("crs", F.lit("EPSG:5179")).withColumn("feature_count", F.col("feature_count") + 1)
     return E.boundary_report(features, "EPSG:4326", files, metadata)
+
+
+_RECT = "radians({w}) * (sin(radians(lat + {b})) - sin(radians(lat + {a})))"
+_COMB = " + ".join([_RECT.format(w=0.016, a=0, b=0.004), *[_RECT.format(w=w, a=0.004, b=0.01) for w in (0.004, 0.0015, 0.0015, 0.0015)]])
+
+
+@query("fn_area_point", with_ctes("facilities", f"""SELECT id, floor(6371.0088 * 6371.0088 * ({_COMB} - CASE WHEN id % 2 = 1 THEN {_RECT.format(w=0.0008, a=0.003, b=0.0093)} ELSE 0 END) * 1e4 + 0.5) / 1e4 AS km2,
+  floor((lng + CASE WHEN id % 2 = 1 THEN 0.0026 ELSE 0.002 END) * 1e6 + 0.5) / 1e6 AS lng, floor((lat + CASE WHEN id % 2 = 1 THEN 0.00665 ELSE 0.007 END) * 1e6 + 0.5) / 1e6 AS lat, true AS inside FROM facilities"""))
+def fn_area_point(spark, d):
+    """Area and an inner place of combs, every other one with a hole under the scanline."""
+    corners = [(0.0, 0.0), (0.016, 0.0), (0.016, 0.01), (0.0145, 0.01), (0.0145, 0.004), (0.012, 0.004), (0.012, 0.01), (0.0105, 0.01), (0.0105, 0.004), (0.008, 0.004), (0.008, 0.01), (0.0065, 0.01), (0.0065, 0.004), (0.004, 0.004), (0.004, 0.01), (0.0, 0.01)]
+    ring = lambda ps: F.array(*[F.array(F.col("lng") + x, F.col("lat") + y) for x, y in [*ps, ps[0]]])
+    hole = ring([(0.0004, 0.003), (0.0012, 0.003), (0.0012, 0.0093), (0.0004, 0.0093)])
+    rows = facilities(spark, d).select("id", F.when(F.col("id") % 2 == 1, F.array(ring(corners), hole)).otherwise(F.array(ring(corners))).alias("rings"))
+    rows = rows.select("id", "rings", half_up(P.polygon_area_km2(F.col("rings")), 4).alias("km2"), P.interior_point(F.col("rings")).alias("p"))
+    return rows.select("id", "km2", r6("p.lng", "lng"), r6("p.lat", "lat"), in_polygon(F.col("p.lng"), F.col("p.lat"), F.col("rings")).alias("inside"))

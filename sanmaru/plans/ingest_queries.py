@@ -243,11 +243,6 @@ def agg_coverage(spark, d):
     return counted.filter(F.col("covered") >= I.COVERAGE * F.col("total"))
 
 
-@query("job_normalize", with_ctes("series", "WITH k AS (SELECT code, count(DISTINCT month_no) AS m, max(month_no) - min(month_no) AS span FROM series GROUP BY 1) SELECT code, m = 13 AND span = 12 AS consecutive FROM k"))
-def job_normalize(spark, d):
-    return I.consecutive_months(region_series(spark, d))
-
-
 @query("sink_checksum")
 def sink_checksum(spark, d):
     return checksum(region_series(spark, d))

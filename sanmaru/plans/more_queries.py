@@ -306,11 +306,6 @@ def fn_coord_swap(spark, d):
     return _squares(spark, d).select("id", P.swap_points(F.col("ring"))[0].alias("p")).select("id", "p.lat", "p.lng")
 
 
-@query("fn_area_point", with_ctes("facilities", "SELECT id, floor(6371.0088 * 6371.0088 * radians(0.1) * (sin(radians(lat + 0.1)) - sin(radians(lat))) * 1e4 + 0.5) / 1e4 AS km2 FROM facilities"))
-def fn_area_point(spark, d):
-    return _squares(spark, d).select("id", half_up(P.area_km2(F.col("ring")), 4).alias("km2"))
-
-
 @query("fn_sgg_name", with_ctes("cells", "SELECT code, split_part(name, ' ', 1) AS v FROM cells"))
 def fn_sgg_name(spark, d):
     return cells(spark, d).select("code", F.split("name", r"\s+")[0].alias("v"))
@@ -404,11 +399,3 @@ def fn_remote_cos(spark, d):
 def fn_staleness(spark, d):
     hours = F.expr("timestampdiff(HOUR, ts, timestamp'2024-02-01 00:00:00')")
     return table(spark, d, "events").select(F.col("event_id").alias("id"), hours.alias("hours"), (hours > 48).alias("stale"))
-
-
-@query("executeAnalysisIntent", T.ranking_sql("population::DOUBLE"))
-def execute_analysis(spark, d):
-    """A named analysis looked up and run."""
-    from sanmaru.operators.tools import RANKINGS
-
-    return RANKINGS["rankPopulationSize"](region_series(spark, d), REF)

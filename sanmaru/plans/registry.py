@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sanmaru.plans import boundary_queries, cube_queries, feed_queries, grid_queries, ingest_queries, more_queries, text_queries, tool_queries  # noqa: F401
+    from sanmaru.plans import boundary_queries, cube_queries, feed_queries, grid_queries, ingest_queries, more_queries, snapshot_queries, text_queries, tool_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
