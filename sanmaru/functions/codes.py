@@ -76,3 +76,29 @@ def unit_label(codes_all_ten: Column, codes_all_five: Column) -> Column:
 
 def base_unit(unit: Column) -> Column:
     return F.trim(F.element_at(F.split(unit, "/"), 1))
+
+
+def month_run(last: Column, n: int) -> Column:
+    """Labels of the ``n`` months that end with month number ``last``."""
+    return F.transform(F.sequence(last - (n - 1), last), month_label)
+
+
+def month_windows(months: Column, most: int) -> Column:
+    """Sorted months in windows of at most ``most``."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(months) / most).cast("int") - 1, F.lit(0)))
+    return F.transform(starts, lambda i: F.slice(months, i * most + 1, F.lit(most)))
+
+
+def district_name(name: Column, province: str) -> Column:
+    """City and ward of a region's name without its province, or the first word if no ward follows a city."""
+    words = F.split(F.regexp_replace(name, f"^{province}\\s*", ""), r"\s+")
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    return F.when(first.endswith("시") & F.coalesce(second.endswith("구"), F.lit(False)), F.concat_ws(" ", first, second)).otherwise(F.coalesce(first, F.lit("")))
+
+
+def hours_map(json: Column) -> Column:
+    """Opening hours by day of a JSON object: texts and nulls stay, other values go; null if nothing is left or it is no object."""
+    v = F.try_parse_json(json)
+    days = F.transform_values(F.try_variant_get(v, "$", "map<string, variant>"), lambda _, x: F.struct(F.schema_of_variant(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("text")))
+    kept = F.transform_values(F.map_filter(days, lambda _, x: x["kind"].isin("STRING", "VOID")), lambda _, x: x["text"])
+    return F.when(F.size(kept) > 0, kept)

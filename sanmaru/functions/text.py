@@ -36,6 +36,11 @@ def tokens(text: Column, least: int = 2) -> Column:
     return F.when(text.rlike("[가-힣]{2}"), F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(own(w), parts(w)))))).otherwise(plain)
 
 
+def term_frequency(listed: Column, token: str) -> Column:
+    """How often a list of tokens holds ``token``."""
+    return F.size(listed) - F.size(F.array_remove(listed, token))
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a of the characters' codes (those of one UTF-16 unit)."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))

@@ -179,3 +179,9 @@ def threshold(df: DataFrame, value: str, sign: str, bound: float) -> DataFrame:
 def threshold_if(df: DataFrame, value: str, sign: str, bound: float, unit: str | None, metric_unit: str, composite: bool) -> DataFrame:
     """``threshold``, but all rows if the ranking is composite or the bound is in another unit than the metric."""
     return df if composite or (unit is not None and unit != metric_unit) else threshold(df, value, sign, bound)
+
+
+def rank_word(value: str, rank: str) -> Column:
+    """``ascending`` if there are three ranked rows or more and the first value is less than the last, else ``descending``."""
+    up = (F.count(F.lit(1)) >= 3) & (F.min_by(value, rank) < F.max_by(value, rank))
+    return F.when(up, "ascending").otherwise("descending")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sanmaru.functions.numeric import half_up
-from sanmaru.functions.text import bm25_term, cosine, dot, length_weight, tokens, unit
+from sanmaru.functions.text import bm25_term, cosine, dot, fnv1a, length_weight, tokens, unit
 from sanmaru.session import broadcast_upto, written
 
 #: Queries of a block and vectors of a salt in one group of a vector join.
@@ -32,6 +32,22 @@ def idf(token_rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).withColumn("idf", F.log(1 + F.col("n_") / (1 + F.col("df")))).drop("n_")
 
 
+def hash_vectors(chunks: DataFrame, dim: int = 64) -> DataFrame:
+    """``id, idx, value``: the places of each chunk's hashed vector that aren't 0, brought to length 1.
+
+    As ``hash_embed`` has it, but each distinct token is hashed once and sums are made by grouping.
+    """
+    rows = document_tokens(chunks).select("id", "token")
+    h, g = fnv1a(F.col("token")), fnv1a(F.concat("token", F.lit("#")))
+    hashed = rows.select("token").distinct().select("token", h.alias("h"), g.alias("g"))
+    sign = F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)
+    spots = F.array(F.struct((F.col("h") % dim).alias("idx"), sign.alias("v")), F.struct((F.col("g") % dim).alias("idx"), (sign / 2).alias("v")))
+    placed = rows.join(hashed.select("token", F.explode(spots).alias("s")), "token")
+    sums = written(placed.groupBy("id", F.col("s.idx").cast("int").alias("idx")).agg(F.sum("s.v").alias("v")).filter("v <> 0"))
+    norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return sums.join(norms, "id").select("id", "idx", (F.col("v") / F.col("norm")).alias("value"))
+
+
 def postings(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The postings ``token, id, length, band`` of the queries' tokens, written once, and ``query_id, token, idf, df``.
 

@@ -13,6 +13,7 @@ from sanmaru.plans.cube_queries import r6, sql6
 from sanmaru.plans.registry import query
 from sanmaru.session import shared_path, written
 from sanmaru.sources import readers as R
+from sanmaru.sources import discovery as V
 from sanmaru.sources import sinks as S
 from sanmaru.sources.bindings import cells, facilities, monthly_cube, table, with_ctes
 
@@ -97,7 +98,7 @@ def flow_files(spark, d):
     """Inflow names its cell ADM_CD, outflow RSDN_ADM_CD."""
     p = _people(spark, d)
     make = lambda rows, cell: rows.select("ym", F.col("date").alias("BASE_DATE"), F.col("cell").alias(cell), F.lit("00000").alias("SGG_CD"), F.col("young").alias("M00"), F.col("elderly").alias("F70"))
-    return _by_month(make(p.filter("h < 3"), "ADM_CD"), "inflow"), _by_month(make(p.filter("h >= 21"), "RSDN_ADM_CD"), "outflow")
+    return _by_month(make(p.filter("h < 12"), "ADM_CD"), "inflow"), _by_month(make(p.filter("h >= 12"), "RSDN_ADM_CD"), "outflow")
 
 
 @query("src_psv_living", f"WITH {_EV8} SELECT code, month, count(*) AS rows, {Q.sqlr('sum(total)', 3, 'total')}, {Q.sqlr('sum(elderly)', 3, 'elderly')} FROM ev GROUP BY 1, 2")
@@ -110,7 +111,7 @@ def src_psv_daynight(spark, d):
     return R.read_day_night(spark, day_night_file(spark, d)).groupBy("code", "month", "hour").agg(F.count(F.lit(1)).alias("rows"), half_up(F.sum("total"), 3).alias("total"))
 
 
-@query("src_psv_mobility", f"WITH {_EV8} SELECT code, date, CASE WHEN hour < 3 THEN 'in' ELSE 'out' END AS way, count(*) AS rows, {Q.sqlr('sum(total)', 3, 'total')} FROM ev WHERE hour < 3 OR hour >= 21 GROUP BY 1, 2, 3")
+@query("src_psv_mobility", f"WITH {_EV8} SELECT code, date, CASE WHEN hour < 12 THEN 'in' ELSE 'out' END AS way, count(*) AS rows, {Q.sqlr('sum(total)', 3, 'total')} FROM ev GROUP BY 1, 2, 3")
 def src_psv_mobility(spark, d):
     inflow, outflow = (R.read_mobility(spark, p) for p in flow_files(spark, d))
     both = inflow.withColumn("way", F.lit("in")).union(outflow.withColumn("way", F.lit("out")))
@@ -167,12 +168,13 @@ def grid_file(spark, d):
     return put(table(spark, d, "customer").select(*[v.alias(n) for n, v in fields.items()]), "grid", encoding="x-windows-949")
 
 
-def centroid_file(spark):
-    """The first 350 squares; ten of them without an x."""
+def centroid_file(spark, d):
+    """The squares under 350 in which customers live; ten of them without an x."""
     g = F.col("id")
     x = F.when(g < GRIDS - 10, (1000050 + g % 20 * 100).cast("string")).otherwise("none")
     path = shared_path(spark, "centroids")
-    rows = spark.range(GRIDS).select(F.concat(F.lit("다라"), F.lpad(g.cast("string"), 4, "0")).alias("﻿gid"), x.alias("center_x_5179"), (1700050 + F.floor(g / 20) * 100).alias("center_y_5179"), (127.5 + g / 1000).alias("longitude"), (34.5 + g / 1000).alias("latitude"))
+    squares = table(spark, d, "customer").select((F.col("c_custkey") % 400).alias("id")).distinct().filter(g < GRIDS)
+    rows = squares.select(F.concat(F.lit("다라"), F.lpad(g.cast("string"), 4, "0")).alias("﻿gid"), x.alias("center_x_5179"), (1700050 + F.floor(g / 20) * 100).alias("center_y_5179"), (127.5 + g / 1000).alias("longitude"), (34.5 + g / 1000).alias("latitude"))
     rows.write.option("header", True).csv(path)
     return path
 
@@ -188,19 +190,22 @@ def src_cp949_grid(spark, d):
     return read_grid(spark, grid_file(spark, d)).groupBy("gid").agg(F.count(F.lit(1)).alias("rows"), F.sum("pop").alias("pop"))
 
 
-@query("src_centroids", f"SELECT '다라' || lpad(g::VARCHAR, 4, '0') AS gid, (1000050 + g % 20 * 100)::DOUBLE AS x, (1700050 + g // 20 * 100)::DOUBLE AS y, {sql6('127.5::DOUBLE + g / 1000', 'lon')}, {sql6('34.5::DOUBLE + g / 1000', 'lat')} FROM range({GRIDS} - 10) t(g)")
+@query("src_centroids", f"SELECT '다라' || lpad(g::VARCHAR, 4, '0') AS gid, (1000050 + g % 20 * 100)::DOUBLE AS x, (1700050 + g // 20 * 100)::DOUBLE AS y, {sql6('127.5::DOUBLE + g / 1000', 'lon')}, {sql6('34.5::DOUBLE + g / 1000', 'lat')} FROM (SELECT DISTINCT c_custkey % 400 AS g FROM customer) WHERE g < {GRIDS} - 10")
 def src_centroids(spark, d):
-    return R.read_centroids(spark, centroid_file(spark)).select("gid", "x", "y", r6("lon"), r6("lat"))
+    return R.read_centroids(spark, centroid_file(spark, d)).select("gid", "x", "y", r6("lon"), r6("lat"))
 
 
-@query("src_dir_discovery", "SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS folder FROM orders WHERE year(o_orderdate) = 2000 AND month(o_orderdate) % 3 > 0")
+@query("src_dir_discovery", "SELECT strftime(o_orderdate, '%Y%m') AS folder, count(*) AS rows FROM orders WHERE month(o_orderdate) % 3 > 0 AND year(o_orderdate) > 1996 GROUP BY 1")
 def src_dir_discovery(spark, d):
-    """Some months' folders hold another file only."""
-    root = shared_path(spark, "delivery")
-    o = table(spark, d, "orders").filter(F.year("o_orderdate") == 2000).select(F.date_format("o_orderdate", "yyyyMM").alias("m"), F.when(F.month("o_orderdate") % 3 > 0, "grid_stat").otherwise("other").alias("f"), F.col("o_orderkey").cast("string"))
-    for r in sorted(o.select("m", "f").distinct().collect()):  # at most twelve months
-        o.filter((F.col("m") == r.m) & (F.col("f") == r.f)).select("o_orderkey").write.text(f"{root}/{r.m}/{r.f}")
-    return R.month_folders(spark, root, "grid_stat")
+    """All months delivered in one write; some folders hold another file only, and the years up to 1996 were taken by an earlier run."""
+    root, manifest = shared_path(spark, "delivery"), shared_path(spark, "manifest")
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("month"), F.when(F.month("o_orderdate") % 3 > 0, "grid_stat").otherwise("other").alias("file"), F.col("o_orderkey").cast("string"))
+    o.repartition("month", "file").write.partitionBy("month", "file").text(root)
+    early = written(V.new_folders(spark, root, "file=grid_stat", manifest).filter("folder < 'month=1997'"))
+    V.mark_seen(early, manifest)
+    later = written(V.new_folders(spark, root, "file=grid_stat", manifest))
+    rows = spark.read.text(root).filter("file = 'grid_stat'").withColumn("folder", F.concat(F.lit("month="), F.col("month")))
+    return rows.join(F.broadcast(later), "folder", "left_semi").groupBy(F.substring("folder", 7, 6).alias("folder")).agg(F.count(F.lit(1)).alias("rows"))  # a row for each month
 
 
 # Finishing sums that came from two files.
@@ -385,7 +390,7 @@ _GRID_ROWS = Q._credit_sql("code", f"sum(pop) >= {I.LEAST_ADULTS}").replace(Q._C
 @query("job_kcb_grid", f"SELECT code, 24018::INT AS month_no, {', '.join(f'{m}::DOUBLE AS {m}' for m in _CREDIT_METRICS)} FROM ({_GRID_ROWS})")
 def job_kcb_grid(spark, d):
     """Squares without a centroid are dropped; bins of few adults keep their population only."""
-    spots = F.broadcast(R.read_centroids(spark, centroid_file(spark)))  # squares of a province: a fixed number
+    spots = F.broadcast(R.read_centroids(spark, centroid_file(spark, d)))  # squares of a province: a fixed number
     rows = read_grid(spark, grid_file(spark, d)).join(spots, "gid").withColumn("code", bin_key(F.col("x"), F.col("y"), RESOLUTION))
     out = I.credit(rows, ["code", "month"], I.LEAST_ADULTS).withColumn("month_no", K.month_no(F.col("month")))
     path = shared_path(spark, "grid-cube")
@@ -394,10 +399,10 @@ def job_kcb_grid(spark, d):
 
 
 # JSON and XML.
-@query("src_cube_json", with_ctes("cube", "SELECT code, month_no, n::DOUBLE AS n FROM cube WHERE month_no >= 24010"))
+@query("src_cube_json", with_ctes("cube", "SELECT code, month_no, n::DOUBLE AS n FROM cube"))
 def src_cube_json(spark, d):
     path = shared_path(spark, "cube")
-    S.write_cube_json(written(monthly_cube(spark, d).filter("month_no >= 24010")), "orders", ["n"], path)
+    S.write_cube_json(written(monthly_cube(spark, d)), "orders", ["n"], path)
     return R.read_cube_json(spark, path, ["n"])
 
 

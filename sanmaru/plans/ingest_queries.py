@@ -109,10 +109,10 @@ def agg_mobility(spark, d):
     return I.daily_mean(event_rows(spark, d))
 
 
-@query("join_flow_outer", f"WITH {_EVENTS}, i AS (SELECT code, month, {sqlr('sum(total) / count(DISTINCT date)', 0, 'inflow_total')} FROM ev WHERE hour < 3 GROUP BY 1, 2), o AS (SELECT code, month, {sqlr('sum(total) / count(DISTINCT date)', 0, 'outflow_total')} FROM ev WHERE hour >= 21 GROUP BY 1, 2) SELECT code, month, inflow_total, outflow_total, inflow_total - outflow_total AS net_flow FROM i FULL JOIN o USING (code, month)")
+@query("join_flow_outer", f"WITH {_EVENTS}, i AS (SELECT code, month, {sqlr('sum(total) / count(DISTINCT date)', 0, 'inflow_total')} FROM ev WHERE hour < 12 GROUP BY 1, 2), o AS (SELECT code, month, {sqlr('sum(total) / count(DISTINCT date)', 0, 'outflow_total')} FROM ev WHERE hour >= 12 GROUP BY 1, 2) SELECT code, month, inflow_total, outflow_total, inflow_total - outflow_total AS net_flow FROM i FULL JOIN o USING (code, month)")
 def join_flow_outer(spark, d):
     rows = event_rows(spark, d)
-    return I.both_flows(I.daily_mean(rows.filter("hour < 3")), I.daily_mean(rows.filter("hour >= 21")))
+    return I.both_flows(I.daily_mean(rows.filter("hour < 12")), I.daily_mean(rows.filter("hour >= 12")))
 
 
 _CREDIT = "cr AS (SELECT lpad(c_nationkey::VARCHAR, 10, '0') AS code, c_mktsegment AS band, 1 + c_custkey % 5 AS pop, abs(c_acctbal) AS income, 500 + c_custkey % 400 AS score, c_custkey % 2 AS holders, abs(c_acctbal) * 3 AS spend, c_custkey % 3 AS economic FROM customer)"
@@ -218,11 +218,14 @@ def agg_oneperson(spark, d):
     return region_series(spark, d).select("code", "month", F.coalesce("one_person", F.col("households") - F.col("population")).alias("one_person"))
 
 
-@query("join_pop_merge", with_ctes("series", "SELECT code, month_no, population FROM series"))
+@query("join_pop_merge", with_ctes("series", "SELECT code, month_no, population AS partial, population + 5 + month_no % 3 AS whole FROM series"))
 def join_pop_merge(spark, d):
-    """One month is missing in the update, so the base stays."""
+    """An update that lacks one month leaves the base as it is; one that has all replaces it."""
     base = region_series(spark, d).select("code", "month_no", "population")
-    return I.merge_all_or_nothing(base, base.filter("month_no <> 24012").withColumn("population", F.col("population") + 5), ["code", "month_no"], "population")
+    update = base.withColumn("population", F.col("population") + 5 + F.col("month_no") % 3)
+    keys = ["code", "month_no"]
+    partial = I.merge_all_or_nothing(base, update.filter("month_no <> 24012"), keys, "population").withColumnRenamed("population", "partial")
+    return partial.join(I.merge_all_or_nothing(base, update, keys, "population").withColumnRenamed("population", "whole"), keys)
 
 
 @query("join_vitals_merge", with_ctes("series", "SELECT code, month_no, CASE WHEN month_no = 24012 THEN 0 ELSE births END AS births FROM series"))
@@ -231,10 +234,12 @@ def join_vitals_merge(spark, d):
     return I.merge_with_zero(base, base.filter("month_no <> 24012"), ["code", "month_no"], "births")
 
 
-@query("join_required", with_ctes("series", "SELECT code, month_no, population FROM series"))
+@query("join_required", with_ctes("series", "SELECT code, month_no, births, population * 2 + month_no % 7 AS population FROM series WHERE month_no > 24009"))
 def join_required(spark, d):
-    series = region_series(spark, d)
-    return I.join_required(series.select("code", "month_no"), series, ["code", "month_no"], "population").select("code", "month_no", "population")
+    """The later months with values from a table of all months."""
+    series, keys = region_series(spark, d), ["code", "month_no"]
+    values = series.select(*keys, (F.col("population") * 2 + F.col("month_no") % 7).alias("population"))
+    return I.join_required(series.filter("month_no > 24009").select(*keys, "births"), values, keys, "population")
 
 
 @query("agg_coverage", with_ctes("facilities", "WITH g AS (SELECT code, count(*) FILTER (id % 10 < 9) AS covered, count(*) AS total FROM facilities GROUP BY 1) SELECT code, covered, total FROM g WHERE covered >= 0.9 * total"))
@@ -243,6 +248,11 @@ def agg_coverage(spark, d):
     return counted.filter(F.col("covered") >= I.COVERAGE * F.col("total"))
 
 
-@query("sink_checksum")
+_DIGEST = "sha256(to_json(struct_pack(births, code, deaths, elderly, households, month, month_no, population, working, youth)))"
+_SUMS = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR AS s{i}" for i in range(8))
+
+
+@query("sink_checksum", with_ctes("series", f"WITH x AS (SELECT {_DIGEST} AS h FROM series), p AS (SELECT {_SUMS} FROM x) SELECT sha256(concat_ws('|', {', '.join(f's{i}' for i in range(8))})) AS checksum FROM p"))
 def sink_checksum(spark, d):
-    return checksum(region_series(spark, d))
+    """One-person households, null in some rows, are left out: JSON has nulls in the one engine and not in the other."""
+    return checksum(region_series(spark, d).drop("one_person"))

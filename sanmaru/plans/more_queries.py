@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sanmaru.functions import codes as K
 from sanmaru.functions import shapes as P
 from sanmaru.functions import text as X
 from sanmaru.functions.geo import bin_center, bin_key, in_ring
 from sanmaru.functions.numeric import half_up, vulnerability
 from sanmaru.operators import access as A
+from sanmaru.operators import boundary as B
 from sanmaru.operators import crossings as E
 from sanmaru.operators import cube as C
 from sanmaru.operators import ingest as I
@@ -306,9 +309,13 @@ def fn_coord_swap(spark, d):
     return _squares(spark, d).select("id", P.swap_points(F.col("ring"))[0].alias("p")).select("id", "p.lat", "p.lng")
 
 
-@query("fn_sgg_name", with_ctes("cells", "SELECT code, split_part(name, ' ', 1) AS v FROM cells"))
+_NAMED = "CASE ordinal % 4 WHEN 0 THEN '경상남도 창원시 의창구 ' || name WHEN 1 THEN '경상남도  진주시 ' || name WHEN 2 THEN '하동군 ' || name ELSE '경상남도 김해시' END"
+
+
+@query("fn_sgg_name", with_ctes("cells", "SELECT code, CASE ordinal % 4 WHEN 0 THEN '창원시 의창구' WHEN 1 THEN '진주시' WHEN 2 THEN '하동군' ELSE '김해시' END AS v FROM cells"))
 def fn_sgg_name(spark, d):
-    return cells(spark, d).select("code", F.split("name", r"\s+")[0].alias("v"))
+    """City and ward, else the first word."""
+    return cells(spark, d).select("code", K.district_name(F.expr(_NAMED), "경상남도").alias("v"))
 
 
 @query("fn_district", with_ctes("cells", "SELECT code, nullif(regexp_extract(name, '([A-Z]+CA)\\b', 1), '') AS v FROM cells"))
@@ -322,11 +329,15 @@ def fn_district_label(spark, d):
     return cells(spark, d).select("code", F.coalesce(F.nullif(F.regexp_extract("name", r"([A-Z]+CA)\b", 1), F.lit("")), F.get(F.split("name", " "), F.lit(1))).alias("v"))
 
 
-@query("fn_clinic_type", "SELECT p_partkey AS id, CASE WHEN contains(p_name, 'bolt') THEN 'dental' WHEN contains(p_name, 'gear') THEN 'oriental' WHEN p_size < 10 THEN 'hospital' WHEN p_size < 30 THEN 'clinic' ELSE 'public' END AS v FROM part")
+_LABELS = ("상급종합병원", "종합병원", "요양병원", "한방병원", "의원", "치과의원", "한의원", "보건지소", "동네약국", "정신병원", "의원급", "", "조산원")
+_REGISTER = "CASE x WHEN 0 THEN '종합병원' WHEN 1 THEN '종합병원' WHEN 2 THEN '요양병원' WHEN 3 THEN '병원' WHEN 4 THEN '의원' WHEN 5 THEN '치과의원' WHEN 6 THEN '한의원' WHEN 7 THEN '보건소' WHEN 8 THEN '약국' WHEN 9 THEN '병원' WHEN 10 THEN '의원' ELSE CASE p_size WHEN 1 THEN '종합병원' WHEN 11 THEN '종합병원' WHEN 21 THEN '병원' WHEN 41 THEN '병원' WHEN 28 THEN '요양병원' WHEN 31 THEN '의원' END END"
+
+
+@query("fn_clinic_type", f"SELECT p_partkey AS id, {_REGISTER} AS v FROM (SELECT *, p_partkey % 13 AS x FROM part)")
 def fn_clinic_type(spark, d):
-    """Names decide first, numeric codes after."""
-    n, s = F.col("p_name"), F.col("p_size")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(n.contains("bolt"), "dental").when(n.contains("gear"), "oriental").when(s < 10, "hospital").when(s < 30, "clinic").otherwise("public").alias("v"))
+    """Labels of the register decide first, two-digit codes after."""
+    label = F.get(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % 13).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.type_of_register(label, F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("v"))
 
 
 @query("fn_age_group", "SELECT c_custkey AS id, CASE WHEN c_custkey % 100 < 35 THEN 'youth' WHEN c_custkey % 100 < 65 THEN 'middle' ELSE 'senior' END AS v FROM customer")
@@ -356,14 +367,21 @@ def fn_hours_build(spark, d):
     return facilities(spark, d).select("id", F.size(days).alias("days"))
 
 
-@query("fn_hours_map", "SELECT event_id AS id, props IS NOT NULL AS known FROM events")
+@query("fn_hours_map", "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'friday=-, monday=09:00-' || lpad((event_id % 24)::VARCHAR, 2, '0') || ':00' WHEN 1 THEN 'sunday=' || event_type END AS v FROM events")
 def fn_hours_map(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.from_json("props", "map<string,string>").isNotNull().alias("known"))
+    """Hours by day as text; numbers, lists and what is no object are passed over."""
+    k = F.col("event_id")
+    late = F.concat(F.lit('{"monday": "09:00-'), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(':00", "friday": null, "n": 4, "list": ["x"]}'))
+    raw = F.when(k % 4 == 0, late).when(k % 4 == 1, F.concat(F.lit('{"sunday": "'), F.col("event_type"), F.lit('", "o": {"a": "b"}}'))).when(k % 4 == 2, F.col("props")).otherwise(F.lit("[1, 2]"))
+    pairs = F.transform(F.array_sort(F.map_entries(K.hours_map(raw))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))))
+    return table(spark, d, "events").select(k.alias("id"), F.array_join(pairs, ", ").alias("v"))
 
 
-@query("fn_tf", "SELECT item_id AS id, contains(lower(text), 'the') AS v FROM benchmark")
+@query("fn_tf", "SELECT doc_id AS id, len(list_filter(w, lambda x: x = 'is'))::INT AS tf, len(w)::INT AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)")
 def fn_tf(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").contains("the").alias("v"))
+    """How often a word occurs among all words of a text."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.term_frequency(words, "is").alias("tf"), F.size(words).alias("words"))
 
 
 @query("fn_radians", with_ctes("facilities", f"SELECT id, {sql6('radians((lng * 10) % 360)', 'v')} FROM facilities"))
@@ -383,9 +401,12 @@ def fn_tier(spark, d):
     return region_series(spark, d).select("code", "month", F.when(p < 5, 1).when(p < 8, 2).when(p < 11, 3).otherwise(4).alias("v"))
 
 
-@query("fn_rank_word", with_ctes("cube", NOW + " SELECT CASE WHEN count(*) >= 3 AND min_by(rev, code) < max_by(rev, code) THEN 'ascending' ELSE 'descending' END AS v FROM now"))
+@query("fn_rank_word", with_ctes("cube", "WITH c AS (SELECT *, row_number() OVER (PARTITION BY month_no ORDER BY CASE WHEN month_no % 2 = 0 THEN rev ELSE -rev END, code) AS rank FROM cube) SELECT month_no, CASE WHEN count(*) >= 3 AND min_by(rev, rank) < max_by(rev, rank) THEN 'ascending' ELSE 'descending' END AS v FROM c GROUP BY 1"))
 def fn_rank_word(spark, d):
-    return now(spark, d).agg(F.when((F.count(F.lit(1)) >= 3) & (F.min_by("rev", "code") < F.max_by("rev", "code")), "ascending").otherwise("descending").alias("v"))
+    """Which way the rows of each month's ranking go: by the first and the last of them."""
+    order = F.when(F.col("month_no") % 2 == 0, F.col("rev")).otherwise(-F.col("rev"))
+    ranked = monthly_cube(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("month_no").orderBy(order, "code")))
+    return ranked.groupBy("month_no").agg(C.rank_word("rev", "rank").alias("v"))
 
 
 @query("fn_remote_cos", f"SELECT q.vec_id AS query_id, v.vec_id AS id, {sql6('list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))', 'score')} FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id % 50 = 0")

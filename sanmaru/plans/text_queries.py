@@ -11,7 +11,7 @@ from sanmaru.operators import retrieval as R
 from sanmaru.operators import suggest as G
 from sanmaru.plans.cube_queries import r6, sql6
 from sanmaru.plans.registry import query
-from sanmaru.sources.bindings import cells, table, with_ctes
+from sanmaru.sources.bindings import _month_no, cells, table, with_ctes
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TOK = (
@@ -32,9 +32,9 @@ def asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
 
 
-@query("fn_tokenize", f"SELECT item_id AS id, len(t)::INT AS n, array_to_string(list_sort(t), ' ') AS tokens FROM (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark)")
+@query("fn_tokenize", f"SELECT doc_id AS id, len(t)::INT AS n, array_to_string(list_sort(t), ' ') AS tokens FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)")
 def fn_tokenize(spark, d):
-    return asked(spark, d).withColumn("t", X.tokens(F.col("text"))).select("id", F.size("t").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+    return chunks(spark, d).withColumn("t", X.tokens(F.col("text"))).select("id", F.size("t").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
 @query("agg_idf", f"WITH {_DOC}, {_IDF} SELECT token, df, {sql6('idf', 'idf')} FROM i")
@@ -260,15 +260,18 @@ def fn_specialties(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.size(parts) > 0, F.array_join(parts, "|")).alias("v"))
 
 
-@query("fn_month_windows", "WITH m AS (SELECT unnest(range(24006, 24019)) AS m) SELECT ((m - 24006) // 4)::INT AS part, min(m)::INT AS first, max(m)::INT AS last FROM m GROUP BY 1")
+@query("fn_month_windows", "WITH m AS (SELECT DISTINCT (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INT AS m FROM orders) SELECT ((row_number() OVER (ORDER BY m) - 1) // 4)::INT AS part, m AS month_no FROM m")
 def fn_month_windows(spark, d):
-    months = spark.range(24006, 24019).select(F.col("id").cast("int").alias("m"))
-    return months.groupBy(F.floor((F.col("m") - 24006) / 4).cast("int").alias("part")).agg(F.min("m").alias("first"), F.max("m").alias("last"))
+    """The months of orders in windows of at most four: each month with the number of its window."""
+    months = table(spark, d, "orders").select(_month_no("o_orderdate").alias("month_no")).distinct()
+    parts = K.month_windows(F.array_sort(F.collect_list("month_no")), 4)
+    return months.agg(parts.alias("w")).select(F.posexplode("w").alias("part", "months")).select("part", F.explode("months").alias("month_no"))  # months of a calendar fit a row
 
 
-@query("fn_month_gen", "SELECT lpad((m // 12)::VARCHAR, 4, '0') || '-' || lpad((m % 12 + 1)::VARCHAR, 2, '0') AS month FROM (SELECT unnest(range(24006, 24019)) AS m)")
+@query("fn_month_gen", "WITH m AS (SELECT o_orderkey AS id, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INT AS m FROM orders) SELECT id, list_transform(range(m - 12, m + 1), lambda x: lpad((x // 12)::VARCHAR, 4, '0') || '-' || lpad((x % 12 + 1)::VARCHAR, 2, '0')) AS months FROM m")
 def fn_month_gen(spark, d):
-    return spark.range(24006, 24019).select(K.month_label(F.col("id")).alias("month"))
+    """13 months that end with each order's."""
+    return _orders(spark, d, K.month_run(_month_no("o_orderdate"), 13).alias("months"))
 
 
 @query("fn_date_version", _O.format("try_strptime(lpad((o_orderkey % 99999999)::VARCHAR, 8, '0'), '%Y%m%d') IS NOT NULL AND (o_orderkey % 99999999) >= 10101 AS v"))
@@ -321,10 +324,9 @@ def fn_edit(spark, d):
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 
-@query("fn_hash_embed", f"WITH t AS (SELECT item_id AS id, unnest({_TOK.format('text')}) AS token FROM benchmark), h AS (SELECT id, {_FNV.format('token')} AS h, {_FNV.format(chr(39).join(['token || ', '#', '']))} AS g FROM t), e AS (SELECT id, h % 64 AS idx, CASE WHEN h % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS v FROM h UNION ALL SELECT id, g % 64, CASE WHEN h % 2 = 0 THEN 0.5 ELSE -0.5 END::DOUBLE FROM h), s AS (SELECT id, idx, sum(v) AS v FROM e GROUP BY 1, 2) SELECT id, idx::INT AS idx, {sql6('v / sqrt(sum(v * v) OVER (PARTITION BY id))', 'value')} FROM s WHERE v <> 0")
+@query("fn_hash_embed", f"WITH t AS (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS token FROM documents), h AS (SELECT id, {_FNV.format('token')} AS h, {_FNV.format(chr(39).join(['token || ', '#', '']))} AS g FROM t), e AS (SELECT id, h % 64 AS idx, CASE WHEN h % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS v FROM h UNION ALL SELECT id, g % 64, CASE WHEN h % 2 = 0 THEN 0.5 ELSE -0.5 END::DOUBLE FROM h), s AS (SELECT id, idx, sum(v) AS v FROM e GROUP BY 1, 2) SELECT id, idx::INT AS idx, {sql6('v / sqrt(sum(v * v) OVER (PARTITION BY id))', 'value')} FROM s WHERE v <> 0")
 def fn_hash_embed(spark, d):
-    vectors = asked(spark, d).select("id", X.hash_embed(X.tokens(F.col("text"))).alias("v"))
-    return vectors.select("id", F.posexplode("v").alias("idx", "value")).filter("value <> 0").select("id", "idx", r6("value"))
+    return R.hash_vectors(chunks(spark, d)).withColumn("value", r6("value"))
 
 
 @query("fn_rerank", f"{_LEX}, b AS (SELECT query_id, id, {sql6('score', 'score')} FROM s), t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 4) SELECT query_id, id, {sql6(f'0.55 * score + 0.45 * greatest(0, coalesce({_COS}, 0))', 'score')} FROM t LEFT JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings v ON v.vec_id = t.id")

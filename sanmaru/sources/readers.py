@@ -170,9 +170,3 @@ def latest_version(names: Column) -> Column:
 def newest_published(snapshots: DataFrame, mode: str) -> DataFrame:
     """The published snapshot of ``mode`` that was created last, or no row."""
     return snapshots.filter(F.col("is_published") & (F.col("mode") == mode)).orderBy(F.desc("created_at")).limit(1)
-
-
-def month_folders(spark: SparkSession, root: str, file: str) -> DataFrame:
-    """``folder`` of each folder of ``root`` that holds ``file``."""
-    found = spark.read.option("recursiveFileLookup", True).text(f"{root}/*/{file}").select(F.col("_metadata.file_path").alias("path"))
-    return found.select(F.regexp_extract("path", f"([^/]+)/{file}", 1).alias("folder")).distinct()
