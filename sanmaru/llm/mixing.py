@@ -2,8 +2,8 @@
 
 The permuted documents of a source, pass after pass, are cut into blocks of equal numbers of words; a document lies in
 the block of its first word. A binary tree over the output shards splits the exact block quotas of all sources: each
-node draws, without replacement, how many blocks of each source go left. Each leaf then owns disjoint runs of every
-source's blocks. What a document gives to the mix is what lies in blocks that a leaf owns, and a random key orders the
+node draws, without replacement, how many blocks of each source go left. Each leaf then takes its blocks from a
+permutation of every source's blocks, so that first passes and repeats meet in all shards. What a document gives to the mix is what lies in blocks that a leaf owns, and a random key orders the
 draws of each shard.
 """
 
@@ -83,9 +83,10 @@ def mix_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     quota = [-(-round(r.target) // block_words) for r in listed]
     shards = shards or max(1, min(1024, sum(quota) // 64))
     owners, at = [], [0] * len(quota)
+    permuted = [np.random.default_rng([seed, s]).permutation(n).tolist() for s, n in enumerate(quota)]
     for k, part in enumerate(split_quotas(quota, shards, seed)):
         for s, n in enumerate(part):
-            owners += [(s, b, k) for b in range(at[s], at[s] + n)]
+            owners += [(s, b, k) for b in permuted[s][at[s] : at[s] + n]]
             at[s] += n
     shard_of = F.broadcast(spark.createDataFrame(owners, "source_id int, block long, shard int"))  # at most MAX_BLOCKS + max_sources rows
 

@@ -62,6 +62,15 @@ def test_shards_are_disjoint_and_whole(spark):
     assert len(whole) == 4 and max(whole) < 1.2 * min(whole)
 
 
+def test_repeats_spread_over_shards(spark):
+    docs = spark.createDataFrame([(i, "w " * 400, "once" if i % 2 else "twice", "", 0) for i in range(1200)], SCHEMA)
+    draws = mix_draws(docs, weights=(1, 3), shards=4).filter("words > 0 and source = 'twice'").collect()
+    assert {r["pass"] for r in draws} == {0, 1}
+    for shard in range(4):
+        own = [r["pass"] for r in draws if r.shard == shard]
+        assert len(own) > 100 and 0.25 < sum(own) / len(own) < 0.75
+
+
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=6), st.integers(1, 9))
 def test_tree_gives_exact_quotas(quota, shards):
     parts = split_quotas(quota, shards, 7)
