@@ -13,6 +13,19 @@ MAX_RULES = 1000
 #: Rows of host reputation that may be broadcast (about 100 bytes each).
 HOSTS_BROADCAST = 200_000
 
+#: Fixed values, as the public suffix list states them: suffixes of several labels under which names are registered, names
+#: whose every child is a suffix (``*``), and exceptions to those (``!``). Any other host's suffix is its last label.
+SUFFIX_RULES = (
+    "ac.at", "co.at", "gv.at", "or.at", "asn.au", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au", "*.bd", "com.br", "edu.br", "gov.br", "net.br", "org.br",
+    "*.ck", "!www.ck", "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.co", "net.co", "org.co", "com.es", "org.es", "asso.fr", "com.fr", "gouv.fr",
+    "com.hk", "edu.hk", "gov.hk", "org.hk", "ac.id", "co.id", "go.id", "or.id", "ac.il", "co.il", "gov.il", "org.il", "ac.in", "co.in", "gov.in", "net.in", "org.in",
+    "ac.jp", "ad.jp", "co.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.kobe.jp", "!city.kobe.jp", "*.nagoya.jp", "!city.nagoya.jp",
+    "*.sapporo.jp", "!city.sapporo.jp", "*.sendai.jp", "!city.sendai.jp", "*.yokohama.jp", "!city.yokohama.jp", "*.kh", "ac.kr", "co.kr", "go.kr", "ne.kr", "or.kr", "pe.kr", "re.kr",
+    "com.mx", "edu.mx", "gob.mx", "org.mx", "*.mm", "com.my", "edu.my", "gov.my", "*.np", "ac.nz", "co.nz", "geek.nz", "govt.nz", "net.nz", "org.nz", "school.nz", "com.ph", "com.pl", "edu.pl", "gov.pl", "org.pl",
+    "com.sg", "edu.sg", "gov.sg", "ac.th", "co.th", "go.th", "com.tr", "edu.tr", "gov.tr", "org.tr", "com.tw", "edu.tw", "gov.tw", "org.tw", "com.ua", "gov.ua", "org.ua",
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "police.uk", "*.sch.uk", "com.vn", "edu.vn", "gov.vn", "ac.za", "co.za", "gov.za", "org.za",
+)
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty without ``://``."""
@@ -33,6 +46,28 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return name, verdict
 
 
+def registered(host: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, without user, port and final dots; an address in numbers is its own domain and suffix.
+
+    Of the rules that fit, an exception counts first, then the longest; a host that is a suffix itself is its own domain.
+    Rules hold up to three labels.
+    """
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.+$", "")
+    tail = {k: F.substring_index(name, ".", -k) for k in (1, 2, 3, 4)}
+    labels = F.size(F.split(name, r"\."))
+    plain = lambda k: [r for r in rules if r[0] not in "*!" and r.count(".") == k - 1]
+    stars = lambda k: [r[2:] for r in rules if r[0] == "*" and r.count(".") == k - 1]
+    out = lambda k: [r[1:] for r in rules if r[0] == "!" and r.count(".") == k]
+    inside = lambda c, listed: c.isin(*listed) if listed else F.lit(False)
+    size = F.when(inside(tail[3], out(2)), 2).when(inside(tail[2], out(1)), 1)
+    for k in (3, 2):
+        size = size.when((labels >= k) & (inside(tail[k], plain(k)) | inside(tail[k - 1], stars(k))), k)
+    size = size.otherwise(1)
+    numbers = name.rlike(r"^[0-9.]+$|^\[")
+    pick = lambda more: F.when(numbers, name).when(size == 3, tail[3 + more]).when(size == 2, tail[2 + more]).otherwise(tail[1 + more])
+    return pick(1), pick(0)
+
+
 def _strength(stats: DataFrame) -> float:
     """Prior strength of a level by moments, from ``stats(n, x, parent_mean)`` of its members."""
     sums = stats.agg(
@@ -56,14 +91,14 @@ def _level(counts: DataFrame, keys: list[str], parents: DataFrame, parent_keys:
 def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     """``host, n, bad_mean, bad_low`` of all ``hosts(host)`` from labelled pages ``outcomes(host, bad)``; ``bad`` is 0 or 1.
 
-    The registered domain is a host's last two labels and the suffix its last one. Rates shrink from host to domain
-    to suffix to the overall rate by beta-binomial priors, whose strengths come from the spread at each level. A host
-    without labelled pages has its prior: the posterior of its domain, else of its suffix, else the overall rate.
+    Registered domain and suffix follow the rules of ``registered``. Rates shrink from host to domain to suffix to the
+    overall rate by beta-binomial priors, whose strengths come from the spread at each level. A host without labelled pages has its prior: the posterior of its domain, else of its suffix, else the overall rate.
     ``bad_low`` is the posterior mean less 1.645 posterior standard deviations.
     """
 
     def named(df: DataFrame) -> DataFrame:
-        return df.filter("host <> ''").withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+        domain, suffix = registered(F.col("host"))
+        return df.filter("host <> ''").withColumn("domain", domain).withColumn("suffix", suffix)
 
     counts = cut(named(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("double").alias("x")).filter("n > 0")))
     total = counts.agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()

@@ -1,6 +1,8 @@
 import re
 
-from sanmaru.llm.url_filter import RULES, host_reputation, judge_urls
+from pyspark.sql import functions as F
+
+from sanmaru.llm.url_filter import RULES, SUFFIX_RULES, host_reputation, judge_urls, registered
 
 SCHEMA = "page_id long, url string, host string, verdict int"
 
@@ -53,3 +55,36 @@ def test_hosts_without_labelled_pages_have_the_prior_of_their_domain(spark):
 
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "page_id long, bad int")).count() == 0
+
+
+def brute_registered(host):
+    name = re.sub(r"^.*@|:[0-9]*$", "", host).rstrip(".")
+    if re.match(r"^[0-9.]+$|^\[", name):
+        return name, name
+    labels = name.split(".")
+    size = 1
+    for rule in SUFFIX_RULES:
+        own = rule.lstrip("!").split(".")
+        if len(labels) >= len(own) and all(a in ("*", b) for a, b in zip(own, labels[-len(own) :], strict=True)):
+            if rule[0] == "!":
+                size = len(own) - 1
+                break
+            size = max(size, len(own))
+    return ".".join(labels[-size - 1 :]), ".".join(labels[-size:])
+
+
+def test_registered_domains(spark):
+    hosts = ["a.co.uk", "x.a.co.uk", "co.uk", "uk", "a.b.org", "b.co.kr:8080", "me@x.example.com", "example.com.", "1.2.3.4", "1.2.3.4:80", "[::1]:80", "www.ck", "a.www.ck", "shop.ck", "a.shop.ck", "city.kawasaki.jp", "x.city.kawasaki.jp", "x.y.kawasaki.jp", "kawasaki.jp", "a.sch.uk", "b.a.sch.uk", "localhost", "a..b", "é.example", "com.np", "x.com.np"]
+    hosts += [f"x.y.{r.lstrip('!*.')}" for r in SUFFIX_RULES]
+    domain, suffix = registered(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in rows} == {h: brute_registered(h) for h in hosts}
+    assert brute_registered("x.a.co.uk") == ("a.co.uk", "co.uk") and brute_registered("x.city.kawasaki.jp") == ("city.kawasaki.jp", "kawasaki.jp")
+
+
+def test_names_under_a_shared_suffix_are_no_family(spark):
+    """Good and bad names under co.uk: a new host has the prior of its own registered domain, ports aside."""
+    rows = [(i, f"http://h{i % 20}.{'bad' if i % 2 else 'good'}.co.uk:80{i % 3}/{i}", "", 0) for i in range(2000)] + [(9000, "http://new.bad.co.uk/", "", 0), (9001, "http://new.good.co.uk/", "", 0)]
+    outcomes = spark.createDataFrame([(r[0], int(".bad." in r[1])) for r in rows[:2000]], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, SCHEMA), outcomes).collect()}
+    assert got[9000] == "block" and got[9001] == "allow"
