@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sanmaru.llm.common import LOWER, UPPER, WORD, broadcast_upto, cut
+from sanmaru.llm.components import components
 
 #: Hashes and links that may be broadcast.
 HASHES_BROADCAST, LINKS_BROADCAST = 500_000, 500_000
@@ -55,11 +56,13 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent_conv, parent_turn, quoted``: each message with the earlier message that it answers.
+    """``conv_id, turn, parent_conv, parent_turn, quoted``: each message with the message that it answers.
 
-    A hash's original is the first message of the conversation that says it, else (long passages only) the first of all by
-    conversation and turn. The original with most hashes of a level wins, ones of the same conversation and later ones
-    first. Parents always come before their replies, so there are no rings.
+    A hash's original is the first message of the conversation that says it, if that comes before. Else it is the first
+    message of another conversation, by turn and conversation: of all for long passages, and for short ones only if no
+    more than one conversation says them. Which conversation began first isn't known, so a message may answer one of any other
+    conversation. The original with most hashes of a level wins, ones of the same conversation and later turns first.
+    Where answers go round in a ring, the message with the smallest turn and conversation in the ring starts the thread.
     """
     spark = messages.sparkSession
     messages = messages.filter("conv_id is not null and turn is not null")
@@ -74,8 +77,14 @@ def quote_links(messages: DataFrame) -> DataFrame:
     said = messages.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(_runs(_words(F.array_join(lines, " "))), brief))).alias("hash"))
     said = cut(said.join(broadcast_upto(cut(quoted.select("hash").distinct()), HASHES_BROADCAST), "hash", "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn")))
     here = quoted.join(said, ["conv_id", "hash"]).filter("parent_turn < turn").select("*", F.col("conv_id").alias("parent_conv"))
-    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "parent_turn")).alias("o")).select("hash", F.col("o.conv_id").alias("parent_conv"), F.col("o.parent_turn").alias("parent_turn"))
-    there = quoted.filter("long").join(first, "hash").filter("parent_conv < conv_id").select(*here.columns)
+    # the first two conversations that say a hash tell the first other one of any message
+    place = F.struct("parent_turn", "conv_id")
+    one = said.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("convs"))
+    two = said.join(one.select("hash", F.col("first.conv_id").alias("c_")), "hash").filter("conv_id <> c_").groupBy("hash").agg(F.min(place).alias("second"))
+    known = cut(one.join(two, "hash", "left"))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    there = quoted.join(known, "hash").withColumn("o", other).filter("o is not null and (long or convs = 1)")
+    there = there.withColumn("parent_turn", F.col("o.parent_turn")).withColumn("parent_conv", F.col("o.conv_id")).select(*here.columns)
     votes = here.union(there).groupBy("conv_id", "turn", "level", "parent_conv", "parent_turn").agg(F.sum("n").alias("quoted"))
     rank = F.struct((F.col("parent_conv") == F.col("conv_id")).alias("same"), "quoted", "parent_turn", "parent_conv")
     best = cut(votes.groupBy("conv_id", "turn", "level").agg(F.max(rank).alias("b")).select("conv_id", "turn", "level", "b.parent_conv", "b.parent_turn", "b.quoted"))
@@ -83,10 +92,34 @@ def quote_links(messages: DataFrame) -> DataFrame:
     direct = best.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "parent_conv", "parent_turn", "quoted")).alias("b")).select("conv_id", "turn", "b.parent_conv", "b.parent_turn", "b.quoted")
     by_level = W.partitionBy("conv_id", "turn").orderBy("level")
     deeper = best.select("parent_conv", "parent_turn", F.lead("parent_conv").over(by_level).alias("above_conv"), F.lead("parent_turn").over(by_level).alias("above_turn"), F.lead("quoted").over(by_level).alias("quoted"))
-    deeper = deeper.filter(F.col("above_conv").isNotNull() & (F.struct("above_conv", "above_turn") < F.struct("parent_conv", "parent_turn"))).groupBy("parent_conv", "parent_turn", "above_conv", "above_turn").agg(F.sum("quoted").alias("quoted"))
+    itself = (F.col("above_conv") == F.col("parent_conv")) & (F.col("above_turn") >= F.col("parent_turn"))
+    deeper = deeper.filter(F.col("above_conv").isNotNull() & ~itself).groupBy("parent_conv", "parent_turn", "above_conv", "above_turn").agg(F.sum("quoted").alias("quoted"))
     told = deeper.groupBy(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn")).agg(F.max(F.struct("quoted", "above_turn", "above_conv")).alias("b"))
     told = told.select("conv_id", "turn", F.col("b.above_conv").alias("parent_conv"), F.col("b.above_turn").alias("parent_turn"), F.lit(0).cast("long").alias("quoted"))
-    return direct.unionByName(told.join(direct, ["conv_id", "turn"], "left_anti"))
+    return without_rings(cut(direct.unionByName(told.join(direct, ["conv_id", "turn"], "left_anti"))))
+
+
+def without_rings(links: DataFrame) -> DataFrame:
+    """``links`` less one link of each ring: that of the ring's message with the smallest turn and conversation.
+
+    Each message has one parent at most, so a connected component without a message that has none holds exactly one ring.
+    Such components are rare; in them pointers are doubled until every message points into its ring.
+    """
+    own, top = F.struct("conv_id", "turn"), F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn"))
+    pairs = cut(links.select(own.alias("a"), top.alias("b")))
+    if not pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
+        return links  # no parent has a parent
+    groups = components(pairs)
+    rooted = groups.join(pairs.select(F.col("a").alias("id")), "id", "left_anti").select("label").distinct()
+    ringed = cut(groups.join(rooted, "label", "left_anti"))
+    longest = ringed.groupBy("label").count().agg(F.max("count").alias("n")).first().n
+    if longest is None:
+        return links
+    state = cut(pairs.join(ringed.withColumnRenamed("id", "a"), "a").select("a", "b", "label"))
+    for _ in range(longest.bit_length()):
+        state = cut(state.join(state.select(F.col("a").alias("b"), F.col("b").alias("further")), "b").select("a", F.col("further").alias("b"), "label"))
+    first = state.groupBy("label").agg(F.min(F.struct("b.turn", "b.conv_id")).alias("m")).select("m.conv_id", "m.turn")
+    return links.join(first, ["conv_id", "turn"], "left_anti")
 
 
 def reply_paths(links: DataFrame) -> DataFrame:
@@ -107,7 +140,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     """One row for each message: ``conv_id, turn, role, text, parent_conv, parent_turn, depth, reply_path, quoted``.
 
     ``text`` is the message without its quoted lines (blank lines at the ends go; null texts become empty), ``quoted`` how
-    many hashes of its parent it quotes. A message without a quote, or whose quotes match no earlier message, starts a
+    many hashes of its parent it quotes. A message without a quote, or whose quotes match no other message, starts a
     thread: its parent is null and its depth 0. Sorted by ``reply_path``, every reply stands after the message it quotes
     and that message's earlier replies. Rows that share conversation and turn are one message for links and keep their own
     texts; null keys match nothing. An empty table gives no rows; other columns are ignored.

@@ -37,16 +37,24 @@ def brute(rows):
         for level, h, long in found:
             if said[h].get(c, t) < t:
                 votes[level][True, c, said[h][c]] += 1
-            first = min(said[h].items(), default=None)
-            if long and first and first[0] < c:
-                votes[level][False, *first] += 1
+            first = min(((turn, conv) for conv, turn in said[h].items() if conv != c), default=None)
+            if first and (long or len(said[h]) == 1):
+                votes[level][False, first[1], first[0]] += 1
         best[c, t] = [max((same, n, turn, conv) for (same, conv, turn), n in votes[level].items()) for level in sorted(votes)]
         for low, high in zip(best[c, t], best[c, t][1:]):
-            if (high[3], high[2]) < (low[3], low[2]):
+            if high[3] != low[3] or high[2] < low[2]:
                 extra[low[3], low[2]][high[3], high[2]] += high[1]
     parent = {m: (b[0][3], b[0][2]) for m, b in best.items() if b}
     for m, above in extra.items():
         parent.setdefault(m, max((n, turn, conv) for (conv, turn), n in above.items())[:0:-1])
+    for m in sorted(parent, key=lambda m: m[::-1]):  # the smallest turn and conversation of a ring starts its thread
+        p = m
+        for _ in range(len(parent) + 1):
+            p = parent.get(p)
+            if p in (None, m):
+                break
+        if p == m:
+            del parent[m]
     path = {}
     for c, t, *_ in rows:
         p = [(c, t)]
@@ -108,10 +116,27 @@ def test_rewrapped_shortened_nested_and_foreign_quotes(spark):
     ]
     got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1, 1] == (1, 0) and got[1, 3] == (1, 2) and got[2, 0] == (1, 0)
-    assert got[2, 1] == (None, None)  # a short passage is looked for in its own conversation only
+    assert got[2, 1] == (1, 2)  # a short passage that only one conversation says
     assert got[1, 5] == (1, 4) and got[1, 4] == (1, 0)  # the second level tells what the first replied to
 
 
+def test_quotes_of_any_other_conversation_and_rings(spark):
+    """Whatever the numbers of conversations; short passages only if one conversation says them."""
+    long = "these are twenty words that only one message of all says so that a quote of it can be found again anywhere"
+    rows = [
+        (1, 0, "a", "> " + long + "\nlower number", "", ""), (2, 3, "a", long, "", ""), (3, 0, "a", "> " + long + "\nhigher number", "", ""), (5, 0, "a", "> see you\nok", "", ""), (6, 1, "a", "see you", "", ""),
+        (7, 0, "a", "> good morning\nok", "", ""), (8, 1, "a", "good morning", "", ""), (9, 1, "a", "good morning", "", ""),
+    ]
+    words = [f"{c}1 {c}2 {c}3 {c}4 {c}5 {c}6 {c}7 {c}8 {c}9" for c in "xyz"]
+    rows += [(20 + i, i, "a", f"> {words[(i + 1) % 3]}\n{words[i]}", "", "") for i in range(3)]  # 20 quotes 21, 21 quotes 22, 22 quotes 20
+    rows += [(30, 9, "a", f"> {words[1]}\nfrom outside", "", ""), (40, 0, "a", f"> {words[0].upper()} x1\n> and more\n{words[0]} later", "", "")]
+    got = {(r.conv_id, r.turn): ((r.parent_conv, r.parent_turn), r.depth) for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1, 0] == got[3, 0] == ((2, 3), 1) and got[5, 0] == ((6, 1), 1) and got[7, 0] == ((None, None), 0)
+    assert got[20, 0] == ((None, None), 0) and got[22, 2] == ((20, 0), 1) and got[21, 1] == ((22, 2), 2) and got[30, 9] == ((21, 1), 3)
+    parent, path = brute(rows)
+    assert all(v[0] == parent.get(k, (None, None)) for k, v in got.items())
+
+
 def test_write_conversations(spark, tmp_path):
     linked = link_quotations(spark.createDataFrame(thread(3), SCHEMA))
     write_conversations(linked, str(tmp_path / "out"))
