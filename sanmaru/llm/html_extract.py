@@ -3,9 +3,9 @@
 A page becomes a tree of elements and texts; neighbours of one kind fold to a repeated group. The pages of a host are
 aligned one after the other, in every partition and then over partitions: what one side lacks becomes optional, what
 repeats a neighbour becomes a repeated group, texts that differ become slots. To extract, a page is matched against its
-host's wrapper. The slots that the page fills say where its content stands: in its article or main elements, if these
-fill slots, else in the deepest group that holds most slot text of the host's pages. Constant texts of the wrapper and
-texts that most pages of the host repeat at one path are template. Tags, roles and class names of menus, notices,
+host's wrapper. The slots that the page fills say where its content stands: in the deepest group that holds most slot text
+of the host's pages; where that lies in article or main elements or holds some, in the groups of these elements. Constant
+texts of the wrapper and texts that most pages of the host repeat at one path are template. Tags, roles and class names of menus, notices,
 adverts, forms, comments and the like are a further filter.
 """
 
@@ -420,15 +420,22 @@ def match(root: Node, wrapper: Wrapper) -> list[Text]:
     return out
 
 
+def _article_group(t: Text) -> int | None:
+    """The wrapper's group of the outermost article or main element that a text stands in."""
+    return next((group for group, _, tag in t.above if tag in ("article", "main")), None)
+
+
 def content(found: list[Text], wrapper: Wrapper) -> list[Text]:
-    """The texts of the article among ``found``."""
-    filled = [t for t in found if not t.fixed and t.text.strip()]
-    if any(t.article for t in filled):
-        return [t for t in found if t.article]
+    """The texts of the article among ``found``.
+
+    The wrapper chooses the region: down from the root, as long as one group holds most of what the slots on its level
+    hold. If texts of the region fill slots in article or main elements, the groups of these elements are the content as a
+    whole (with texts that happen to repeat); other articles of the page, teasers say, are not. Else the region is the content.
+    """
     kept = [t for t in found if not t.fixed and text_mark(t.path, _plain(t.text)) not in wrapper.template]
     kept = kept if any(t.text.strip() for t in kept) else found
     inside, depth, held = kept, 0, 0.0
-    while True:  # down from the root, as long as one group holds most of what the slots on this level hold
+    while True:
         weights: dict[int, float] = {}
         for t in inside:
             if len(t.above) > depth and t.above[depth][2] not in UNDIVIDED:
@@ -440,7 +447,8 @@ def content(found: list[Text], wrapper: Wrapper) -> list[Text]:
         if not any(t.text.strip() for t in narrower):
             break
         inside, held, depth = narrower, weights[best], depth + 1
-    return inside
+    groups = {_article_group(t) for t in inside if t.article and not t.fixed and t.text.strip()}
+    return [t for t in found if t.article and _article_group(t) in groups] if groups else inside
 
 
 def extract(source: str | None, wrapper: Wrapper | None = None) -> str:

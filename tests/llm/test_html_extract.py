@@ -91,6 +91,35 @@ def test_layouts_that_only_some_pages_have():
     assert extract(two[3], wrapper).startswith("Picture 3") and "Our site" not in extract(two[3], wrapper)
 
 
+def test_the_wrapper_chooses_among_articles():
+    """Pages whose teasers are articles, too: the host's slots tell which is the page's own; without a wrapper all stay."""
+    teaser = lambda i: f"<div class=more><article><h3>Teaser {i}</h3></article><article><h3>Teaser {i + 1}</h3></article></div>"
+    pages = [f"<body><div class=page><article><h1>Own {i}</h1><p>" + f"sentence {i} of the text. " * 20 + f"</p><p>Same end.</p></article></div>{teaser(i)}</body>" for i in range(12)]
+    with_wrapper, without = extract(pages[4], Wrapper(infer_wrapper(pages))), extract(pages[4], Wrapper(None))
+    assert with_wrapper.startswith("Own 4") and with_wrapper.endswith("Same end.") and "Teaser" not in with_wrapper
+    assert "Teaser" in without
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pages_without_any_semantic_tag(seed):
+    """Layouts of divs, spans and tables with names that tell nothing, against their known texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    name, box = [f"x{rng.randrange(10**6)}" for _ in range(6)], rng.choice(["div", "table"])
+    around = lambda cls, inner: f"<div class={cls}>{inner}</div>" if box == "div" else f"<table><tr><td class={cls}>{inner}</td></tr></table>"
+    top, low = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(12))
+    links = "".join(f"<span>{word()} {word()}</span>" for _ in range(rng.randrange(2, 6)))
+    pages, texts = [], []
+    for _ in range(25):
+        blocks = [" ".join(word() for _ in range(rng.randrange(8, 60))) for _ in range(rng.randrange(1, 6))]
+        extra = around(name[3], low) if rng.random() < 0.5 else ""  # optional, and constant where it stands
+        pages.append(f"<body>{around(name[0], top + links)}{around(name[1], ''.join(f'<p>{b}</p>' for b in blocks))}{extra}{around(name[2], low)}</body>")
+        texts.append("\n\n".join(blocks))
+    wrapper = Wrapper(infer_wrapper(pages))
+    assert [extract(p, wrapper) for p in pages] == texts
+    assert sum(extract(p, Wrapper(None)) == t for p, t in zip(pages, texts, strict=True)) == 0
+
+
 def test_pages(spark):
     rows = [(i, f"http://h.x/{i}", page(i), "clash", 0) for i in range(20)] + [(50, None, CASES["plain"][0], "c", 0), (51, "x", None, "c", 0), (52, "http://big/", "<p>w</p>" * 20_000, "c", 0), (3, "http://h.x/3", page(3), "c", 0), (53, "http://deep/", CASES["deep"][0], "c", 0)]
     rows += [(60 + i, "http://copies/", f"<div class=a><p>same</p></div>", "c", 0) for i in range(5)]
