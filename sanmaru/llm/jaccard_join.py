@@ -5,11 +5,11 @@ pivots alone would tell nothing about them. The first pivots are therefore singl
 each of its shingles, and ties go to the shingle that comes first in one global order (frequent ones last). The window
 within which a document at distance 0.2 or less may have its own first common shingle is the first fifth of its set, so
 a document is replicated to those regions. Regions give the pairs that share as many shingles as that bound asks for;
-the connected groups of such pairs are closed under links. Small groups are joined exactly in one task. Large groups
-are split, again and again, by document pivots: a document goes to the Voronoi cell of its nearest pivot, or to the
-remainder if none is near, and the triangle inequality says to which other cells it must be replicated. Documents that a
-pivot links stand for each other, so that inside a cell only the others need to be joined with them and among
-themselves: the latter are the regions of the next level. What pivots can't split is joined by blocks of like sizes.
+the connected groups of such pairs are closed under links. Every group is split, again and again, by document pivots: a document goes to the Voronoi cell of its nearest pivot, or to the remainder if none is
+near, and the triangle inequality says to which other cells it must be replicated. Documents that a pivot links stand for
+each other, so that inside a cell only the others need to be joined with them and among themselves: the latter are the
+regions of the next level. Groups that fit one task are split there, larger ones by Spark; what pivots can't split of
+those is joined by blocks of like sizes.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ MAX_FREQUENT = 1_000_000
 IDS_BROADCAST = 1_000_000
 #: Documents and shingles of a group or block that one task joins at a time.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 21
-#: Document pivots of a large group, levels of such splits, rows of a group that meet one copy of its pivots.
+#: Documents of a region that pivots do not split.
+LEAF = 1
+#: Document pivots of a group, levels of such splits, rows of a group that meet one copy of its pivots.
 PIVOTS, LEVELS, SALT_ROWS = 32, 5, 2048
 #: Bytes of a text that are hashed at once (a longer word stands alone).
 CHUNK = 1 << 20
@@ -211,6 +213,54 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tupl
     return np.array(root), used
 
 
+def metric_links(sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], int]:
+    """Links that connect all that links connect among ``sets``, and into how many regions pivots split them.
+
+    The rules of cells, rings and windows are those of ``_near_pivots``. Each entry of the stack is a region: its rows, and
+    which of them are inner, that is, still need all their links found here.
+    """
+    r, slack = 1 - NUM / DEN, 1e-9
+    links: list[tuple[int, int]] = []
+    regions = 0
+    stack = [(np.arange(len(sets)), np.ones(len(sets), bool), 0)]
+
+    def joined(left: np.ndarray, right: np.ndarray) -> None:
+        if len(left) and len(right):
+            a, b = np.nonzero(_linked([sets[i] for i in left], [sets[i] for i in right]))
+            links.extend((int(left[i]), int(right[j])) for i, j in zip(a, b, strict=True) if left[i] != right[j])
+
+    while stack:
+        rows, inner, level = stack.pop()
+        if len(rows) < 2 or not inner.any():
+            continue
+        if len(rows) <= LEAF or level >= LEVELS:
+            joined(rows[inner], rows)
+            continue
+        order = rows[np.argsort(mixed(rows.astype(np.uint64) * np.uint64(LEVELS + 1) + np.uint64(level)))]
+        pivots: list[int] = []
+        for p in order[:PIVOTS].tolist():
+            both = _overlaps([sets[p]], [sets[q] for q in pivots])[0] if pivots else np.zeros(0)
+            if all(1 - n / (len(sets[p]) + len(sets[q]) - n) > 4 * r for n, q in zip(both, pivots, strict=True)):
+                pivots.append(p)
+        both = _overlaps([sets[i] for i in rows], [sets[p] for p in pivots])
+        union = np.array([len(sets[i]) for i in rows])[:, None] + np.array([len(sets[p]) for p in pivots])[None, :] - both
+        far, hit = 1 - both / union, (both > 0) & (DEN * both >= NUM * union)
+        home, least = far.argmin(axis=1), far.min(axis=1)
+        window = np.minimum(least + 2 * r, 4 * r) + slack
+        for j, p in enumerate(pivots):
+            here, near = hit[:, j] | (far[:, j] <= window), far[:, j] <= 2 * r + slack
+            links.extend((int(i), p) for i in rows[hit[:, j]] if i != p)
+            joined(rows[hit[:, j]], rows[here & near & ~hit[:, j]])
+            rest = here & ~hit[:, j]
+            stack.append((rows[rest], (inner & (home == j) & (least <= 3 * r))[rest], level + 1))
+            regions += 1
+        rest = least > 2 * r - slack
+        if rest.any():
+            stack.append((rows[rest], (inner & (least > 3 * r))[rest], level + 1))
+            regions += 1
+    return links, regions
+
+
 def _by_group(batches: Iterator[pa.RecordBatch], batches_column: int) -> Iterator[list[tuple]]:
     """Rows of a partition sorted by its first column, group by group."""
     group: list[tuple] = []
@@ -226,11 +276,13 @@ def _by_group(batches: Iterator[pa.RecordBatch], batches_column: int) -> Iterato
 
 
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact join inside each group: ``id, component``."""
+    """Exact join inside each group, by pivots: ``id, component``."""
     for group in _by_group(batches, 2):
         group.sort(key=lambda r: r[1])
         ids, sets = np.array([r[1] for r in group], np.int64), [r[2] for r in group]
-        a, b = np.nonzero(np.triu(_linked(sets, sets) | (ids[:, None] == ids[None, :]), 1))
+        links, _ = metric_links(sets)
+        links += [(i, i + 1) for i in np.flatnonzero(ids[1:] == ids[:-1]).tolist()]  # rows of one identifier
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
         root, _ = _forest(len(ids), a, b)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "component"])
 
@@ -370,16 +422,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased. Null, empty and blank texts have no shingles and
-    link with nothing. Equal sets are joined once. Rows that share an identifier are one node of the link graph; rows
-    with a null identifier link with nothing and have a null component. An empty table gives no rows; other columns
-    are ignored. Shingles are compared by 64-bit hashes.
+def candidate_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``picked(label, id, keys)`` of ``docs(id, text)``: groups that hold all links, with whole sets; before it what else the
+    join needs: all sizes, sets without copies, copies, and how copies are told.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = cut(docs.mapInArrow(tidy(_sketches), "id long, n long, d1 long, d2 long, keys array<long>"))
     narrow = sketches.select("id", "n", "d1", "d2")
 
@@ -427,6 +474,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(near.select("a", "b").union(pairs.filter("need = -1 and a <> b").select("a", "b")))
 
     picked = cut(_whole_sets(docs, groups.select("id", "label"), "label").select("label", "id", "keys"))
+    return narrow, sets, copies, left_out, picked
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased. Null, empty and blank texts have no shingles and
+    link with nothing. Equal sets are joined once. Rows that share an identifier are one node of the link graph; rows
+    with a null identifier link with nothing and have a null component. An empty table gives no rows; other columns
+    are ignored. Shingles are compared by 64-bit hashes.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    narrow, sets, copies, left_out, picked = candidate_groups(docs)
     large = broadcast_upto(cut(_sizes(picked).filter("parts > 1").select("label")), IDS_BROADCAST)
     small = picked.join(large, "label", "left_anti").repartition("label").sortWithinPartitions("label").mapInArrow(tidy(_join_groups), "id long, component long")
     if large.limit(1).count():

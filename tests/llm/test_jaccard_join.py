@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sanmaru.llm import jaccard_join
@@ -94,6 +95,50 @@ def test_levels_lose_no_link(spark, monkeypatch):
     assert roots((r.a, r.b) for r in got) == roots((a, b) for a in range(260) for b in range(a % 2, a, 2) if linked(a, b))
 
 
+def components_of(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize(("leaf", "pivots", "levels"), [(3, 32, 5), (3, 4, 5), (2, 1, 3), (2, 6, 1)])
+def test_pivots_connect_what_all_pairs_connect(monkeypatch, leaf, pivots, levels):
+    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("LEVELS", levels)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    for seed in range(12):
+        rng = random.Random(seed)
+        sets = []
+        for family in range(rng.randrange(1, 6)):
+            base = list(range(family * 1000, family * 1000 + rng.choice([5, 40, 60])))
+            for _ in range(rng.randrange(1, 40)):
+                lost = rng.sample(base, rng.randrange(0, len(base) // 3 + 1))
+                sets.append(sorted(set(base) - set(lost) | {rng.randrange(9000, 9030) for _ in range(rng.randrange(0, 8))}))
+        sets = [np.array(s or [1], np.int64) for s in sets]
+        near = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+        links, regions = jaccard_join.metric_links(sets)
+        assert all(near(sets[a].tolist(), sets[b].tolist()) for a, b in links)
+        lists = [s.tolist() for s in sets]
+        assert components_of(len(sets), links) == components_of(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if near(lists[a], lists[b])])
+        assert regions > 0 or len(sets) <= leaf
+
+
+def test_groups_of_the_given_table_are_split_by_pivots(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("doc_id AS id", "text")
+    groups = {}
+    for r in jaccard_join.candidate_groups(docs)[4].collect():
+        groups.setdefault(r.label, []).append(np.array(r["keys"], np.int64))
+    split = [jaccard_join.metric_links(sets)[1] for sets in groups.values()]
+    large = sum(len(sets) > jaccard_join.LEAF for sets in groups.values())
+    assert large > 20 and sum(n > 0 for n in split) == large and sum(split) > large
+
+
 def test_hashed_sets_have_the_right_sizes():
     texts = [r[1] for r in corpus(9)]
     hashed, exact = [set(shingle_set(t).tolist()) for t in texts], brute_sets(texts)
