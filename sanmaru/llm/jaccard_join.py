@@ -5,11 +5,11 @@ pivots alone would tell nothing about them. The first pivots are therefore singl
 each of its shingles, and ties go to the shingle that comes first in one global order (frequent ones last). The window
 within which a document at distance 0.2 or less may have its own first common shingle is the first fifth of its set, so
 a document is replicated to those regions. Regions give the pairs that share as many shingles as that bound asks for;
-the connected groups of such pairs are closed under links. Every group is split, again and again, by document pivots: a document goes to the Voronoi cell of its nearest pivot, or to the remainder if none is
-near, and the triangle inequality says to which other cells it must be replicated. Documents that a pivot links stand for
-each other, so that inside a cell only the others need to be joined with them and among themselves: the latter are the
-regions of the next level. Groups that fit one task are split there, larger ones by Spark; what pivots can't split of
-those is joined by blocks of like sizes.
+the connected groups of such pairs are closed under links. Every group is split, again and again, by document pivots: a
+document goes to the Voronoi cell of its nearest pivot, or to the remainder if none is near, and the triangle inequality
+says to which other cells it must be replicated. Documents that a pivot links stand for each other, so that inside a cell
+only the others need to be joined with them and among themselves: the latter are the regions of the next level. Groups
+that fit one task are split there, larger ones by Spark; what pivots can't split of those is joined by blocks of like sizes.
 """
 
 from __future__ import annotations
