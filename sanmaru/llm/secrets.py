@@ -1,6 +1,6 @@
 """Secret scans with a random forest that removes false positives. DataFrame functions only on the main path.
 
-Candidates are long words that look like keys and all words that a cue assigns. The forest reads their length, the
+Candidates are long words that look like keys, all words that a cue assigns and all words right after a cue. The forest reads their length, the
 frequencies of transitions between classes of characters and between letters, dictionary coverage, path marks and the
 words before and after. It learns from labelled findings, at most ``MAX_FINDINGS``; its trees become one SQL expression.
 """
@@ -25,6 +25,9 @@ DICTIONARY, DICTIONARY_LETTERS = 20_000, 2
 # Words that name a secret, and prefixes of keys with a public format.
 CUES = "password passwd pwd secret token key apikey api_key auth bearer credential credentials access private".split()
 KNOWN = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,})"
+# Words after which a secret may stand without a sign between, besides the cues.
+NEARBY = (*CUES, "passphrase", "phrase", "passcode", "pin", "login", "logins")
+NEAR = r"(?i)(?<![\p{L}0-9_])(?:" + "|".join(NEARBY) + r")(?![\p{L}0-9_])"
 #: A word, of any length and characters, that follows a cue with = or : or holds one, at the end of a text of up to three words.
 ASSIGNS = r"(?i)(?:" + "|".join(CUES) + r")[^\s=:]{0,64}\s*[=:]"
 ASSIGNED = ASSIGNS + r"+\s*[^\s=:]\S*$"
@@ -48,14 +51,18 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, finding_no, before, candidate, after`` of all words that hold a run of ``LEAST`` key characters and also a
-    digit, mixed case or a run of 16 capitals, and of all words that follow or hold a cue with = or :, whatever they look
-    like. ``before`` and ``after`` are up to two words."""
+    digit, mixed case or a run of 16 capitals, of all words that follow or hold a cue with = or :, and of the two words
+    after a cue that stands alone (marks aside), whatever they look like. ``before`` and ``after`` are up to two words."""
     run = r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST
-    listed = docs.filter(F.col("text").rlike(run) | F.col("text").rlike(ASSIGNS)).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
+    listed = docs.filter(F.col("text").rlike(run) | F.col("text").rlike(ASSIGNS) | F.col("text").rlike(NEAR)).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"), F.col("text").rlike(NEAR).alias("cued"))
+
+    def alone(w: Column) -> Column:
+        return F.coalesce(F.lower(F.regexp_replace(w, "^[^\\p{L}=:]+|[^\\p{L}=:]+$", "")).isin(*NEARBY), F.lit(False))
 
     def wanted(w: Column, last: Column, second: Column) -> Column:
         marked = F.exists(F.array(w, F.coalesce(last, F.lit(""))), lambda x: x.contains("=") | x.contains(":"))  # spares most words the next test
-        return ((F.length(w) >= LEAST) & w.rlike(KEYLIKE) & w.rlike(run)) | (marked & F.concat_ws(" ", second, last, w).rlike(ASSIGNED))
+        near = F.when(F.col("cued"), (alone(last) | (alone(second) & ~F.coalesce(last, F.lit("")).rlike("[=:]"))) & w.rlike(r"[\p{L}0-9]")).otherwise(False)
+        return ((F.length(w) >= LEAST) & w.rlike(KEYLIKE) & w.rlike(run)) | (marked & F.concat_ws(" ", second, last, w).rlike(ASSIGNED)) | near
 
     def near(i: Column, *steps: int) -> Column:
         return F.concat_ws(" ", *[F.get("words", i + k) for k in steps])
@@ -199,8 +206,8 @@ def fit_findings(findings: DataFrame, words: DataFrame) -> list[Tree]:
 
 def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings that formats and context label for certain: keys of a public format and assigned hexadecimal secrets are 1;
-    addresses, numbers and words of letters with a stray digit or none are 0, unless a cue assigns them; what is left has
-    no label."""
+    addresses, numbers and words of letters with a stray digit or none are 0, unless a cue assigns them or they are long and
+    stand after one; what is left has no label."""
     core, before = F.col("candidate"), F.col("before")
     named = F.concat_ws(" ", before, core)
     positive = core.rlike(KNOWN) | (named.rlike(r"(?i)(?:" + "|".join(CUES) + r")[\"']?\s*[=:]\s*[\"']?[0-9A-Za-z+/_-]{12,}[\"']?[.,;]?$") & core.rlike("[0-9].*[0-9]"))

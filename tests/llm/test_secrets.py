@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from sanmaru.llm.secrets import FEATURES, KEY, candidates, dictionary, fit_forest, scan_secrets, with_features
+from sanmaru.llm.secrets import FEATURES, KEY, candidates, dictionary, fit_forest, labelled_findings, scan_secrets, with_features
 
 SCHEMA = "doc_id long, text string, candidate string, score int"
 
@@ -69,6 +69,46 @@ def test_assigned_words_of_any_look_are_candidates(spark):
     assert {r.doc_id: r.after for r in candidates(spark.createDataFrame([(1, "token: abc one two three", "", 0)], SCHEMA)).collect()} == {1: "one two"}
 
 
+def test_words_after_a_cue_are_candidates_whatever_they_look_like(spark):
+    planted = {"the pass phrase is Tr0ub4dor&3 now": "Tr0ub4dor&3", "use my key Zx9-Qw7_Lk3 here": "Zx9-Qw7_Lk3", "login with correcthorsestaples today": "correcthorsestaples", '(the "Secret") hunter2!': "hunter2!", "PIN 4711": "4711"}
+    df = spark.createDataFrame([(i, f"some house {t}", "", 0) for i, t in enumerate(planted)], SCHEMA)
+    got = {}
+    for r in candidates(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.candidate)
+    assert all(v in got[i] for i, v in enumerate(planted.values())) and all(len(v) <= 2 for v in got.values())
+    plain = spark.createDataFrame([(1, "keys and tokens of secrets", "", 0), (2, "a key", "", 0), (3, "a token - ...", "", 0)], SCHEMA)
+    assert candidates(plain).count() == 0
+
+
+def near_findings(n, seed):
+    """Secrets and plain words after cues without a sign: no rule of ``labelled_findings`` knows the secrets."""
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 4)))
+    chars = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for i in range(n):
+        secret = rng.random() < 0.5
+        value = chars(rng.randrange(8, 12), low + up + dig + "&-_!") if secret else rng.choice([word(), word().title(), word() + ","])
+        cue = rng.choice(["my key", "pass phrase", "the password", "a secret"])
+        out.append((i, " ".join([*(word() for _ in range(6)), cue, value, *(word() for _ in range(6))]), "", 0, value, int(secret)))
+    return out
+
+
+def test_held_out_on_findings_that_no_rule_labels(spark):
+    rows = near_findings(1200, 3)
+    found = candidates(spark.createDataFrame([r[:4] for r in rows], SCHEMA)).cache()
+    value = {r[0]: (r[4], r[5]) for r in rows}
+    assert not {r.candidate for r in labelled_findings(found).filter("label = 1").collect()}
+    known = [(r.candidate, r.before, r.after, int(r.candidate == value[r.doc_id][0] and value[r.doc_id][1])) for r in found.collect() if r.doc_id < 600]
+    table = spark.createDataFrame(known, "candidate string, before string, after string, label int")
+    got = scan_secrets(spark.createDataFrame([r[:4] for r in rows[600:]], SCHEMA), table).collect()
+    hit = [r.candidate == value[r.doc_id][0] and value[r.doc_id][1] for r in got if r.secret]
+    secrets = sum(r[5] for r in rows[600:])
+    assert sum(hit) / secrets > 0.9 and sum(hit) / len(hit) > 0.9
+    one = spark.createDataFrame([k for k in known if not k[3]], table.schema)  # findings of one label: nothing is a secret
+    assert not any(r.secret for r in scan_secrets(spark.createDataFrame([r[:4] for r in rows[600:640]], SCHEMA), one).collect())
+
+
 SYLLABLES = "ba co du fe gi la mo nu pe ri sa to vu we".split()
 
 
