@@ -61,6 +61,16 @@ def crossing_rings(edges: DataFrame, keys: list[str]) -> DataFrame:
     return _pairs(cells, keys).filter(cross_properly(F.col("e"), F.col("f"))).select(*keys).distinct()
 
 
+def meeting_rings(edges: DataFrame) -> DataFrame:
+    """``a, b``: pairs of rings, ``a < b``, of which ``edges(id, i, x1, y1, x2, y2)`` share a point: they cross, touch or overlap.
+
+    Cells are as wide as two mean edges of all rings, and a pair of edges meets in each cell that both reach.
+    """
+    cells = in_cells(edges.withColumn("all_", F.lit(0)), ["all_"]).withColumnRenamed("id", "ring")
+    pairs = _pairs(cells, ["all_"]).filter((F.col("e.ring") != F.col("f.ring")) & meet(F.col("e"), F.col("f")))
+    return pairs.select(F.col("e.ring").alias("a"), F.col("f.ring").alias("b")).distinct()
+
+
 def ring_problems(rings: DataFrame) -> DataFrame:
     """``id, problem`` of each ring of ``rings(id, ring)``: short, open, outside the globe, crossing itself, or null. ``id`` is unique."""
     crossed = crossing_rings(ring_edges(rings, ["id"]), ["id"]).withColumn("crossed_", F.lit("crossing"))

@@ -146,24 +146,26 @@ def hybrid(lexical: DataFrame, vectors: DataFrame, lexical_weight: float = 0.55,
     return joined.select("query_id", "id", (lexical_weight * F.coalesce("l_", F.lit(0.0)) + vector_weight * F.coalesce("v_", F.lit(0.0))).alias("score"))
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, unit_length: bool = True) -> DataFrame:
+def vector_scores(queries: DataFrame, vectors: DataFrame, unit_length: bool = True, within: str | None = None) -> DataFrame:
     """``query_id, id, score``: the cosine (or, unless ``unit_length``, the dot product) of all queries with all vectors.
 
-    Vectors are brought to length 1 once, not for each pair. Up to ``MAX_QUERIES`` queries are broadcast; more go to blocks,
-    vectors to salts, and each block meets each salt in one join.
+    With ``within``, a column of both, only of queries and vectors that agree in it. Vectors are brought to length 1 once, not
+    for each pair. Up to ``MAX_QUERIES`` queries are broadcast; more go to blocks, vectors to salts, and each block meets each
+    salt in one join, so that one value of ``within`` may hold most rows.
     """
     made = unit if unit_length else (lambda v: v)
-    asked = written(queries.select(F.col("id").alias("query_id"), made(F.col("vector")).alias("q_")))
-    rows = vectors.select("id", made(F.col("vector")).alias("v_"))
+    own = [F.col(within).alias("own_")] if within else [F.lit(0).alias("own_")]
+    asked = written(queries.select(F.col("id").alias("query_id"), made(F.col("vector")).alias("q_"), *own))
+    rows = vectors.select("id", made(F.col("vector")).alias("v_"), *own)
     n = asked.count()
     if n <= MAX_QUERIES:
-        pairs = rows.crossJoin(F.broadcast(asked))
+        pairs = rows.join(F.broadcast(asked), "own_") if within else rows.crossJoin(F.broadcast(asked))
     else:
         blocks, salts = -(-n // MAX_QUERIES), max(1, -(-vectors.count() // SALT_VECTORS))
         numbers = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
         left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("block", numbers(blocks))
         right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", numbers(salts))
-        pairs = left.join(right, ["block", "salt"])
+        pairs = left.join(right, ["block", "salt", "own_"])
     return pairs.select("query_id", "id", dot(F.col("q_"), F.col("v_")).alias("score"))
 
 

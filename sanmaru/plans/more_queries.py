@@ -15,6 +15,7 @@ from sanmaru.operators import boundary as B
 from sanmaru.operators import crossings as E
 from sanmaru.operators import cube as C
 from sanmaru.operators import ingest as I
+from sanmaru.operators import retrieval as R
 from sanmaru.plans import ingest_queries as Q
 from sanmaru.plans import tool_queries as T
 from sanmaru.plans.cube_queries import NOW, REF, _last_year, _TREND_CUBE, _Z, now, r6, sql6
@@ -287,13 +288,10 @@ def _squares(spark, d):
 
 @query("fn_rings_intersect", with_ctes("facilities", "SELECT a.id, count(*) AS others FROM facilities a JOIN facilities b ON a.id <> b.id AND b.lat <= a.lat + 0.1 AND a.lat <= b.lat + 0.1 AND b.lng <= a.lng + 0.1 AND a.lng <= b.lng + 0.1 GROUP BY a.id"))
 def fn_rings_intersect(spark, d):
-    """How many other rings each ring meets. Rings meet under the grid cell that holds their common lower left corner."""
-    span = lambda c: F.sequence(F.floor(F.col(c) / 0.1), F.floor((F.col(c) + 0.1) / 0.1))
-    rows = _squares(spark, d).withColumn("gx", F.explode(span("lng"))).withColumn("gy", F.explode(span("lat")))
-    other = rows.select("gx", "gy", F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("ring").alias("ring2"))
-    here = (F.floor(F.greatest("lng", "lng2") / 0.1) == F.col("gx")) & (F.floor(F.greatest("lat", "lat2") / 0.1) == F.col("gy"))
-    pairs = rows.join(other, ["gx", "gy"]).filter(here & (F.col("id") != F.col("other")))
-    return pairs.filter(P.rings_intersect(F.col("ring"), F.col("ring2"))).groupBy("id").agg(F.count(F.lit(1)).alias("others"))
+    """How many other rings each ring meets."""
+    met = E.meeting_rings(E.ring_edges(_squares(spark, d).select("id", "ring"), ["id"]))
+    both = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id")))
+    return both.groupBy("id").agg(F.count(F.lit(1)).alias("others"))
 
 
 @query("fn_holes_inside", with_ctes("facilities", "SELECT id, id % 2 = 0 AS inside FROM facilities"))
@@ -411,9 +409,9 @@ def fn_rank_word(spark, d):
 
 @query("fn_remote_cos", f"SELECT q.vec_id AS query_id, v.vec_id AS id, {sql6('list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))', 'score')} FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id % 50 = 0")
 def fn_remote_cos(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    return v.join(q, "label").select("query_id", F.col("vec_id").alias("id"), r6(X.cosine(F.col("q"), F.col("embedding")), "score"))
+    """Each query with the vectors of its label."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return R.vector_scores(v.filter("id % 50 = 0"), v, within="label").select("query_id", "id", r6("score"))
 
 
 @query("fn_staleness", "SELECT event_id AS id, floor((epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(ts)) / 3600)::BIGINT AS hours, floor((epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(ts)) / 3600) > 48 AS stale FROM events")

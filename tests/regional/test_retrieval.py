@@ -86,3 +86,8 @@ def test_vectors_in_blocks_and_salts(spark, monkeypatch):
     rows = R.vector_scores(v, v).collect()
     assert len(rows) == len(whole) == 61 * 61 and all(abs(whole[r.query_id, r.id] - r.score) < 1e-12 for r in rows)
     assert whole[99, 99] == 0 and abs(whole[1, 1] - 1) < 1e-12
+    own = v.withColumn("kind", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1))  # one kind has most rows
+    for most in (7, 1000):
+        monkeypatch.setattr(R, "MAX_QUERIES", most)
+        rows = R.vector_scores(own, own, within="kind").collect()
+        assert {(r.query_id, r.id) for r in rows} == {(a, b) for a, b in whole if (a if a % 10 == 0 else 1) == (b if b % 10 == 0 else 1)} and len(rows) == 55 * 55 + 6
