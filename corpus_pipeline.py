@@ -39,11 +39,11 @@ def _sha() -> Column:
 
 
 def _once(rows: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
-    """``rows`` with one row for each ``key`` of ``repeated``. Each task sends at most one row of a key."""
+    """``rows`` with one row for each ``key`` of ``repeated``, the first as JSON, which also orders maps and arrays."""
     if not repeated.limit(1).count():
         return rows
     first = _free(rows, "first_")
-    number = F.row_number().over(W.partitionBy(key).orderBy(*[c for c in rows.columns if c != key]))
+    number = F.row_number().over(W.partitionBy(key).orderBy(F.to_json(F.struct(*[c for c in rows.columns if c != key]))))
     one = rows.join(repeated, key, "left_semi").withColumn(first, number).filter(F.col(first) == 1).select(rows.columns)
     return rows.join(repeated, key, "left_anti").select(rows.columns).union(one)
 
