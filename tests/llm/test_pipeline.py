@@ -115,3 +115,17 @@ def test_numbers_of_texts_are_told_apart_by_digest(spark):
     texts = spark.createDataFrame([(i, f"text {i % 30}", f"{i % 30:064d}") for i in range(90)], "doc_id long, text string, sha string")
     rows = P._numbered(texts, width=3).collect()  # 30 digests on 8 first numbers
     assert len(rows) == 90 and len({(r.sha, r.node) for r in rows}) == len({r.node for r in rows}) == 30
+
+
+def test_columns_of_maps_and_arrays_pass(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", 1, {"k": "v"}, [1, 2]), (1, text, "a", 1, {"k": "v"}, [1, 2]), (2, text + " x", "b", 2, {}, None), (3, "other words entirely here", "a", 3, None, [])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, more map<string, string>, tags array<int>")
+    for name, stage in P.STAGES[1:4]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert {r.doc_id for r in kept} <= {1, 2, 3} and 3 in {r.doc_id for r in kept}
+        if name != "mixing":
+            assert len(kept) == len({r.doc_id for r in kept})
+            assert all(r.more == {1: {"k": "v"}, 2: {}, 3: None}[r.doc_id] for r in kept)
