@@ -62,7 +62,7 @@ def tool_scores(series: DataFrame, cells: DataFrame, facilities: DataFrame, radi
     named = lambda df, t: df.select(F.lit(t).alias("tool"), F.lit(None).cast("double").alias("radius_km"), "code", "score")
     parts.append(named(T.density_ranking(series, cells, month_no), "rankPopulationDensity"))
     parts.append(named(nearest(cells, facilities).select("code", half_up(F.col("nearest_km"), 2).alias("score")), "nearestFacilityDistance"))
-    near = access_pairs(cells, facilities, T.MOST_KM)
+    near = access_pairs(cells, facilities, T.MOST_KM)  # ``radii`` are bounded by their metres
     counts = near.join(F.broadcast(radii), F.col("km") <= F.col("radius_km")).groupBy("code", "radius_km").agg(F.count(F.lit(1)).alias("n"))
     every = cells.select("code").crossJoin(F.broadcast(radii)).join(counts, ["code", "radius_km"], "left")
     parts.append(every.select(F.lit("countFacilitiesWithinRadius").alias("tool"), "radius_km", "code", F.coalesce("n", F.lit(0)).cast("double").alias("score")))
@@ -73,13 +73,14 @@ def run_intents(intents: DataFrame, series: DataFrame, cells: DataFrame, facilit
     """``id, tool, level, rank, code, score`` of all intents without faults, and the ``id, fault`` of the others.
 
     ``level`` is the word for a region at the intent's level. Regions of an intent (codes, or names that hold them, blanks
-    aside) limit its rows. Rows without a score are left out; ties go by code. ``id`` is unique.
+    aside) limit its rows. Rows without a score are left out; ties go by code. Radii count to the metre, so there are at most
+    2,001 of them, whatever the number of intents. ``id`` is unique.
     """
     faults = written(intent_faults(intents, cells))
     fine = intents.join(faults.select("id").distinct(), "id", "left_anti")
     descending = F.coalesce(F.col("direction") == "descending", ~F.col("tool").isin(*ASCENDING))
     counts = F.col("tool") == "countFacilitiesWithinRadius"
-    fine = fine.select("id", "tool", F.coalesce("level", F.lit("dong")).alias("level"), F.when(counts, F.coalesce("radius_km", F.lit(DEFAULT_KM))).alias("radius_km"), F.coalesce("limit", F.lit(DEFAULT_ROWS)).alias("limit"), descending.alias("descending"), "regions")
+    fine = fine.select("id", "tool", F.coalesce("level", F.lit("dong")).alias("level"), F.when(counts, F.round(F.coalesce("radius_km", F.lit(DEFAULT_KM)), 3)).alias("radius_km"), F.coalesce("limit", F.lit(DEFAULT_ROWS)).alias("limit"), descending.alias("descending"), "regions")
     fine = written(fine)
     radii = fine.filter("radius_km is not null").select("radius_km").distinct()
     radii = written(radii)
