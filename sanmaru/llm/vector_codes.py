@@ -89,6 +89,18 @@ def _moved(ready: DataFrame, held, width: int) -> DataFrame:
     return ready.select("x").mapInArrow(tidy(run), schema).groupBy("slot").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
 
 
+def _smallest_ids(ready: DataFrame, most: int = ENTRIES) -> list[int]:
+    """The smallest distinct identifiers, without a shuffle of all: passes over them take the next ``most`` rows, repeats included."""
+    found: list[int] = []
+    while len(found) < most:
+        rest = ready.filter(F.col("vec_id") > found[-1]) if found else ready.filter("vec_id is not null")
+        rows = rest.select("vec_id").orderBy("vec_id").limit(most).collect()
+        if not rows:
+            break
+        found += sorted({r.vec_id for r in rows})
+    return found[:most]
+
+
 def code_vectors(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row for each kept row: ``vec_id, code, error, label_error, codebooks_sha256``.
 
@@ -107,7 +119,8 @@ def code_vectors(vectors: DataFrame, scale: float = 256.0, id_col: str = "vec_id
     width = max(1, -(-(size.dim or 0) // PARTS))
     if 4 * (size.most or 0) ** 2 * width * PARTS >= 2.0**62:
         raise ValueError("distances may not fit 64-bit integers")
-    seeds = ready.filter("vec_id is not null").groupBy("vec_id").agg(F.min("x").alias("x")).orderBy("vec_id").limit(ENTRIES).collect()  # at most ENTRIES vectors
+    firsts = ready.filter(F.col("vec_id").isin(_smallest_ids(ready))).groupBy("vec_id").agg(F.min("x").alias("x"))
+    seeds = firsts.orderBy("vec_id").collect()  # at most ENTRIES vectors
     start = matrix(pa.array([r.x for r in seeds] or [[]], pa.list_(pa.int64())), PARTS * width)
     books = [start[:, p * width : (p + 1) * width].copy() for p in range(PARTS)]
     for _ in range(ROUNDS):

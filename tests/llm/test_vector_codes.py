@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sanmaru.llm.vector_codes import CellFile, code_vectors
+from sanmaru.llm.vector_codes import CellFile, _smallest_ids, code_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, code string, part int"
 
@@ -64,6 +64,13 @@ def test_odd_rows_ties_and_repeats(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_smallest_distinct_identifiers(spark):
+    ids = [5] * 200 + [7] * 90 + list(range(-30, 60, 2)) + [None] * 3
+    table = spark.createDataFrame([(i,) for i in ids], "vec_id long").repartition(4)
+    want = sorted({i for i in ids if i is not None})
+    assert _smallest_ids(table) == want[:64] and _smallest_ids(table, 20) == want[:20] and _smallest_ids(table.limit(0)) == []
+
+
 def test_few_rows(spark):
     assert run(spark, []) == []
     for rows in ([(4, [0.1] * 16, None, "c", 1)], [(None, [0.1] * 16, None, "c", 1), (None, [], 2, "c", 1)]):
