@@ -18,6 +18,8 @@ MAX_QUERIES, SALT_VECTORS = 1000, 100_000
 ASKED_ROWS = 500_000
 #: Postings of a query's rarest tokens that give its first threshold, for each of the ``k`` wanted; and what rounding may hide.
 FIRST_POSTINGS, SLACK = 64, 2e-6
+#: Documents whose whole scores give that threshold, for each of the ``k`` wanted.
+PROBES = 8
 
 
 def document_tokens(chunks: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def pruned_scores(queries: DataFrame, chunks: DataFrame, k: int, least: float =
     """Exact scores of all documents that may be among a query's ``k`` best (or tie with them up to rounding) by MaxScore.
 
     A score is the sum of the weights of common tokens times a factor of the document's length. The rarest tokens of a
-    query give k documents; the least of their scores is a threshold that the kth best can't fall below (``least`` is another). Tokens
+    query give some documents; the kth of their scores is a threshold that the kth best can't fall below (``least`` is another). Tokens
     whose greatest shares, the smallest first, add up to less than the threshold are not essential: a document that has
     no other token can't reach it. Blocks of postings whose length leaves too little, even with all tokens of the query,
     are passed over. Documents found by essential tokens stay candidates while their sum plus all that may be missing
@@ -100,10 +102,10 @@ def pruned_scores(queries: DataFrame, chunks: DataFrame, k: int, least: float =
     early = broadcast_upto(terms.filter("early").select("query_id", "token", "idf"), ASKED_ROWS)
     first = rows.join(early, "token").select("query_id", "id", "idf", "length")
     partial = first.groupBy("query_id", "id").agg(F.sum(bm25_term(F.col("idf"), F.col("length"))).alias("score"))
-    probes = best(partial, k).select("query_id", "id").join(terms.select("query_id", "token", "idf"), "query_id")  # k documents a query
+    probes = best(partial, PROBES * k).select("query_id", "id").join(terms.select("query_id", "token", "idf"), "query_id")  # PROBES * k documents a query
     probed = rows.join(broadcast_upto(written(probes), ASKED_ROWS), ["token", "id"])
     whole = probed.groupBy("query_id", "id").agg(F.sum(bm25_term(F.col("idf"), F.col("length"))).alias("score"))
-    kth = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+    kth = best(whole, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
     threshold = kth.select("query_id", (F.greatest(F.when(F.col("n") == k, F.col("kth")).otherwise(0.0), F.lit(least)) - SLACK).alias("threshold"))
 
     small = by_query.orderBy("share", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
