@@ -20,8 +20,8 @@ from sanmaru.session import broadcast_upto, written
 
 #: Levels of the largest and smallest cells: a cell of level n is 2^-n degrees wide. Strips are as high as the smallest cells.
 COARSE, FINE = 2, 9
-#: Edges that a cell may have before it is split.
-EDGES = 16
+#: Edges that a cell may have before it is split, and cells that may be broadcast.
+EDGES, BROADCAST_CELLS = 16, 500_000
 
 
 def _bad_ring(ring: Column) -> Column:
@@ -125,11 +125,12 @@ def _inside(points: DataFrame, keys: list[str], stripped: DataFrame, level: int
 
 def cell_hits(points: DataFrame, cells: DataFrame) -> DataFrame:
     """``points(id, lat, lng)`` with the cells of a cover that they lie in: one row for each region and level met."""
-    levels = [r.level for r in cells.select("level").distinct().orderBy("level").collect()]  # at most FINE - COARSE + 1
+    listed = cells.groupBy("level").count().collect()  # at most FINE - COARSE + 1 rows
+    levels, few = sorted(r.level for r in listed), sum(r["count"] for r in listed) <= BROADCAST_CELLS
     place = F.col("lat").isNotNull() & F.col("lng").isNotNull() & (F.abs("lat") <= 90) & (F.abs("lng") <= 360)
-    listed = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("lng") * 2.0**n).alias("ix"), F.floor(F.col("lat") * 2.0**n).alias("iy")) for n in levels])
-    asked = points.filter(place).select("id", "lat", "lng", F.explode(listed).alias("c")).select("id", "lat", "lng", "c.*") if levels else points.select("id", "lat", "lng", F.lit(0).alias("level"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy")).limit(0)
-    return asked.join(broadcast_upto(cells), ["level", "ix", "iy"])
+    near = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("lng") * 2.0**n).alias("ix"), F.floor(F.col("lat") * 2.0**n).alias("iy")) for n in levels])
+    asked = points.filter(place).select("id", "lat", "lng", F.explode(near).alias("c")).select("id", "lat", "lng", "c.*") if levels else points.select("id", "lat", "lng", F.lit(0).alias("level"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy")).limit(0)
+    return asked.join(F.broadcast(cells) if few else cells, ["level", "ix", "iy"])
 
 
 def regions_of(points: DataFrame, regions: DataFrame, most: int = EDGES, coarse: int = COARSE, fine: int = FINE) -> DataFrame:
@@ -142,7 +143,7 @@ def regions_of(points: DataFrame, regions: DataFrame, most: int = EDGES, coarse:
     edges = written(edge_rows(regions))
     cells = written(cover(edges, most, coarse, fine))
     hits = written(cell_hits(points, cells).select("id", "lat", "lng", "code", "ordinal", "inner"))
-    tested = _inside(hits.filter("not inner"), ["id", "code", "ordinal"], broadcast_upto(written(strips(edges))))
+    tested = _inside(hits.filter("not inner"), ["id", "code", "ordinal"], broadcast_upto(strips(edges)))
     return hits.filter("inner").select("id", "code", "ordinal").unionByName(tested)
 
 
