@@ -289,9 +289,7 @@ def _squares(spark, d):
 @query("fn_rings_intersect", with_ctes("facilities", "SELECT a.id, count(*) AS others FROM facilities a JOIN facilities b ON a.id <> b.id AND b.lat <= a.lat + 0.1 AND a.lat <= b.lat + 0.1 AND b.lng <= a.lng + 0.1 AND a.lng <= b.lng + 0.1 GROUP BY a.id"))
 def fn_rings_intersect(spark, d):
     """How many other rings each ring meets."""
-    met = E.meeting_rings(E.ring_edges(_squares(spark, d).select("id", "ring"), ["id"]))
-    both = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id")))
-    return both.groupBy("id").agg(F.count(F.lit(1)).alias("others"))
+    return E.meeting_counts(_squares(spark, d).select("id", "ring"))
 
 
 @query("fn_holes_inside", with_ctes("facilities", "SELECT id, id % 2 = 0 AS inside FROM facilities"))
