@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sanmaru.functions.codes import parent_code, parent_name
 from sanmaru.functions.numeric import sum_as_zero, weighted_mean
+from sanmaru.session import written
 
 
 def with_stats(df: DataFrame, **stats: Column) -> DataFrame:
@@ -88,8 +89,10 @@ def color_bins(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
 def percentile_ranks(df: DataFrame, value: str, by: list[str], out: str = "percentile") -> DataFrame:
     """(rows at or below - 1) / (n - 1) * 100 inside groups; ties take the upper rank, a single row has none.
 
-    Equal values are counted first, so windows only order distinct values.
+    Equal values are counted first, so windows only order distinct values. Rows are written once, since both sides of the
+    join must hold the same values: sums of floats that are worked out twice can differ.
     """
+    df = written(df)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("k_"))
     below = F.sum("k_").over(W.partitionBy(*by).orderBy(value))
     n = F.sum("k_").over(W.partitionBy(*by))
@@ -159,7 +162,7 @@ def trend_cross(a: DataFrame, b: DataFrame, sign_a: int, sign_b: int) -> DataFra
 
 def profile(cube: DataFrame, metrics: list[str], code: str, month_no: int) -> DataFrame:
     """All metrics of one cell: ``metric, value, percentile, change, direction``."""
-    long = cube.select("code", "month_no", F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", "value"))
+    long = written(cube.select("code", "month_no", F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", "value")))
     now = percentile_ranks(at_month(long, month_no), "value", ["metric"]).filter(F.col("code") == code).select("metric", "value", "percentile")
     own = long.filter(F.col("code") == code).withColumn("code", F.col("metric"))
     return now.join(trends(own, "value").select(F.col("code").alias("metric"), "change", "direction"), "metric", "left")

@@ -98,3 +98,15 @@ def test_threshold_never_takes_null_or_nan(spark):
     rows = spark.createDataFrame([(1.0,), (None,), (math.nan,), (3.0,)], "v double")
     assert [r.v for r in C.threshold(rows, "v", ">=", 1).orderBy("v").collect()] == [1.0, 3.0]
     assert C.threshold(rows, "v", "<", 2).count() == 1
+
+
+def test_percentiles_of_values_that_differ_between_runs(spark):
+    """Sums of floats worked out twice can differ; each row must still find its own rank."""
+    import random
+
+    noise = F.udf(lambda v: v + random.random() * 0.5, "double").asNondeterministic()
+    rows = spark.range(1, 41).select(F.lit("g").alias("g"), F.col("id").alias("n"), noise(F.col("id").cast("double")).alias("v"))
+    got = {r.n: r.percentile for r in C.percentile_ranks(rows, "v", ["g"]).collect()}
+    assert got == {n: (n - 1) / 39 * 100 for n in range(1, 41)}
+    cube = spark.range(1, 41).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("code"), F.lit(5).alias("month_no"), noise(F.col("id").cast("double")).alias("m"))
+    assert C.profile(cube, ["m"], "0000000040", 5).first().percentile == 100.0
