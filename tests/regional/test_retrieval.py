@@ -91,3 +91,33 @@ def test_vectors_in_blocks_and_salts(spark, monkeypatch):
         monkeypatch.setattr(R, "MAX_QUERIES", most)
         rows = R.vector_scores(own, own, within="kind").collect()
         assert {(r.query_id, r.id) for r in rows} == {(a, b) for a, b in whole if (a if a % 10 == 0 else 1) == (b if b % 10 == 0 else 1)} and len(rows) == 55 * 55 + 6
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_vector_scores_are_sums_in_order_and_odd_vectors_score_null(spark, monkeypatch, most):
+    """Scores equal the plain sums bit for bit, in blocks of any size; nulls and unlike lengths have no score."""
+    monkeypatch.setattr(R, "MAX_QUERIES", most)
+    monkeypatch.setattr(R, "SALT_VECTORS", most + 4)
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(40)]
+    odd = [(100, None), (101, [1.0, None]), (102, [1.0, 2.0]), (103, [0.0] * 16), (104, [float("nan")] * 16), (105, [])]
+    table = spark.createDataFrame(rows + odd, "id long, vector array<double>")
+    whole = dict(rows + odd)
+
+    def plain(a, b):
+        s = 0.0
+        for x, y in zip(a, b):
+            s += x * y
+        return s
+
+    for unit_length in (True, False):
+        got = R.vector_scores(table, table, unit_length).collect()
+        assert len(got) == len(whole) ** 2
+        for r in got:
+            a, b = whole[r.query_id], whole[r.id]
+            if a is None or b is None or None in a + b or len(a) != len(b):
+                assert r.score is None
+                continue
+            norm = math.sqrt(plain(a, a)) * math.sqrt(plain(b, b))
+            want = plain(a, b) if not unit_length else 0.0 if norm == 0 else plain(a, b) / norm
+            assert r.score == want or (math.isnan(want) and math.isnan(r.score))
