@@ -44,3 +44,34 @@ def test_hashed_vectors_by_grouping_equal_the_expression(spark):
     want = {(r.id, i): v for r in chunks.filter("text is not null").select("id", hash_embed(tokens(F.col("text"))).alias("v")).collect() for i, v in enumerate(r.v) if v}
     got = {(r.id, r.idx): r.value for r in hash_vectors(chunks).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_hash_vectors_add_up_rows_of_one_id(spark):
+    """Long, repeated and astral tokens; rows of one id are one vector, and no join of tokens is needed."""
+    import math
+
+    from sanmaru.functions.text import hash_embed, tokens
+
+    texts = [(1, "alpha beta " + "x" * 300), (2, None), (3, ""), (4, "값어치 인구수"), (5, "alpha"), (5, "beta gamma alpha"), (6, "beta \U00020000\U00020001")]
+    chunks = spark.createDataFrame(texts, "id long, text string")
+    got = {}
+    rows = hash_vectors(chunks)
+    for r in rows.collect():
+        got.setdefault(r.id, {})[r.idx] = r.value
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString() and set(got) == {1, 4, 5, 6}
+    for r in chunks.filter("id in (1, 4)").select("id", hash_embed(tokens(F.col("text"))).alias("v")).collect():
+        assert got[r.id].keys() == {i for i, v in enumerate(r.v) if v} and all(abs(got[r.id][i] - v) < 1e-12 for i, v in enumerate(r.v) if v)
+
+    def spots(words):
+        out = {}
+        for w in words:
+            h = 2166136261
+            for c in w:
+                h = (h ^ ord(c)) * 16777619 & 4294967295
+            g, sign = (h ^ ord("#")) * 16777619 & 4294967295, 1.0 if h % 2 == 0 else -1.0
+            for at, v in ((h % 64, sign), (g % 64, sign / 2)):
+                out[at] = out.get(at, 0.0) + v
+        norm = math.sqrt(sum(v * v for v in out.values()))
+        return {k: v / norm for k, v in out.items() if v}
+
+    assert got[5] == spots(["alpha", "beta", "gamma", "alpha"]) and got[6] == spots(["beta", "\U00020000\U00020001"])
