@@ -121,3 +121,15 @@ def test_vector_scores_are_sums_in_order_and_odd_vectors_score_null(spark, monke
             norm = math.sqrt(plain(a, a)) * math.sqrt(plain(b, b))
             want = plain(a, b) if not unit_length else 0.0 if norm == 0 else plain(a, b) / norm
             assert r.score == want or (math.isnan(want) and math.isnan(r.score))
+
+
+def test_hybrid_joins_only_queries_of_both_sides(spark, monkeypatch):
+    """Queries that one side asks alone keep their pairs and aren't joined; the scores are those of a full join."""
+    chunks = spark.createDataFrame([(i, f"word{i % 3} alpha word{i % 5}") for i in range(30)], "id long, text string")
+    asked = spark.createDataFrame([(0, "alpha"), (2, "word1 word2"), (4, "none")], "id long, text string")
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(20, 50)] + [(0, [1.0, 0.0, 0.0]), (2, None)], "id long, vector array<double>")
+    mine = v.filter("id in (0, 2, 25, 40)")
+    want = sorted(map(tuple, R.hybrid(R.lexical_scores(asked, chunks), R.vector_scores(mine, v)).collect()))
+    got = R.hybrid_scores(asked, chunks, mine, v)
+    assert sorted(map(tuple, got.collect())) == want and {0, 2, 25, 40} == {w[0] for w in want}
+    assert len([w for w in want if w[0] == 25]) == 32
