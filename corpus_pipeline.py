@@ -116,8 +116,9 @@ def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 token ids. Workers remember fewer words than they would alone, since they served other stages before."""
-    return pack_documents(docs, tokenizer_path(), cache_words=300_000)
+    """Sequences of 4096 token ids. Workers remember fewer words than they would alone and none after a task, since they
+    serve other stages too, and Spark deals tasks to all workers that it keeps, which may be more than its cores."""
+    return pack_documents(docs, tokenizer_path(), cache_words=300_000, keep_words=False)
 
 
 STAGES = [("quality", quality_filter), ("exact_dedup", drop_exact_copies), ("jaccard_join", drop_near_copies), ("mixing", mix_by_source), ("packing", pack)]

@@ -64,6 +64,14 @@ def running_starts(sizes: DataFrame, keys: list[str], bucket: str, value: str, s
     return inside.join(firsts, [*keys, "run_"]).select(*keys, bucket, (F.col("before") + F.col("first_")).alias("before"))
 
 
+def give_back() -> None:
+    """Memory that this Python process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``; at the end of a task the Python worker, which Spark keeps, gives freed memory back."""
 
@@ -71,9 +79,6 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return tidied

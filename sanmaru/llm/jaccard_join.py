@@ -14,7 +14,7 @@ that fit one task are split there, larger ones by Spark; what pivots can't split
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,15 +98,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), _lists([s[: _window(len(s))] for s in sets])], names=["id", "n", "d1", "d2", "keys"])
 
 
-def _whole_sets(docs: DataFrame, picked: DataFrame, extra: str) -> DataFrame:
-    """``id, extra, keys`` of the documents in ``picked(id, extra)``; ``keys`` are whole sets."""
+def _whole_sets(docs: DataFrame, picked: DataFrame, extra: str, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    """``id, extra, keys`` of the documents in ``picked(id, extra)``; ``keys`` are whole sets, or what ``then`` makes of them.
+
+    ``then`` runs in the same Python worker, so that a task doesn't take two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column=1):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _lists([shingle_set(t) for t in batch.column(1).to_pylist()])], names=["id", extra, "keys"])
 
     found = docs.join(broadcast_upto(picked, IDS_BROADCAST), "id").select("id", "text", F.col(extra).cast("long").alias(extra))
-    return found.mapInArrow(tidy(run), f"id long, {extra} long, keys array<long>")
+    return found.mapInArrow(tidy(lambda batches: then(run(batches))), f"id long, {extra} long, keys array<long>")
 
 
 def _pairs_in_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,8 +464,8 @@ def candidate_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in keys], pa.int64()), _lists(first)], names=["id", "n", "keys"])
 
     windows = sets.mapInArrow(tidy(rare_first), "id long, n long, keys array<long>")
-    short = cut(windows.filter("size(keys) = 0").select("id", F.lit(0).cast("long").alias("x")).distinct())
-    windows = windows.filter("size(keys) > 0").unionByName(_whole_sets(docs, short, "x").mapInArrow(tidy(reordered), "id long, n long, keys array<long>"))
+    short = cut(windows.filter("size(keys) = 0").select("id", F.lit(0).cast("long").alias("n")).distinct())
+    windows = windows.filter("size(keys) > 0").unionByName(_whole_sets(docs, short, "n", reordered))
     rows = windows.select(F.explode("keys").alias("key"), "id", "n", F.size("keys").cast("long").alias("kept"))
     regions = rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_pairs_in_regions), "a long, b long, need long")
     pairs = cut(regions.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("common")))

@@ -84,22 +84,30 @@ class WordIds:
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def no_words(tokenizer_path: str) -> WordIds:
+    """An empty cache."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(tokenizer_path))
+
+
 def known_words(tokenizer_path: str) -> WordIds:
     """The cache of this Python worker, which later tasks of the worker find filled."""
     held = sys.modules.setdefault("sanmaru_worker_words", types.ModuleType("sanmaru_worker_words")).__dict__
     if tokenizer_path not in held:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        held[tokenizer_path] = WordIds(Tokenizer.from_file(tokenizer_path))
+        held[tokenizer_path] = no_words(tokenizer_path)
     return held[tokenizer_path]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
-    """The pieces of each document, each of ``width`` ids but the last: ``doc_id, start, length, ids_crc32, doc_tokens``."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, keep_words: bool = True) -> DataFrame:
+    """The pieces of each document, each of ``width`` ids but the last: ``doc_id, start, length, ids_crc32, doc_tokens``.
+
+    With ``keep_words``, words that a task has learned stay in its Python worker; else nothing of them outlives the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_words(tokenizer_path)
+        known = known_words(tokenizer_path) if keep_words else no_words(tokenizer_path)
         for batch in slices(batches, column=1):
             words = [words_of(t) for t in batch.column(1).to_pylist()]
             known.learn(set().union(*words))
@@ -152,7 +160,7 @@ def plan_packs(histogram: dict[int, int], width: int) -> list[tuple[int, list[tu
     return [(count, list(held)) for free in sorted(space) for count, held in space[free]]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, keep_words: bool = True) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is its ids, then ``end_id``; null and empty texts are that id alone. Documents over ``width`` ids are
@@ -161,7 +169,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 4096, end_
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, tokenizer_path, width, end_id, id_col, text_col, cache_words))
+    pieces = cut(token_pieces(docs, tokenizer_path, width, end_id, id_col, text_col, cache_words, keep_words))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``width`` rows
 
     taken, first, slots = dict.fromkeys(histogram, 0), 0, {n: [] for n in histogram}

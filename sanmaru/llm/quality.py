@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sanmaru.llm.common import cut, tidy
+from sanmaru.llm.common import cut, give_back, tidy
 from sanmaru.llm.hashing import mixed, run_hashes, slices
 
 #: Rows of the embedding table, as a power of two, and their size.
@@ -126,7 +126,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, char
     order = F.xxhash64("doc_id")
     ids = usable.select("doc_id").join(known, "doc_id").distinct().orderBy(order, "doc_id").limit(rows)  # narrow rows until the sample is known
     picked = usable.select("doc_id", "text").join(F.broadcast(cut(ids)), "doc_id").orderBy(order, "doc_id", "text").limit(rows).collect()
-    return fit([r.text for r in picked], [int(r.quality) for r in picked])
+    model = fit([r.text for r in picked], [int(r.quality) for r in picked])
+    give_back()  # the driver's, which lasts longer than the fit
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, accept: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

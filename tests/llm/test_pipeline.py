@@ -1,8 +1,10 @@
 """The whole pipeline on a small corpus, stage by stage against brute force."""
 
 import random
+import shutil
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
@@ -129,3 +131,18 @@ def test_columns_of_maps_and_arrays_pass(spark):
         if name != "mixing":
             assert len(kept) == len({r.doc_id for r in kept})
             assert all(r.more == {1: {"k": "v"}, 2: {}, 3: None}[r.doc_id] for r in kept)
+
+
+def test_workers_keep_nothing_of_the_packing(spark, folder, tmp_path, monkeypatch):
+    own = str(tmp_path / "tokenizer.json")
+    shutil.copy(P.tokenizer_path(), own)
+    monkeypatch.setattr(P, "tokenizer_path", lambda: own)
+    assert P.pack(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count()
+
+    def held(batches):
+        import sys
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"held": [own in vars(sys.modules.get("sanmaru_worker_words", sys))]})
+
+    assert not spark.range(0, 64, 1, 64).mapInArrow(held, "held boolean").filter("held").count()
